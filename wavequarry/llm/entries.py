@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavequarry.llm import htmltext, packing, toxicity, warc, winnowing
+from wavequarry.llm import caps, htmltext, packing, toxicity, warc, winnowing
 from wavequarry.llm.shared import stored, table
 
 
@@ -21,6 +21,10 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprint_edits(table(spark, sf_dir, "documents"))
 
