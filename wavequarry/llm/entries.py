@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavequarry.llm import caps, htmltext, packing, toxicity, warc, winnowing
+from wavequarry.llm import caps, htmltext, jaccard, packing, toxicity, warc, winnowing
 from wavequarry.llm.shared import stored, table
 
 
@@ -25,6 +25,10 @@ def op6_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprint_edits(table(spark, sf_dir, "documents"))
 
