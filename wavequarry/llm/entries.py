@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavequarry.llm import caps, htmltext, jaccard, lines, packing, toxicity, warc, winnowing
+from wavequarry.llm import caps, htmltext, jaccard, lines, packing, pii, toxicity, warc, winnowing
 from wavequarry.llm.shared import stored, table
 
 
@@ -21,6 +21,10 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "n_lines", "n_deleted")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
