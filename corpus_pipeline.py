@@ -1,12 +1,61 @@
-"""The training-data pipeline over ``documents``."""
+"""The training-data pipeline over ``documents``: each stage is one of the operators of ``wavequarry.llm``.
+
+The near-duplicate stage works on word shingles (five words, similarity 0.75 or more). Mixing only repeats documents
+here (rates of at least 1), so no clean document is lost to it; what it repeats, packing packs as often.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wavequarry.llm import jaccard, lines, mixing, packing, toxicity
+from wavequarry.llm.shared import stored, table
+
+#: Weights of the quality labels in the mixed corpus.
+WEIGHTS = {0: 0.3, 1: 0.7}
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
+    return scored.where("NOT toxic").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which nothing is left go; those that were empty before stay."""
+    left = lines.dedup_lines(docs)
+    return left.where("n_deleted = 0 OR text <> ''").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays; documents without an id stay."""
+    kept = jaccard.similar(docs).where("component_id = doc_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_docs(docs, table(spark, sf_dir, "labels"), WEIGHTS, lowest=1.0)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: Training, list decoding by hash and packing are no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

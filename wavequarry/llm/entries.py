@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavequarry.llm import caps, htmltext, jaccard, lines, packing, pii, toxicity, warc, winnowing
+from wavequarry.llm import caps, htmltext, jaccard, lines, mixing, packing, pii, toxicity, warc, winnowing
 from wavequarry.llm.shared import stored, table
 
 
@@ -29,6 +29,11 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = mixing.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), {0: 0.3, 1: 0.7})
+    return rated.select("doc_id", "source", "tokens", F.get("p", F.lit(0)).alias("p_low"), F.get("p", F.lit(1)).alias("p_high"), "rate", "copies")
+
+
 def op6_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
 

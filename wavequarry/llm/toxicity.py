@@ -55,9 +55,12 @@ class Pieces(dict):
         return value
 
 
-def numbered(text: str, known: Pieces) -> np.ndarray:
+PIECES = Pieces()  # one for all tasks of a Python worker
+
+
+def numbered(text: str) -> np.ndarray:
     """(words, 4) buckets, padded to the widest filter."""
-    return np.array([known[w] for w in words_in(text)] + [(0, 0, 0, 0)] * PAD, dtype=np.int32)
+    return np.array([PIECES[w] for w in words_in(text)] + [(0, 0, 0, 0)] * PAD, dtype=np.int32)
 
 
 def vectors(embedding: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -187,8 +190,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     y = np.array(rows["toxic"].to_pylist(), dtype=np.float32)
     if not 0 < y.sum() < len(y):
         return None
-    known = Pieces()
-    texts = [numbered(t.as_py(), known) for t in rows["text"]]
+    texts = [numbered(t.as_py()) for t in rows["text"]]
     langs = [x or "" for x in rows["lang"].to_pylist()]
     fold = np.array([crc32(f"fold{d}".encode()) % 4 == 0 for d in rows["doc_id"].to_pylist()])
     if not (0 < y[fold].sum() < fold.sum() and 0 < y[~fold].sum() < (~fold).sum()):
@@ -211,10 +213,9 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known = Pieces()
         at = fields.index("lang") if "lang" in fields else None
         for b in batches:
-            scores = [model.score(vectors(model.embedding, numbered(t, known))) for _, t in texts_of(b)]
+            scores = [model.score(vectors(model.embedding, numbered(t))) for _, t in texts_of(b)]
             langs = b.column(at).to_pylist() if at is not None else [None] * len(scores)
             toxic = [s >= model.thresholds.get(lang, 0.5) for s, lang in zip(scores, langs)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(toxic, pa.bool_())], names=[*fields, "score", "toxic"])
