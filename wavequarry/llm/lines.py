@@ -118,7 +118,7 @@ def windows(levels: list[DataFrame], partitions: int) -> DataFrame:
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (doc_id, th, gone): for each document that loses lines the list of (start, m) of its later copies."""
     # equal rows are one document, wherever they lie
-    lines = line_rows(docs, min_words).dropDuplicates(["doc_id", "th", "pos"])
+    lines = stored(line_rows(docs, min_words).dropDuplicates(["doc_id", "th", "pos"]), "lines")
     # a line in a single place never is in a repeated run
     level = stored(named(lines, ["h1", "h2"]).select("doc_id", "th", "pos", "name", "ahead", "back"), "level")
     levels = [level]
@@ -157,7 +157,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs = docs.drop("n_lines", "n_deleted", "th", "gone").withColumn("doc_id", F.col("doc_id").cast("long"))
     keyed = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     gone = stored(repeated(keyed.select("doc_id", "th", "text"), min_words), "deleted-runs").withColumnRenamed("doc_id", "d").withColumnRenamed("th", "t")
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").drop("th", "d", "t")
+    # dealt by key at every size, whether or not the list of deletions would fit in memory
+    joined = keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").drop("th", "d", "t")
     names = [c for c in docs.columns if c != "n_chars"] + ["n_chars", "n_lines", "n_deleted"]
     schema = docs.select(*[c for c in docs.columns if c != "n_chars"]).limit(0).withColumns({"n_chars": F.lit(0).cast("long"), "n_lines": F.lit(0), "n_deleted": F.lit(0)}).schema
     text_at, gone_at = joined.columns.index("text"), joined.columns.index("gone")
