@@ -106,22 +106,25 @@ def bandpass(signal: Column, fs: Column, low: Column, high: Column, order: int =
     return butterworth(signal, fs, low, high, "band", order)
 
 
-@F.pandas_udf("array<double>")
-def envelope(x: pd.Series) -> pd.Series:
+def envelope(signal: Column) -> Column:
     """Amplitude of the analytic signal."""
 
-    def one(v):
-        if v is None or not len(v):
-            return v
-        n = len(v)
-        h = np.zeros(n)
-        h[0] = 1
-        h[1 : (n + 1) // 2] = 2
-        if n % 2 == 0:
-            h[n // 2] = 1
-        return np.abs(np.fft.ifft(np.fft.fft(np.asarray(v, float)) * h)).tolist()
-
-    return pd.Series([one(v) for v in x])
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        def one(v):
+            if v is None or not len(v):
+                return v
+            n = len(v)
+            h = np.zeros(n)
+            h[0] = 1
+            h[1 : (n + 1) // 2] = 2
+            if n % 2 == 0:
+                h[n // 2] = 1
+            return np.abs(np.fft.ifft(np.fft.fft(np.asarray(v, float)) * h)).tolist()
+
+        return pd.Series([one(v) for v in x])
+
+    return run(signal)
 
 
 def fourier_resampled(signal: Column, length: int) -> Column:

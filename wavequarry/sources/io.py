@@ -47,7 +47,7 @@ def bracketed_text(lines: DataFrame, header: int) -> DataFrame:
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no, value of text files; a file is read whole, so that its lines keep their numbers."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
 
 
 def without_last(signal: Column) -> Column:
