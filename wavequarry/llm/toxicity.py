@@ -31,7 +31,7 @@ WORDS = re.compile(r"[^\W_]+")
 BUCKETS, DIM, WIDTHS, FILTERS, EPOCHS, SAMPLE = 1 << 18, 8, (1, 2, 3), 8, 6, 6000
 
 
-PAD = max(WIDTHS) - 1
+PAD = max(WIDTHS)
 
 
 def words_in(text: str) -> list[str]:
@@ -83,8 +83,7 @@ class Model:
         """The maxima of all filters and where they are."""
         values, places = [], []
         for w, (f, b) in zip(WIDTHS, zip(self.filters, self.bias)):
-            n = len(x) - max(WIDTHS) + 1
-            n = max(1, n - w + 1)
+            n = max(1, len(x) - PAD - w + 1)
             a = x[:n] @ f[0]
             for j in range(1, w):
                 a = a + x[j : n + j] @ f[j]

@@ -29,6 +29,10 @@ K, WINDOW = 8, 16
 EDITS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+#: stands for a missing id: the least long
+NO_ID = -(1 << 63)
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
@@ -97,13 +101,13 @@ def chained(docs: DataFrame, blocks: int | None = None) -> DataFrame:
 
     The bounds of the blocks are quantiles of the ids, so many that a block fits in a task; only they reach the driver.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spark, n = docs.sparkSession, blocks or 3 * parts(docs.sparkSession)
     cuts = spark_cuts(docs, n)
     block = F.lit(0)
     if cuts:
         block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id")))
-    firsts = sorted((r["block"], r["doc_id"]) for r in docs.groupBy(block.alias("block")).agg(F.min("doc_id").alias("doc_id")).collect() if r["doc_id"] is not None)
+    firsts = sorted((r["block"], r["doc_id"]) for r in docs.groupBy(block.alias("block")).agg(F.min("doc_id").alias("doc_id")).collect())
     # the rows that open a block go to the end of the block before it as well
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
     rows = docs.select(block.alias("block"), F.lit(0).alias("last"), "doc_id", "text")
@@ -139,7 +143,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> Data
                     _, doc, own, print_, own_seen = held
                     new = edited(own, text)
                     changed = winnow(new, k, window) if new != own else print_
-                    out.append((doc, len(own), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), encoded(*print_), encoded(*changed), likeness(own_seen, np.unique(changed[0])), likeness(own_seen, seen)))
+                    out.append((None if doc == NO_ID else doc, len(own), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), encoded(*print_), encoded(*changed), likeness(own_seen, np.unique(changed[0])), likeness(own_seen, seen)))
                     size += len(own)
                 held = None if last[i] else (blocks[i], ids[i], text, mark, seen)
                 if size > 4_000_000:
