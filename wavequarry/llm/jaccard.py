@@ -4,7 +4,7 @@
 2. Shingles are ordered by hash. Linked sets share at least ``l`` shingles of their prefixes of n - t + l (t: the least
    overlap of a set of n with any other). Counting the shared prefix shingles of every set, by numbers dealt to
    buckets, leaves the few sets that can link at all; a map task joins what repeats in its own rows beforehand.
-3. Each prefix shingle of those sets names a list. Every set is verified against the first of each of its lists, which
+3. Each shingle of the least prefixes of those sets, the rarest shingles first, names a list. Every set is verified against the first of each of its lists, which
    joins groups of copies in linear work.
 4. Lists that still hold more than one component become signature trees: nodes carry the OR of their sets' bitmaps and
    ranges of sizes and bitmap counts. A dual traversal drops node pairs whose greatest possible overlap is too small or that are one
@@ -34,7 +34,7 @@ EXTRA, BITS, BLOCK, FAN = 0.15, 1024, 256, 4
 NONE = np.iinfo(np.int64).min
 SETS = "doc_id long, n long, h1 long, h2 long"
 BUCKETS = "bucket int, tokens binary, docs binary"
-FULL = "doc_id long, n long, signature binary, prefix binary, tokens binary"
+FULL = "doc_id long, n long, signature binary, tokens binary"
 
 
 def least_overlap(n: int) -> int:
@@ -143,7 +143,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 bits = np.zeros(BITS // 8, dtype=np.uint8)
                 at = np.unique((s >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64)
                 np.bitwise_or.at(bits, at // 8, np.left_shift(1, at % 8).astype(np.uint8))
-                rows.append((number, len(s), bits.tobytes(), s[: len(s) - least_overlap(len(s)) + 1].tobytes(), s.tobytes()))
+                rows.append((number, len(s), bits.tobytes(), s.tobytes()))
                 size += len(s)
                 if size > 1_000_000:
                     yield batched(rows, FULL)
@@ -155,7 +155,11 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 
 def listed(sets: DataFrame) -> DataFrame:
-    """Rows (token, doc_id, n) of the least prefixes."""
+    """Rows (token, doc_id, n) of the least prefixes in the order of how many of the sets have a shingle, then its hash.
+
+    Shingles of a single set come first; they take part of the prefix and make no list. So a set with more of them than
+    the least overlap leaves over is in no list at all, and shingles of common passages come last.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +168,11 @@ def listed(sets: DataFrame) -> DataFrame:
                 sizes = [len(x) for x in lists]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int64()), pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(np.repeat(b.column(1).to_numpy(), sizes))], names=["token", "doc_id", "n"])
 
-    return sets.select("doc_id", "n", "prefix").mapInArrow(run, "token long, doc_id long, n long")
+    every = sets.select("doc_id", "n", "tokens").mapInArrow(run, "token long, doc_id long, n long")
+    counts = every.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = every.join(counts, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    prefix = F.expr("n - cast(ceil(0.75D * n) as int) + 1") - (F.col("n") - F.size("common"))
+    return common.where(prefix > 0).select(F.explode(F.slice("common", F.lit(1), prefix.cast("int"))).alias("c"), "doc_id", "n").select("c.token", "doc_id", "n")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -181,7 +189,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 class Tree:
@@ -278,7 +286,7 @@ def similar(docs: DataFrame) -> DataFrame:
     need = F.floor(F.floor((3 * F.col("n") + 3) / 4) * EXTRA) + 1
     able = shared_counts(rows).join(classes.select(F.col("class_id").alias("doc_id"), "n"), "doc_id").where(F.col("c") >= need).select("doc_id")
     able = stored(able, "able")
-    full = stored(full_sets(rows.join(able, "doc_id", "left_semi")), "full-sets")
+    full = stored(full_sets(rows.join(able.hint("merge"), "doc_id", "left_semi")), "full-sets")
 
     members = stored(listed(full), "lists")
     first = members.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "first")
