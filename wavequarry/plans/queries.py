@@ -778,6 +778,77 @@ def c7_h16_grid_folds(spark, d):
     return experiments.folds(axes, X.logs(spark, d), "run").groupBy("grp", "run").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT base_dataset, count(*) AS n FROM ({cap_sql(42, 'cap', '30')}) GROUP BY base_dataset")
+def d23_items_per_epoch(spark, d):
+    return h3_cap(spark, d).groupBy("base_dataset").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_shipdate, round((l_discount - l_tax) * (l_discount - l_tax) / 4, 9) AS loss FROM lineitem")
+def d33_padded_loss(spark, d):
+    rows = table(spark, d, "lineitem").withColumns({"p": F.array("l_discount"), "t": F.array("l_tax")})
+    return evaluate.patch_losses(rows, "p", "t", "l2", divisor=4).select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", F.round("loss", 9).alias("loss"))
+
+
+@query("""WITH z AS (SELECT c_custkey AS k, c_custkey % 40 AS n FROM customer), q AS (SELECT k, n, s, o, n * w / (0.8::DOUBLE + 0.1::DOUBLE + 0.1::DOUBLE) AS x FROM z, (SELECT unnest(['train', 'val', 'test']) AS s, unnest([0.8, 0.1, 0.1])::DOUBLE AS w, unnest([0, 1, 2]) AS o))
+  SELECT k, s AS split, (floor(x) + (row_number() OVER (PARTITION BY k ORDER BY x - floor(x) DESC, o) <= n - sum(floor(x)) OVER (PARTITION BY k))::INT)::BIGINT AS size FROM q""")
+def h7_budget(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 40).alias("n"))
+    sizes = F.array(*[F.struct(F.lit(k).alias("split"), v.alias("size")) for k, v in sampling.allocation(F.col("n"), sampling.SPLITS, "order").items()])
+    return c.select("k", F.explode(sizes).alias("x")).select("k", "x.split", "x.size")
+
+
+@query(f"""WITH {LONG}, c AS (SELECT sample_id || ':' || i AS id, sample_id % 3 AS base FROM (SELECT sample_id, unnest(range(ceil(len(signal) / 64.0)::INT)) AS i FROM sig)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY {key_sql(42, 'cap', 'id')}, id) AS n FROM c) SELECT id, base FROM r WHERE base <> 1 OR n <= 20""")
+def h4_chunk_cap(spark, d):
+    c = signal.chunks(X.long_signals(spark, d), "signal", F.lit(8), 8, 0).select(F.concat_ws(":", "sample_id", "chunk_index").alias("id"), (F.col("sample_id") % 3).alias("base"))
+    return sampling.capped(c, "base", "id", {1: 20})
+
+
+@query("SELECT 'v' || (i - 1) AS trace, count(*)::INT AS n, round(sum(embedding[i]::DOUBLE), 5) AS total FROM embeddings, (SELECT unnest(range(1, 6)) AS i) GROUP BY i")
+def a5_trace_columns(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(5)], F.lit(None).cast("double").alias("v9"))
+    return io.trace_columns(e, "vec_id").select("trace", F.size("signal").alias("n"), F.round(A.total(F.col("signal")), 5).alias("total"))
+
+
+@query("""WITH l AS (SELECT o_orderstatus AS path, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS line_no, o_orderkey, o_custkey FROM orders)
+  SELECT path, (row_number() OVER (PARTITION BY path ORDER BY line_no) - 1)::INT AS row, [o_orderkey::DOUBLE, o_custkey::DOUBLE] AS signal FROM l WHERE line_no >= 3 AND o_orderkey % 5 <> 0""")
+def a6_bracketed_text(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_orderstatus").orderBy("o_orderkey")
+    value = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.concat(F.lit("x ["), "o_orderkey", F.lit(", "), "o_custkey", F.lit("]")))
+    lines = table(spark, d, "orders").select(F.col("o_orderstatus").alias("path"), (F.row_number().over(w) - 1).alias("line_no"), value.alias("value"))
+    return io.bracketed_text(lines, 3).select("path", "row", "signal")
+
+
+@query("SELECT c_custkey, c_mktsegment AS task FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey % 5 IN (1, 2)")
+def a13_session_files(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("/in/"), "c_mktsegment", F.lit("_session"), F.col("c_nationkey") % 5, F.lit(".h5")).alias("path"))
+    return io.session_files(c, "BUILDING", ["session1", "session2"]).select("c_custkey", "task")
+
+
+@query("""SELECT s_suppkey // 4 AS session, s_suppkey AS acq, 2 AS channels FROM supplier""")
+def a10_c4_byte_records(spark, d):
+    files = table(spark, d, "supplier").select(F.col("s_suppkey").alias("session"), F.explode(F.array(F.lit(0), F.lit(1))).alias("channel"), F.unhex(F.lit("000102")).alias("content"))
+    frames = io.stacked_channels(io.byte_records(files, 3, 1), [0, 1])
+    return frames.select(F.floor(F.col("session") / 4).alias("session"), (F.col("session") + F.col("acq")).alias("acq"), F.size("signal").alias("channels"))
+
+
+@query(f"WITH {SHARDS}, s AS (SELECT split, count(*) // 64 AS whole FROM r GROUP BY split) SELECT split, (greatest(1, whole * 64 // 2 // 4 // 16) * 4)::BIGINT AS batches FROM s")
+def j6_estimated_batches(spark, d):
+    full = F.floor(F.count(F.lit(1)) / 64)
+    return sharded_orders(spark, d).groupBy("split").agg((F.greatest(F.lit(1), F.floor(full * 64 / 2 / 4 / 16)) * 4).cast("long").alias("batches"))
+
+
+@query(None)
+def k2_regression_heads(spark, d):
+    e = table(spark, d, "embeddings").withColumn("other", (F.col("vec_id") % 7).cast("double"))
+    out = e.select("vec_id", "embedding")
+    for i, m in enumerate(evaluate.regression_heads(e, ["label", "other"], "embedding")):
+        out = out.withColumn(f"output_{i}", A.dot(F.col("embedding"), F.array(*[F.lit(float(v)) for v in m.coefficients])) + float(m.intercept))
+    return out.drop("embedding")
+
+
 @query(None)
 def k1_probe(spark, d):
     e = table(spark, d, "embeddings")
