@@ -129,6 +129,7 @@ def rated(docs: DataFrame, labels: DataFrame, weights: dict, label: str = "quali
 
 def mixed_docs(docs: DataFrame, labels: DataFrame, weights: dict, label: str = "quality", lowest: float = 0.0) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say."""
-    rows = rated(docs, labels, weights, label, lowest).where("copies > 0")
-    again = rows.withColumn("_copies", F.sequence(F.lit(1), F.col("copies")))
-    return again.select(*docs.columns, F.explode("_copies").alias("_copy")).drop("_copy")
+    rows = rated(docs, labels, weights, label, lowest).select(*docs.columns, F.col("copies").alias("_copies"))
+    # written before the filter: pushed below the projections, it would compute the posterior anew for every reference
+    rows = stored(rows, "copies").where("_copies > 0")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
