@@ -448,12 +448,12 @@ def e10_filler_pool(spark, d):
     return sequence.filler_pool(table(spark, d, "orders"), F.lit(20), ["o_orderkey"], ["o_orderpriority"]).select(F.col("o_orderpriority").alias("p"), "o_orderkey", "pool_rank")
 
 
-@query("SELECT c_custkey, row_number() OVER (ORDER BY coalesce(try_cast(regexp_extract(g, '(\\d+)$', 1) AS BIGINT), 4611686018427387904), g, c_custkey) AS place FROM (SELECT c_custkey, 'group_' || (c_custkey % 23) AS g FROM customer)")
+@query("SELECT g, row_number() OVER (ORDER BY coalesce(try_cast(regexp_extract(g, '(\\d+)$', 1) AS BIGINT), 4611686018427387904), g) AS place FROM (SELECT DISTINCT 'group_' || (c_custkey % 23) AS g FROM customer)")
 def f1_natural_order(spark, d):
     from pyspark.sql import Window
 
-    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("group_"), F.col("c_custkey") % 23).alias("g"))
-    return c.select("c_custkey", F.row_number().over(Window.orderBy(*sequence.natural_key(F.col("g")), "c_custkey")).alias("place"))
+    groups = table(spark, d, "customer").select(F.concat(F.lit("group_"), F.col("c_custkey") % 23).alias("g")).distinct()  # few
+    return groups.select("g", F.row_number().over(Window.orderBy(*sequence.natural_key(F.col("g")))).alias("place"))
 
 
 @query(f"WITH {SIG} SELECT sample_id FROM (SELECT *, row_number() OVER (PARTITION BY source_dataset ORDER BY {key_sql(5, 'qa', 'sample_id')}, sample_id) AS n FROM sig) WHERE n <= 4")
@@ -565,13 +565,11 @@ def h14_balanced(spark, d):
     return sampling.balanced(f, "patient_id", "label", "vec_id").select("vec_id")
 
 
-@query("""WITH r AS (SELECT 'v' || vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS k, count(*) OVER () AS n FROM embeddings), f AS (SELECT unnest(range((-(SELECT any_value(n) FROM r) % 96 + 96) % 96)) AS j)
+@query("""WITH r AS (SELECT 'v' || vec_id AS id, row_number() OVER (ORDER BY md5('2:fill:v' || vec_id), 'v' || vec_id) - 1 AS k, count(*) OVER () AS n FROM embeddings), f AS (SELECT unnest(range((-(SELECT any_value(n) FROM r) % 96 + 96) % 96)) AS j)
   SELECT id, k, false AS is_filler FROM r UNION ALL SELECT id || '__filler' || j, n + j, true FROM r JOIN f ON k - (n - least(greatest(2 * ((-n % 96 + 96) % 96), 32), n)) = j % least(greatest(2 * ((-n % 96 + 96) % 96), 32), n)""")
 def h15_fillers(spark, d):
-    from pyspark.sql import Window
-
-    e = table(spark, d, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("id"), (F.row_number().over(Window.orderBy("vec_id")) - 1).cast("long").alias("k"))
-    return sampling.filled(e, "id", 96, "k")
+    e = table(spark, d, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("id"))
+    return sampling.filled(sampling.global_rank(e, "id", 2, "fill", "k"), "id", 96, "k").select("id", "k", "is_filler")
 
 
 @query(f"""WITH {SIG}, v AS (SELECT sample_id, signal, len(signal) // 2 AS n, unnest([0, 1]) AS "view", unnest([0.5, 0.25]) AS ratio FROM sig), w AS (SELECT *, greatest(round_even(ratio * n, 0), 1)::INT AS patches FROM v WHERE n > 0),
