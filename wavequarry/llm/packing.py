@@ -13,9 +13,11 @@ gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,41 +32,90 @@ SHARD, TERMS, LOOKED_AT, K1, B = 2048, 24, 48, 1.2, 0.75
 TOKENS = "doc_id long, doc_tokens long, ids binary, key_a long, key_b long"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
-#: Within this alphabet Python's ``re`` splits words as the byte-level pre-tokenizer does.
-LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-OUTSIDE = re.compile(f"[^\x00-\x1b\x20-\x7e{LETTERS[6:]}‐-‧€]")
-SPLIT = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+#: The byte-level pre-tokenizer's own pattern, as its makers published it.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BLANKS = re.compile(r"\s\s")
 
 
 class Tokenizer:
-    """Ids of texts by a ``tokenizers`` file, as bytes. Words already seen come from a bounded memory."""
+    """Ids of texts by a ``tokenizers`` file, as bytes. Words already seen come from a bounded memory.
 
-    def __init__(self, path: str, limit: int = 250_000):
+    New words of a byte-level BPE go through ``tiktoken``, with the vocabulary of the same file as ranks, where the
+    file's merges come in the order of their ids: then both give the same ids.
+    """
+
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
         self.model = tokenizers.Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.by_word = self.model.normalizer is None and type(self.model.pre_tokenizer).__name__ == "ByteLevel" and not self.model.pre_tokenizer.add_prefix_space
+        by_word = self.model.normalizer is None and type(self.model.pre_tokenizer).__name__ == "ByteLevel" and not self.model.pre_tokenizer.add_prefix_space
         self.known: dict[str, bytes] = {}
         self.limit = limit
+        self.ranked = self.ranks() if by_word else None
+        self.line = self.ranked.encode_single_token(b"\n") if self.ranked else 0
+
+    def ranks(self):
+        import tiktoken
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        told = json.loads(self.model.to_str())["model"]
+        vocabulary, merges = told["vocab"], [m.split(" ") if isinstance(m, str) else m for m in told["merges"]]
+        made = [vocabulary["".join(m)] for m in merges]
+        if made != sorted(made) or told["type"] != "BPE":
+            return None
+        # the printable stand-ins of the bytes: those that print stand for themselves, the others follow from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in printable]
+        byte = {chr(x): x for x in printable} | {chr(256 + i): x for i, x in enumerate(rest)}
+        if set(byte) != set(ByteLevel.alphabet()):
+            return None
+        tokens = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if t not in self.special}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={}) if b"\n" in tokens else None
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
 
+    def new(self, keys: list[str]) -> list[bytes]:
+        """Ids of words that a space stands before, or of a line end and the word behind it."""
+        out: dict[str, bytes] = {}
+        line = np.array([self.line], dtype=self.dtype).tobytes()
+        for key in keys:
+            word = key.removeprefix("\n")
+            if not word or not word.isalnum() and any(c.isspace() for c in word):
+                out[key] = np.array(self.ranked.encode_ordinary(key if key[:1] == "\n" else " " + key), dtype=self.dtype).tobytes()
+        # the others in one call, a line each; the line ends part their ids
+        rest = [key for key in keys if key not in out]
+        ids = np.array(self.ranked.encode_ordinary("\n".join([key[1:] if key[0] == "\n" else " " + key for key in rest])), dtype=self.dtype)
+        ends = np.r_[np.flatnonzero(ids == self.line), len(ids)] * self.dtype.itemsize
+        data = ids.tobytes()
+        for key, a, b in zip(rest, np.r_[0, ends[:-1] + self.dtype.itemsize].tolist(), ends.tolist()):
+            out[key] = line + data[a:b] if key[0] == "\n" else data[a:b]
+        return [out[key] for key in keys]
+
     def ids(self, text: str) -> bytes:
-        if not self.by_word or OUTSIDE.search(text) or any(s in text for s in self.special):
+        if self.ranked is None or any(s in text for s in self.special):
             return self.plain([text])[0]
-        words = SPLIT.findall(text)
-        new = list(set(words).difference(self.known))
-        if not new:
-            return b"".join(map(self.known.__getitem__, words))
-        own = dict(zip(new, self.plain(new)))
-        if len(self.known) + len(own) <= self.limit:
+        if BLANKS.search(text):
+            return np.array(self.ranked.encode_ordinary(text), dtype=self.dtype).tobytes()
+        # where no two blanks meet, no token of the byte-level split has a blank but as its first character
+        first, *keys = text.replace("\n", " \n").split(" ")
+        head = np.array(self.ranked.encode_ordinary(first), dtype=self.dtype).tobytes()
+        new = list(set(keys).difference(self.known))
+        if new:
+            own = dict(zip(new, self.new(new)))
+            if len(self.known) + len(own) > self.limit:
+                return head + b"".join([own[k] if k in own else self.known[k] for k in keys])
             self.known.update(own)
-            return b"".join(map(self.known.__getitem__, words))
-        return b"".join([own[w] if w in own else self.known[w] for w in words])
+        return head + b"".join(map(self.known.__getitem__, keys))
+
+
+@lru_cache(maxsize=1)
+def tokenizer(path: str) -> Tokenizer:
+    """One for all tasks of a Python worker."""
+    return Tokenizer(path)
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
@@ -72,7 +123,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     schema = schema_of(TOKENS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tokenizer(path)
+        t = tokenizer(path)
         for b in batches:
             numbers, rows, size = b.column(0), [], 0
             for i, text in texts_of(b):
@@ -209,7 +260,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
 
     ids: the piece's token ids, little-endian unsigned 32-bit. path: a file of the ``tokenizers`` library.
     """
-    model = Tokenizer(path)
+    model = tokenizer(path)
     dtype, vocabulary = model.dtype, model.model.get_vocab_size()
     width = dtype.itemsize
     tokens = stored(tokenized(docs, path), "tokens")
