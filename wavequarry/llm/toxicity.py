@@ -47,7 +47,7 @@ class Pieces(dict):
     """word -> buckets; forgets all when there are too many."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         value = pieces(word)
         if len(word) < 64:
