@@ -23,25 +23,33 @@ from pyspark.sql import functions as F
 from wavequarry.llm.shared import stored
 
 BINS, ITERATIONS, STEP, TOLERANCE = 16, 40, 0.7, 1e-4
-SYMBOLS, DIGITS = "#$%&*|!<>{}[]=_~^", "0123456789"
+SYMBOLS, DIGITS, CAPITALS = r"[#$%&*|!<>{}\[\]=_~^]", "[0-9]", "[A-Z]"
 
 
-def tokens_of(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\S+")).cast("long")
-
-
-def binned(text: Column) -> list[Column]:
-    """Features of a text as numbers from 0 to ``BINS`` - 1."""
-    n = F.length(text)
-    share = lambda left: F.least(F.lit(BINS - 1), F.ceil(40 * (n - F.length(left)) / F.greatest(n, F.lit(1)))).cast("int")
-    return [
-        F.least(F.lit(BINS - 1), F.floor(F.log2(n + F.lit(1.0)))).cast("int"),
-        share(F.translate(text, SYMBOLS, "")),
-        share(F.translate(text, DIGITS, "")),
-        F.least(F.lit(BINS - 1), F.ceil(20 * (n - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))) / F.greatest(n, F.lit(1)))).cast("int"),
-        F.least(F.lit(BINS - 1), F.floor(n / F.greatest(n - F.length(F.translate(text, " \n\t", "")), F.lit(1)))).cast("int"),
-        F.least(F.lit(BINS - 1), F.floor(10 * F.size(F.array_distinct(F.split(text, "\n"))) / F.size(F.split(text, "\n")))).cast("int"),
-    ]
+def with_features(df: DataFrame) -> DataFrame:
+    """``df`` with tokens (words) and bins: features of the text as numbers from 0 to ``BINS`` - 1. Each is one scan of the text."""
+    text = F.coalesce("text", F.lit(""))
+    n, most = F.greatest(F.length(text), F.lit(1)), F.lit(BINS - 1)
+    share = lambda pattern, scale: F.least(most, F.ceil(scale * F.regexp_count(text, F.lit(pattern)) / n)).cast("int")
+    df = df.withColumn("tokens", F.regexp_count(text, F.lit(r"\S+")).cast("long"))
+    lines = F.split(text, "\n")
+    return df.withColumn(
+        "bins",
+        F.array(
+            F.least(most, F.floor(F.log2(F.length(text) + F.lit(1.0)))).cast("int"),
+            share(SYMBOLS, 40),
+            share(DIGITS, 40),
+            share(CAPITALS, 20),
+            F.least(most, F.floor(n / F.greatest(F.col("tokens"), F.lit(1)))).cast("int"),
+            F.least(most, F.floor(10 * F.size(F.array_distinct(lines)) / F.size(lines))).cast("int"),
+        ),
+    )
+
+
+def chance() -> Column:
+    """A number from 0 to 1 by a hash of id and text."""
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), F.lit("mix"))
+    return (F.pmod(key, F.lit(1 << 52)) / F.lit(float(1 << 52))).cast("double")
 
 
 def classifier(featured: DataFrame, labels: DataFrame, label: str) -> tuple[list, list[float], list[list[list[float]]]]:
@@ -100,19 +108,14 @@ def fitted(members: DataFrame, targets: list[float], lowest: float) -> list[list
     return residuals
 
 
-def rated(docs: DataFrame, labels: DataFrame, weights: dict, label: str = "quality", lowest: float = 0.0) -> DataFrame:
-    """``docs`` with tokens, p (posterior by domain, in the order of the sorted labels), rate and copies.
+OWN = ["tokens", "bins", "p", "rate", "copies", "_chance"]
 
-    The targets are the weights times the tokens of ``docs``; with ``lowest`` above 0, times the least total for which no domain
-    needs fewer tokens than it has at that rate.
-    """
-    docs = docs.drop("bins", "tokens", "p", "rate", "copies")
-    text = F.coalesce("text", F.lit(""))
-    key = F.xxhash64(F.col("doc_id").cast("string"), text, F.lit("mix"))
-    featured = stored(docs.select("doc_id", tokens_of(text).alias("tokens"), F.array(*binned(text)).alias("bins")), "features")
+
+def rates(featured: DataFrame, labels: DataFrame, weights: dict, label: str, lowest: float):
+    """A function that adds p, rate and copies to rows with bins and _chance, fitted to ``featured`` (doc_id, tokens, bins)."""
     domains, prior, likely = classifier(featured, labels, label)
     if not domains:
-        return docs.withColumn("tokens", tokens_of(text)).withColumn("p", F.array().cast("array<double>")).withColumn("rate", F.lit(max(1.0, lowest))).withColumn("copies", F.lit(max(1, int(lowest))))
+        return lambda df: df.withColumn("p", F.array().cast("array<double>")).withColumn("rate", F.lit(max(1.0, lowest))).withColumn("copies", F.lit(max(1, int(lowest))))
     # a posterior depends on the bins alone: documents with equal bins are summed up first
     alike = featured.groupBy("bins").agg(F.sum("tokens").alias("tokens"))
     members = stored(with_posterior(alike, prior, likely).select("tokens", "p"), "posteriors")
@@ -121,15 +124,23 @@ def rated(docs: DataFrame, labels: DataFrame, weights: dict, label: str = "quali
     now = [x or 0.0 for x in members.agg(*[F.sum(F.col("tokens") * F.col("p")[i]) for i in range(len(domains))]).first()]
     total = max([sum(now), *[lowest * n / s for n, s in zip(now, share) if s]]) if lowest else sum(now)
     residuals = fitted(members, [s * total for s in share], lowest)
-    out = with_posterior(docs.withColumn("tokens", tokens_of(text)).withColumn("bins", F.array(*binned(text))), prior, likely)
-    out = out.withColumn("rate", rate(F.col("p"), residuals, lowest)).drop("bins")
-    chance = (F.pmod(key, F.lit(1 << 52)) / F.lit(float(1 << 52))).cast("double")
-    return out.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+    return lambda df: with_posterior(df, prior, likely).withColumn("rate", rate(F.col("p"), residuals, lowest)).withColumn("copies", F.floor(F.col("rate") + F.col("_chance")).cast("int"))
+
+
+def rated(docs: DataFrame, labels: DataFrame, weights: dict, label: str = "quality", lowest: float = 0.0) -> DataFrame:
+    """``docs`` without text, with tokens, p (posterior by domain, in the order of the sorted labels), rate and copies.
+
+    The targets are the weights times the tokens of ``docs``; with ``lowest`` above 0, times the least total for which no domain
+    needs fewer tokens than it has at that rate.
+    """
+    featured = stored(with_features(docs.drop(*OWN)).withColumn("_chance", chance()).drop("text"), "features")
+    return rates(featured, labels, weights, label, lowest)(featured).drop("bins", "_chance")
 
 
 def mixed_docs(docs: DataFrame, labels: DataFrame, weights: dict, label: str = "quality", lowest: float = 0.0) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say."""
-    rows = rated(docs, labels, weights, label, lowest).select(*docs.columns, F.col("copies").alias("_copies"))
+    featured = stored(with_features(docs.drop(*OWN)).withColumn("_chance", chance()), "features")
+    rows = rates(featured, labels, weights, label, lowest)(featured).select(*[c for c in docs.columns if c not in OWN], F.col("copies").alias("_copies"))
     # written before the filter: pushed below the projections, it would compute the posterior anew for every reference
     rows = stored(rows, "copies").where("_copies > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    return rows.select("*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy", "_copies")
