@@ -54,6 +54,8 @@ class Tokenizer:
         by_word = self.model.normalizer is None and type(self.model.pre_tokenizer).__name__ == "ByteLevel" and not self.model.pre_tokenizer.add_prefix_space
         self.known: dict[str, bytes] = {}
         self.limit = limit
+        h = mixed(np.arange(1, self.model.get_vocab_size() + 1, dtype=np.uint64))
+        self.hashes = [h >> np.uint64(1), h * MIX >> np.uint64(1)]  # of each id, for min-hashes
         self.ranked = self.ranks() if by_word else None
         self.line = self.ranked.encode_single_token(b"\n") if self.ranked else 0
 
@@ -128,8 +130,8 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
             numbers, rows, size = b.column(0), [], 0
             for i, text in texts_of(b):
                 ids = t.ids(text) + bytes(t.dtype.itemsize)
-                h = mixed(np.unique(np.frombuffer(ids, dtype=t.dtype)).astype(np.uint64) + np.uint64(1))
-                rows.append((numbers[i].as_py(), len(ids) // t.dtype.itemsize, ids, int(h.min() >> np.uint64(1)), int((h * MIX).min() >> np.uint64(1))))
+                at = np.frombuffer(ids, dtype=t.dtype)
+                rows.append((numbers[i].as_py(), len(at), ids, int(t.hashes[0][at].min()), int(t.hashes[1][at].min())))
                 size += len(ids)
                 if size > 8_000_000 or i == len(b) - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
