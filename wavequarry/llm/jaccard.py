@@ -30,7 +30,7 @@ from wavequarry.llm.shared import components, parts, schema_of, stored
 from wavequarry.llm.wordsets import sets_of
 
 #: Share of a set by which the counted prefix is longer than the least one; bits of a signature; sets in a block; children of a node.
-EXTRA, BITS, BLOCK, FAN = 0.15, 1024, 256, 4
+EXTRA, BITS, BLOCK, FAN = 0.15, 4096, 256, 4
 NONE = np.iinfo(np.int64).min
 SETS = "doc_id long, n long, h1 long, h2 long"
 BUCKETS = "bucket int, tokens binary, docs binary"
