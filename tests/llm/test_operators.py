@@ -289,6 +289,24 @@ def test_jaccard_against_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_in_any_order_of_ids(spark):
+    rng = random.Random(19)
+    rows = []
+    for _ in range(30):
+        own = text(rng, 60).split()
+        near = [*own[:-1], "other"]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate((own, own, near, own, near))]
+    want = brute_components(rows)
+    shuffled = list(rows)
+    rng.shuffle(shuffled)
+    for order, files in ((rows[::-1], 1), (shuffled, 1), (shuffled, 37)):
+        df = docs_of(spark, order).repartition(files) if files > 1 else docs_of(spark, order).coalesce(1)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar(df).collect()} == want
+    names = jaccard.set_rows(docs_of(spark, rows).select("doc_id", "text")).select("h2").distinct()
+    alone = docs_of(spark, [(i, text(random.Random(1), 60)) for i in range(40)]).repartition(8).select("doc_id", "text")
+    assert names.count() == 60 and jaccard.shared_counts(alone).count() == 0
+
+
 def test_jaccard_cases(spark, hard):
     df = docs_of(spark, hard)
     assert jaccard.similar(df).count() == len(hard) and jaccard.similar(df.limit(0)).count() == 0

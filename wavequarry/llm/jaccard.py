@@ -2,8 +2,9 @@
 
 1. Equal sets are one class, represented by its smallest id.
 2. Shingles are ordered by hash. Linked sets share at least ``l`` shingles of their prefixes of n - t + l (t: the least
-   overlap of a set of n with any other). Counting the shared prefix shingles of every set, by numbers dealt to
-   buckets, leaves the few sets that can link at all; a map task joins what repeats in its own rows beforehand.
+   overlap of a set of n with any other). Counting the shared prefix shingles of every class, under a hash of its set that all
+   its members have, by numbers dealt to buckets, leaves the few that can link at all; a map task joins what repeats in its own
+   rows beforehand.
 3. Each shingle of the least prefixes of those sets, the rarest shingles first, names a list. Every set is verified against the first of each of its lists, which
    joins groups of copies in linear work.
 4. Lists that still hold more than one component become signature trees: nodes carry the OR of their sets' bitmaps and
@@ -50,13 +51,18 @@ def batched(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def hashes(s: np.ndarray) -> tuple[int, int]:
+    """h1, h2 of a set; h2 is odd, so it is never NONE."""
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63) | 1
+
+
 def set_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for number, s in zip(b.column(0).to_pylist(), sets_of(b.column(1))):
-                h = xxhash.xxh3_128_intdigest(s.tobytes())
-                rows.append((number, len(s), (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)))
+                rows.append((number, len(s), *hashes(s)))
             if rows:
                 yield batched(rows, SETS)
 
@@ -64,8 +70,8 @@ def set_rows(docs: DataFrame) -> DataFrame:
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, c: how many of the counted prefix shingles of a set occur in that of another one. Equal sets of different
-    map tasks count each other as well, which lets too many pass and none too few."""
+    """h2, c: how many of the counted prefix shingles of a class occur in that of another one, whichever members are read. A shingle
+    counts again in each map task that joins it beforehand, which lets too many pass and none too few."""
     n_buckets = 4 * parts(docs.sparkSession)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,12 +101,12 @@ def shared_counts(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for number, s in zip(b.column(0).to_pylist(), sets_of(b.column(1))):
-                if number is None or not len(s) or (key := xxhash.xxh3_128_digest(s.tobytes())) in seen:
+                if number is None or not len(s) or (key := hashes(s)) in seen:
                     continue
                 seen.add(key)
                 n = len(s)
                 tokens.append(s[: n - least_overlap(n) + 1 + extra(n)])
-                owners.append(number)
+                owners.append(key[1])
                 size += len(tokens[-1])
                 if size > 1_500_000:
                     yield from flush()
@@ -114,13 +120,23 @@ def shared_counts(docs: DataFrame) -> DataFrame:
                 return
             token, owner = np.concatenate(tokens), np.concatenate(docs_)
             if at < n_buckets:
+                flush = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
                 order = np.argsort(token, kind="stable")
-                token, owner = token[order], owner[order]
-                same = token[1:] == token[:-1]
-                owner = owner[(np.r_[same, False] | np.r_[False, same]) & (owner != NONE)]
-                owner, token = np.unique(owner, return_counts=True)
+                same = token[order][1:] == token[order][:-1]
+                order = order[np.r_[same, False] | np.r_[False, same]]
+                # a class that several map tasks have read meets itself, which is no other one, and counts in one of them; shingles
+                # of one task whose dealt bits are equal count each
+                order = order[np.lexsort((flush[order], owner[order], token[order]))]
+                token, owner, flush = token[order], owner[order], flush[order]
+                new = np.r_[True, token[1:] != token[:-1]][: len(token)]
+                own = new | np.r_[True, owner[1:] != owner[:-1]][: len(token)]
+                starts = np.flatnonzero(new)
+                ends = np.r_[starts[1:], len(token)][: len(starts)]
+                several = np.repeat(owner[starts] != owner[ends - 1], ends - starts)
+                once = flush == flush[own][np.cumsum(own) - 1]
+                owner, token = np.unique(owner[several & once & (owner != NONE)], return_counts=True)
             if len(owner):
-                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(token.astype(np.int64))], names=["doc_id", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(token.astype(np.int64))], names=["h2", "c"])
 
         for b in batches:
             for bucket, t, d in zip(*(c.to_pylist() for c in b.columns)):
@@ -132,7 +148,7 @@ def shared_counts(docs: DataFrame) -> DataFrame:
         yield from done()
 
     dealt = docs.mapInArrow(deal, BUCKETS).repartition(parts(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(count, "doc_id long, c long").groupBy("doc_id").agg(F.sum("c").alias("c"))
+    return dealt.mapInArrow(count, "h2 long, c long").groupBy("h2").agg(F.sum("c").alias("c"))
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -284,7 +300,7 @@ def similar(docs: DataFrame) -> DataFrame:
 
     # the counted prefixes of two linked sets share as many shingles as the smaller set must, and that is at least 3/4 as large
     need = F.floor(F.floor((3 * F.col("n") + 3) / 4) * EXTRA) + 1
-    able = shared_counts(rows).join(classes.select(F.col("class_id").alias("doc_id"), "n"), "doc_id").where(F.col("c") >= need).select("doc_id")
+    able = shared_counts(rows).join(classes, "h2").where(F.col("c") >= need).select(F.col("class_id").alias("doc_id"))
     able = stored(able, "able")
     full = stored(full_sets(rows.join(able.hint("merge"), "doc_id", "left_semi")), "full-sets")
 
