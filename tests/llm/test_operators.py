@@ -178,6 +178,16 @@ def test_html():
     assert [htmltext.main_text(x) for x in ("", "plain", "<", "<p", "<!-- x", "<p>a<p>b", "<div class=ad>x</div>y", "<article>a")] == ["", "plain", "<", "", "", "a b", "y", "a"]
 
 
+def test_html_keeps_what_holds_the_article():
+    body = "<h1>Title</h1><p>" + "long text of it " * 20 + "</p>"
+    want = "Title " + ("long text of it " * 20).strip()
+    bar = "<div class=sidebar>side</div>"
+    for around in ("<div id=page class=with-sidebar>%s</div>", "<div class='layout header-fixed'><article>%s</article></div>", "<article class='post comments-open'>%s</article>", "<form>%s</form>", "<article><div class=social-story>%s</div></article>"):
+        assert htmltext.main_text("<body>" + around % (body + bar) + "</body>") == want
+    assert htmltext.main_text("<article><div class=post-header><h1>T</h1></div><p>x</p><div class=comments>no</div></article>") == "T x"
+    assert htmltext.main_text("<div class=related>" + body + "<article>teaser</article></div><article><p>own</p></article>") == "own"
+
+
 def test_style_tree_removes_what_a_host_repeats(spark):
     rng = random.Random(6)
     pages = [(i, "http://h.example/%d" % i, f"<body><div id=w><div>Visit our other pages today</div><div id=c><p>{text(rng, 30)}</p></div></div></body>") for i in range(12)]

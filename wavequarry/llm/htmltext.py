@@ -4,9 +4,10 @@ The pages of a host are merged into a tree whose nodes are the paths of elements
 content importance is one minus the mean entropy of its blocks over the pages that have it: blocks that most pages of a
 host repeat (notices, menus) have entropy near 1, text of its own has 0. A node's presentation importance is the entropy
 of its layouts (the sequence of its children) over the pages. Branches whose combined importance stays below
-``least`` are removed from each page. Elements that HTML itself marks as no part of the article (navigation, forms,
-scripts ...) or whose class, id or role names such a part are removed beforehand, and the inside of an article or main
-element is kept: those are the tree's fixed weights.
+``least`` are removed from each page. Elements that HTML itself marks as no part of the article (navigation, scripts ...)
+are removed beforehand, and the inside of an article or main element is kept: those are the tree's fixed weights. Forms,
+a page's headers and elements whose class, id or role names such a part are removed too, unless they hold most of the page's
+text and no article element stands outside of them, or all but a tenth of the article's text.
 
 Defined cases: null or empty html gives an empty text; tags that are never closed end with their parent; a host's nodes on fewer than
 ``pages`` different pages are kept (entropy over a few pages says little); a null url, or one without a host, is the host ''; rows with a
@@ -38,7 +39,7 @@ RAW = frozenset("script style textarea title noscript template iframe xmp noembe
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: elements that are never part of an article's text
-NEVER = RAW | frozenset("head nav aside footer form button select option input svg math object audio video canvas map dialog menu datalist fieldset optgroup progress meter".split())
+NEVER = RAW | frozenset("head nav aside footer button select option input svg math object audio video canvas map dialog menu datalist fieldset optgroup progress meter".split())
 #: words of a class, id or role that name such parts
 PARTS = frozenset("""
 ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted
@@ -62,16 +63,19 @@ def named(tag: str) -> set[str]:
 
 def blocks(page: str) -> Iterator[tuple[bool, tuple[str, ...], str]]:
     """(inside an article or main element, path of styled elements, text) of each block that can be part of the article, in order."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, style, removed, inside
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, style, removed, inside, doubtful elements around
     text: list[str] = []
+    found: list[tuple[bool, tuple[str, ...], str, tuple[int, ...]]] = []
+    doubtful: list[bool] = []  # whether each doubtful element is inside an article
+    articles: set[tuple[int, ...]] = set()
     at, n = 0, len(page)
 
-    def flush() -> Iterator[tuple[bool, tuple[str, ...], str]]:
+    def flush() -> None:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if whole and not (stack and stack[-1][2]):
-                yield bool(stack and stack[-1][3]), tuple(x[1] for x in stack), whole
+                found.append((bool(stack and stack[-1][3]), tuple(x[1] for x in stack), whole, stack[-1][4] if stack else ()))
 
     while at < n:
         m = TOKEN.match(page, at)
@@ -88,10 +92,10 @@ def blocks(page: str) -> Iterator[tuple[bool, tuple[str, ...], str]]:
             if tag in INLINE:
                 continue
             if tag in ("p", "br"):
-                yield from flush()
+                flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    yield from flush()
+                    flush()
                     del stack[i:]
                     break
             continue
@@ -99,7 +103,7 @@ def blocks(page: str) -> Iterator[tuple[bool, tuple[str, ...], str]]:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             if tag not in INLINE:
-                yield from flush()
+                flush()
             continue
         hints = named(piece) if "=" in piece else set()
         if tag in INLINE:
@@ -107,7 +111,7 @@ def blocks(page: str) -> Iterator[tuple[bool, tuple[str, ...], str]]:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else at
             continue
-        yield from flush()
+        flush()
         if tag in VOID:
             continue
         if tag in BLOCKS or tag in CLOSES:
@@ -118,11 +122,44 @@ def blocks(page: str) -> Iterator[tuple[bool, tuple[str, ...], str]]:
                         break
                     if stack[i][0] in SCOPE:
                         break
-        removed, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+        removed, inside, around = stack[-1][2:] if stack else (False, False, ())
+        removed = removed or tag in NEVER
         # a page's header is none of the article's text; an article's own one holds its heading
-        removed = removed or tag in NEVER or bool(hints & PARTS) and tag not in ("html", "body", "main") or tag == "header" and not inside
-        stack.append((tag, f"{tag}.{'.'.join(sorted(hints - {''}))}" if hints else tag, removed, inside or not removed and (tag in ("article", "main") or "main" in hints and tag not in ("html", "body"))))
-    yield from flush()
+        parts = hints & PARTS - {"header"} if inside else hints & PARTS
+        if not removed and (parts and tag not in ("html", "body", "main") or tag == "form" or tag == "header" and not inside):
+            around = (*around, len(doubtful))
+            doubtful.append(inside)
+        if not removed and (tag in ("article", "main") or "main" in hints and tag not in ("html", "body")):
+            inside = True
+            articles.add(around)
+        stack.append((tag, f"{tag}.{'.'.join(sorted(hints - {''}))}" if hints else tag, removed, inside, around))
+    flush()
+    gone = without(found, doubtful, articles)
+    for own, path, whole, around in found:
+        if gone.isdisjoint(around):
+            yield own, path, whole
+
+
+def without(found: list[tuple], doubtful: list[bool], articles: set[tuple[int, ...]]) -> set[int]:
+    """The doubtful elements to remove: not those that hold the article or, where a page marks none, most of its text."""
+    gone = set(range(len(doubtful)))
+    if not gone:
+        return gone
+    size, total = [0] * len(doubtful), 0
+    for _, _, t, around in found:
+        total += len(t)
+        for x in around:
+            size[x] += len(t)
+    for x, within in enumerate(doubtful):  # outer elements come first
+        if 2 * size[x] <= total:
+            continue
+        if within and any(gone.isdisjoint(a) for a in articles):
+            left = sum(len(t) for own, _, t, around in found if own and gone.isdisjoint(around))
+            if 10 * left < size[x]:
+                gone.discard(x)
+        elif not any(gone.isdisjoint(a) for a in articles):
+            gone.discard(x)
+    return gone
 
 
 def host_of(url: str | None) -> str:
