@@ -202,6 +202,19 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_decides_inside_and_outside_articles(spark):
+    rng = random.Random(8)
+    own = [text(rng, 60) for _ in range(18)]
+    notice = "<div class=zq>Read all our other pages today</div>"
+    pages = [(i, "http://a.example/%d" % i, f"<body><p>top</p><main><article><h1>t{i}</h1>{notice}<p>{own[i]}</p></article></main></body>", f"t{i} {own[i]}") for i in range(8)]
+    pages += [(i, "http://b.example/%d" % i, f"<body><div class=q7>{own[i]}</div>{notice}<article>See {i}</article></body>", f"{own[i]} See {i}") for i in range(8, 16)]
+    pages += [(16, "http://c.example/", f"<body><div>{own[16]}</div><article>See</article></body>", own[16] + " See")]
+    # pages of one article in different frames keep it
+    pages += [(20 + i, "http://d.example/%d" % i, f"<body><div>x{i}</div><article><p>{own[17]}</p></article></body>", own[17]) for i in range(8)]
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in htmltext.extract(df).collect()} == {p[0]: p[3] for p in pages}
+
+
 # ---- mixing
 
 

@@ -5,7 +5,8 @@ content importance is one minus the mean entropy of its blocks over the pages th
 host repeat (notices, menus) have entropy near 1, text of its own has 0. A node's presentation importance is the entropy
 of its layouts (the sequence of its children) over the pages. Branches whose combined importance stays below
 ``least`` are removed from each page. Elements that HTML itself marks as no part of the article (navigation, scripts ...)
-are removed beforehand, and the inside of an article or main element is kept: those are the tree's fixed weights. Forms,
+are removed beforehand: those have the weight 0. An article or main element is a prior: nodes below it are removed as any others,
+unless most of its text would go, and blocks outside of it stay only where they hold more text than it does. Forms,
 a page's headers and elements whose class, id or role names such a part are removed too, unless they hold most of the page's
 text and no article element stands outside of them, or all but a tenth of the article's text.
 
@@ -61,11 +62,11 @@ def named(tag: str) -> set[str]:
     return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", hints).lower())) if hints else set()
 
 
-def blocks(page: str) -> Iterator[tuple[bool, tuple[str, ...], str]]:
-    """(inside an article or main element, path of styled elements, text) of each block that can be part of the article, in order."""
-    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, style, removed, inside, doubtful elements around
+def blocks(page: str) -> Iterator[tuple[int, tuple[str, ...], str]]:
+    """(depth of the article or main element around it or 0, path of styled elements, text) of each block that can be part of the article, in order."""
+    stack: list[tuple[str, str, bool, int, tuple[int, ...]]] = []  # tag, style, removed, inside, doubtful elements around
     text: list[str] = []
-    found: list[tuple[bool, tuple[str, ...], str, tuple[int, ...]]] = []
+    found: list[tuple[int, tuple[str, ...], str, tuple[int, ...]]] = []
     doubtful: list[bool] = []  # whether each doubtful element is inside an article
     articles: set[tuple[int, ...]] = set()
     at, n = 0, len(page)
@@ -75,7 +76,7 @@ def blocks(page: str) -> Iterator[tuple[bool, tuple[str, ...], str]]:
             whole = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if whole and not (stack and stack[-1][2]):
-                found.append((bool(stack and stack[-1][3]), tuple(x[1] for x in stack), whole, stack[-1][4] if stack else ()))
+                found.append((stack[-1][3] if stack else 0, tuple(x[1] for x in stack), whole, stack[-1][4] if stack else ()))
 
     while at < n:
         m = TOKEN.match(page, at)
@@ -122,15 +123,15 @@ def blocks(page: str) -> Iterator[tuple[bool, tuple[str, ...], str]]:
                         break
                     if stack[i][0] in SCOPE:
                         break
-        removed, inside, around = stack[-1][2:] if stack else (False, False, ())
+        removed, inside, around = stack[-1][2:] if stack else (False, 0, ())
         removed = removed or tag in NEVER
         # a page's header is none of the article's text; an article's own one holds its heading
         parts = hints & PARTS - {"header"} if inside else hints & PARTS
         if not removed and (parts and tag not in ("html", "body", "main") or tag == "form" or tag == "header" and not inside):
             around = (*around, len(doubtful))
-            doubtful.append(inside)
+            doubtful.append(inside > 0)
         if not removed and (tag in ("article", "main") or "main" in hints and tag not in ("html", "body")):
-            inside = True
+            inside = inside or len(stack) + 1
             articles.add(around)
         stack.append((tag, f"{tag}.{'.'.join(sorted(hints - {''}))}" if hints else tag, removed, inside, around))
     flush()
@@ -172,16 +173,16 @@ def node(path: Iterable[str]) -> int:
 
 
 def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
-    """The blocks of the article; where a page marks no article, all blocks outside removed branches and low nodes."""
+    """The blocks outside low nodes: those of the article, and the others where they hold more text or no article is marked."""
     found = list(blocks(page))
-    inside = [t for own, _, t in found if own]
-    if inside:
-        return " ".join(inside)
-    kept = []
-    for _, path, t in found:
-        if not (low and any(node(path[:i]) in low for i in range(1, len(path) + 1))):
-            kept.append(t)
-    return " ".join(kept)
+    kept = [not (low and any(node(path[:i]) in low for i in range(own + 1, len(path) + 1))) for own, path, _ in found]
+    inside = sum(len(t) for own, _, t in found if own)
+    stays = sum(len(t) for (own, _, t), k in zip(found, kept) if own and k)
+    if 2 * stays < inside:
+        kept = [k or own > 0 for (own, _, _), k in zip(found, kept)]
+        stays = inside
+    every = sum(len(t) for (own, _, t), k in zip(found, kept) if k and not own) > stays
+    return " ".join(t for (own, _, t), k in zip(found, kept) if k and (own or every))
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -195,10 +196,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 host, number = host_of(urls[i]), xxhash.xxh3_64_intdigest(page.encode("utf-8", "surrogatepass")) >> 1
                 children: dict[tuple, list[str]] = {}
                 for own, path, t in blocks(page):
-                    if own:  # fixed weight: needs no entropy
-                        continue
                     feature = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1
-                    for j in range(1, len(path) + 1):
+                    for j in range(own + 1, len(path) + 1):  # what is around an article is decided by the other blocks
                         rows.append((host, node(path[:j]), feature, 0, number))
                         children.setdefault(path[: j - 1], []).append(path[j - 1])
                 for path, styles in children.items():
