@@ -218,3 +218,20 @@ def test_streams_equal_batches(spark, tmp_path):
     q.stop()
     assert spark.read.parquet(str(tmp_path / "sink")).count() == 24
     assert stream.estimated_batches(10, 100, 2, 4, 10) == 48 and stream.estimated_batches(1, 1, 8, 4, 512) == 4
+
+
+def test_discriminant_axes(spark):
+    rng = np.random.default_rng(30)
+    x = rng.normal(size=(240, 64))
+    x[:, 50] += 9.0 * (np.arange(240) % 3)
+    x[:, 60] += 9.0 * (np.arange(240) % 3 == 1)
+    df = spark.createDataFrame([(i % 3, v.tolist()) for i, v in enumerate(x)], "label int, x array<double>").repartition(4)
+    sums = evaluate.scatter(df, "label", "x")
+    got = np.zeros((3, 64, 64))
+    for r in sums.collect():
+        got[r["group"], r["i"], r["j"]] = r["sab"]
+    assert np.allclose(got, [x[g::3].T @ x[g::3] for g in range(3)])
+    axes = evaluate.discriminant_axes(sums, 64)
+    y = x @ axes.T
+    means = np.array([y[g::3].mean(0) for g in range(3)])
+    assert axes.shape == (2, 64) and all(np.argmin(((means - v) ** 2).sum(1)) == i % 3 for i, v in enumerate(y))

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wavequarry.functions import arrays as A
 
@@ -153,10 +154,27 @@ def projected_2d(vector: Column, matrix: list[list[float]]) -> list[Column]:
 
 
 def scatter(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """n, sums and sums of products of each group: what between- and within-class scatter are made of. One row per (group, i, j)."""
-    rows = df.select(F.col(group).alias("group"), F.col(vector).alias("x"))
-    pairs = rows.select("group", "x", F.posexplode("x").alias("i", "a")).select("group", "i", "a", F.posexplode("x").alias("j", "b"))
-    return pairs.groupBy("group", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a").cast("double")).alias("sa"), F.sum(F.col("b").cast("double")).alias("sb"), F.sum(F.col("a").cast("double") * F.col("b")).alias("sab"))
+    """n, sums and sums of products of each group: what between- and within-class scatter are made of. One row per (group, i, j);
+    tasks return sums of outer products."""
+    rows = df.select(F.col(group).alias("group"), F.col(vector).cast("array<double>").alias("x")).where("x IS NOT NULL")
+
+    def run(batches):
+        sums: dict = {}
+        for b in batches:
+            held: dict = {}
+            for g, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.setdefault((g, len(x)), []).append([0.0 if v is None else v for v in x])
+            for key, xs in held.items():
+                x = np.array(xs, dtype=float)
+                n, s, p = sums.get(key, (0, 0.0, 0.0))
+                sums[key] = n + len(x), s + x.sum(0), p + x.T @ x
+        for (g, d), (n, s, p) in sums.items():
+            if d:
+                yield pa.RecordBatch.from_pydict({"group": pa.array([g] * (d * d), kind), "i": np.repeat(np.arange(d, dtype=np.int32), d), "j": np.tile(np.arange(d, dtype=np.int32), d), "n": np.full(d * d, n), "sa": np.repeat(s, d), "sb": np.tile(s, d), "sab": p.ravel()})
+
+    kind = to_arrow_type(rows.schema["group"].dataType)
+    parts = rows.mapInArrow(run, f"group {rows.schema['group'].dataType.simpleString()}, i int, j int, n long, sa double, sb double, sab double")
+    return parts.groupBy("group", "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "sab")])
 
 
 def discriminant_axes(sums: DataFrame, dims: int, k: int = 2) -> np.ndarray:

@@ -374,6 +374,13 @@ def d30_scatter(spark, d):
     return evaluate.scatter(e, "label", "x").select("group", "i", "j", "n", (F.round("sab", 4) + 0.0).alias("sab"))
 
 
+@query("""SELECT label AS "group", (a.i - 1)::INT AS i, (b.i - 1)::INT AS j, count(*) AS n, round(sum(embedding[a.i]::DOUBLE * embedding[b.i]::DOUBLE), 4) + 0.0 AS sab
+  FROM embeddings, (SELECT unnest(range(1, 65)) AS i) a, (SELECT unnest(range(1, 65)) AS i) b GROUP BY ALL""")
+def d30_scatter_all(spark, d):
+    """All dimensions; d30_scatter keeps the leading block that its SQL names."""
+    return evaluate.scatter(table(spark, d, "embeddings"), "label", "embedding").select("group", "i", "j", "n", (F.round("sab", 4) + 0.0).alias("sab"))
+
+
 @query("""SELECT vec_id, round(sum((((3 * i) % 7) - 3) * v), 5) AS x, round(sum((((5 * i) % 11) - 5) * v), 5) AS y FROM (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(64)) AS i)) GROUP BY vec_id""")
 def d31_projection(spark, d):
     m = [[(3 * i) % 7 - 3 for i in range(64)], [(5 * i) % 11 - 5 for i in range(64)]]
