@@ -312,6 +312,31 @@ def test_jaccard_against_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_links_come_from_its_trees(spark, monkeypatch):
+    """Blocks of four sets, so that roots have many and large components have their own; both traversals find links."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "PAIRS", 3)
+    written = {}
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: written.setdefault(name, shared.stored(df, name)))
+    rng = random.Random(29)
+    texts, base = [], text(rng, 80).split()
+    for group in range(3):  # chains: each text is near the one before it and far from the first; they share a passage
+        own = base[:40] + text(rng, 40).split()
+        for i in range(24):
+            own = list(own)
+            own[40 + (7 * i) % 40] = "w%d" % rng.randrange(10**6)
+            texts.append(" ".join(own))
+    texts += [" ".join(base[:40] + text(rng, 12 + i % 5).split()) for i in range(12)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar(docs_of(spark, rows)).collect()}
+    want = brute_components(rows)
+    assert got == want and 1 < len({c for _, c in want.values()}) < len(rows)
+    proposed = [written[n].count() for n in ("first-pairs", "second-pairs")]
+    found = [{tuple(r) for r in written[n].collect()} for n in ("first-links", "second-links")]
+    assert min(proposed) > 0 and len(found[0]) > 20 and len(found[1]) > 0 and not found[0] & found[1]
+
+
 def test_jaccard_in_any_order_of_ids(spark):
     rng = random.Random(19)
     rows = []

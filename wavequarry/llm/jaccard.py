@@ -3,15 +3,20 @@
 1. Equal sets are one class, represented by its smallest id.
 2. Shingles are ordered by hash. Linked sets share at least ``l`` shingles of their prefixes of n - t + l (t: the least
    overlap of a set of n with any other). Counting the shared prefix shingles of every class, under a hash of its set that all
-   its members have, by numbers dealt to buckets, leaves the few that can link at all; a map task joins what repeats in its own
-   rows beforehand.
-3. Each shingle of the least prefixes of those sets, the rarest shingles first, names a list. Every set is verified against the first of each of its lists, which
-   joins groups of copies in linear work.
-4. Lists that still hold more than one component become signature trees: nodes carry the OR of their sets' bitmaps and
-   ranges of sizes and bitmap counts. A dual traversal drops node pairs whose greatest possible overlap is too small or that are one
-   component already; the pairs that are left are verified. Long lists are dealt in blocks, a pair of blocks to a task.
-
-Verification intersects the whole sets, so links are exact (shingles are told apart by 64-bit hashes).
+   its members have, leaves the few that can link at all; a map task joins what repeats in its own rows beforehand.
+3. Each shingle of the least prefixes of those sets, the rarest shingles first, is the root of a signature tree: two sets
+   that link are below a common root. Below it lie blocks of about ``BLOCK`` sets, bulk-loaded by size and least shingle into
+   nodes that carry the OR of their sets' bitmaps, ranges of sizes and least bitmap counts.
+4. First traversal, of the rarest and the commonest root of each set only: every block against itself and against the
+   root's first block, so the work is linear in a root's sets. The dual traversal drops node pairs whose greatest possible
+   overlap is too small and proposes for each set the partner of the greatest possible overlap before it. Those are
+   verified and give components, which join most groups of copies.
+5. Second traversal, of all roots that still hold several components: sets of a large component have blocks of their
+   own, and no block meets another one of its own component. The dual traversal also drops node pairs that are one
+   component already, and all pairs that are left and were not tried yet are verified.
+
+Only pairs that the trees propose are verified, by intersecting the whole sets, so links are exact (shingles are told
+apart by 64-bit hashes).
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; rows without an id link with nothing and
 have no component; repeated ids are one node; further columns are not read; an empty table gives an empty result.
@@ -24,18 +29,20 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavequarry.llm.shared import components, parts, schema_of, stored
 from wavequarry.llm.wordsets import sets_of
 
-#: Share of a set by which the counted prefix is longer than the least one; bits of a signature; sets in a block; children of a node.
-EXTRA, BITS, BLOCK, FAN = 0.15, 4096, 256, 4
+#: Share of a set by which the counted prefix is longer than the least one; bits of a signature; sets in a block; children
+#: of a node; pairs of one set that a task verifies.
+EXTRA, BITS, BLOCK, FAN, PAIRS = 0.15, 4096, 256, 4, 1024
 NONE = np.iinfo(np.int64).min
 SETS = "doc_id long, n long, h1 long, h2 long"
-BUCKETS = "bucket int, tokens binary, docs binary"
-FULL = "doc_id long, n long, signature binary, tokens binary"
+OWNED = "token long, owner long, n long"
+PAIR = "a long, b long"
+FULL = "doc_id long, n long, low long, signature binary, tokens binary"
 
 
 def least_overlap(n: int) -> int:
@@ -72,7 +79,6 @@ def set_rows(docs: DataFrame) -> DataFrame:
 def shared_counts(docs: DataFrame) -> DataFrame:
     """h2, c: how many of the counted prefix shingles of a class occur in that of another one, whichever members are read. A shingle
     counts again in each map task that joins it beforehand, which lets too many pass and none too few."""
-    n_buckets = 4 * parts(docs.sparkSession)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, owners, seen, size = [], [], set(), 0
@@ -83,21 +89,17 @@ def shared_counts(docs: DataFrame) -> DataFrame:
                 return
             token = np.concatenate(tokens)
             owner = np.repeat(np.array(owners, dtype=np.int64), [len(t) for t in tokens])
+            tokens, owners, seen, size = [], [], set(), 0
             order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
             starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             count = np.diff(np.r_[starts, len(token)])
             here, n = np.unique(owner[np.repeat(count > 1, count)], return_counts=True)
-            if len(here):
-                yield batched([(n_buckets + int(starts[-1]) % n_buckets, n.astype("<u4").tobytes(), here.tobytes())], BUCKETS)
-            token, owner = token[starts], np.where(count > 1, NONE, owner[starts])
-            bucket = ((token >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            low, owner = (token[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), owner[order]
-            rows = [(i, low[a:b].tobytes(), owner[a:b].tobytes()) for i, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
-            yield batched(rows, BUCKETS)
-            tokens, owners, seen, size = [], [], set(), 0
+            # what repeats here is counted here; for other tasks it is one row that stands for several classes
+            token, owner = np.r_[token[starts].view(np.int64), here], np.r_[np.where(count > 1, NONE, owner[starts]), here]
+            n = np.r_[np.zeros(len(starts), dtype=np.int64), n]
+            for i in range(0, len(token), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (token, owner, n)], names=["token", "owner", "n"])
 
         for b in batches:
             for number, s in zip(b.column(0).to_pylist(), sets_of(b.column(1))):
@@ -113,41 +115,41 @@ def shared_counts(docs: DataFrame) -> DataFrame:
         yield from flush()
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tokens, docs_ = None, [], []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if not tokens:
-                return
-            token, owner = np.concatenate(tokens), np.concatenate(docs_)
-            if at < n_buckets:
-                flush = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-                order = np.argsort(token, kind="stable")
-                same = token[order][1:] == token[order][:-1]
-                order = order[np.r_[same, False] | np.r_[False, same]]
-                # a class that several map tasks have read meets itself, which is no other one, and counts in one of them; shingles
-                # of one task whose dealt bits are equal count each
-                order = order[np.lexsort((flush[order], owner[order], token[order]))]
-                token, owner, flush = token[order], owner[order], flush[order]
-                new = np.r_[True, token[1:] != token[:-1]][: len(token)]
-                own = new | np.r_[True, owner[1:] != owner[:-1]][: len(token)]
-                starts = np.flatnonzero(new)
-                ends = np.r_[starts[1:], len(token)][: len(starts)]
-                several = np.repeat(owner[starts] != owner[ends - 1], ends - starts)
-                once = flush == flush[own][np.cumsum(own) - 1]
-                owner, token = np.unique(owner[several & once & (owner != NONE)], return_counts=True)
-            if len(owner):
-                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(token.astype(np.int64))], names=["h2", "c"])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the last shingle so far, which the next batch may go on with
+
+        def shared(token: np.ndarray, owner: np.ndarray) -> None:
+            new = np.r_[True, token[1:] != token[:-1]]
+            distinct = new | np.r_[True, owner[1:] != owner[:-1]]
+            starts = np.flatnonzero(new)
+            ends = np.r_[starts[1:], len(token)]
+            several = np.repeat(owner[starts] != owner[ends - 1], ends - starts)
+            found.append(np.unique(owner[several & distinct & (owner != NONE)], return_counts=True))
+
+        def done() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i in (0, 1)], names=["h2", "c"])
+            found.clear()
+            return batch
 
         for b in batches:
-            for bucket, t, d in zip(*(c.to_pylist() for c in b.columns)):
-                if bucket != at:
-                    yield from done()
-                    at, tokens, docs_ = bucket, [], []
-                tokens.append(np.frombuffer(t, dtype="<u4"))
-                docs_.append(np.frombuffer(d, dtype="<i8"))
-        yield from done()
-
-    dealt = docs.mapInArrow(deal, BUCKETS).repartition(parts(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+            token, owner, n = (c.to_numpy() for c in b.columns)
+            if (n > 0).any():
+                found.append((owner[n > 0], n[n > 0]))
+                token, owner = token[n == 0], owner[n == 0]
+            if len(token):
+                cut = int(np.searchsorted(token, token[-1]))
+                if cut or held and held[0][0][0] != token[-1]:
+                    shared(np.concatenate([*(h[0] for h in held), token[:cut]]), np.concatenate([*(h[1] for h in held), owner[:cut]]))
+                    held.clear()
+                held.append((token[cut:], owner[cut:]))
+            if sum(len(f[0]) for f in found) > 100_000:
+                yield done()
+        if held:
+            shared(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
+        if found:
+            yield done()
+
+    dealt = docs.mapInArrow(deal, OWNED).repartition(parts(docs.sparkSession), "token").sortWithinPartitions("token", "owner")
     return dealt.mapInArrow(count, "h2 long, c long").groupBy("h2").agg(F.sum("c").alias("c"))
 
 
@@ -159,7 +161,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 bits = np.zeros(BITS // 8, dtype=np.uint8)
                 at = np.unique((s >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64)
                 np.bitwise_or.at(bits, at // 8, np.left_shift(1, at % 8).astype(np.uint8))
-                rows.append((number, len(s), bits.tobytes(), s.tobytes()))
+                rows.append((number, len(s), int(s[0] >> np.uint64(1)) if len(s) else 0, bits.tobytes(), s.tobytes()))
                 size += len(s)
                 if size > 1_000_000:
                     yield batched(rows, FULL)
@@ -171,10 +173,11 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 
 def listed(sets: DataFrame) -> DataFrame:
-    """Rows (token, doc_id, n) of the least prefixes in the order of how many of the sets have a shingle, then its hash.
+    """Rows (token, doc_id, n, outer) of the least prefixes in the order of how many of the sets have a shingle, then its
+    hash; outer: whether it is the first or the last of the set's.
 
-    Shingles of a single set come first; they take part of the prefix and make no list. So a set with more of them than
-    the least overlap leaves over is in no list at all, and shingles of common passages come last.
+    Shingles of a single set come first; they take part of the prefix and are no root. So a set with more of them than
+    the least overlap leaves over is below no root at all, and shingles of common passages come last.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +191,17 @@ def listed(sets: DataFrame) -> DataFrame:
     counts = every.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     common = every.join(counts, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
     prefix = F.expr("n - cast(ceil(0.75D * n) as int) + 1") - (F.col("n") - F.size("common"))
-    return common.where(prefix > 0).select(F.explode(F.slice("common", F.lit(1), prefix.cast("int"))).alias("c"), "doc_id", "n").select("c.token", "doc_id", "n")
+    roots = common.where(prefix > 0).select("doc_id", "n", F.slice("common", F.lit(1), prefix.cast("int")).alias("roots"))
+    return roots.select(F.posexplode("roots").alias("k", "c"), "doc_id", "n", F.size("roots").alias("last")).select("c.token", "doc_id", "n", ((F.col("k") == 0) | (F.col("k") == F.col("last") - 1)).alias("outer"))
+
+
+def with_tokens(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
+    """``pairs`` with the shingles of the set ``side``. A set with many pairs is dealt to several tasks, some of its pairs to each."""
+    counts = pairs.groupBy(F.col(side).alias("id")).agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("blocks"))
+    dealt = sets.select("doc_id", F.col("tokens").alias(f"{side}_tokens")).join(counts, F.col("doc_id") == F.col("id")).select("id", f"{side}_tokens", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    many = counts.where("blocks > 1")
+    numbered = pairs.join(many, F.col(side) == F.col("id"), "left").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64(other), "blocks")).otherwise(0).cast("int")).drop("id", "blocks")
+    return numbered.join(dealt.hint("merge"), (numbered[side] == dealt["id"]) & (numbered["block"] == dealt["block"])).drop("id", "block", "blocks")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,9 +216,8 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = with_tokens(with_tokens(pairs, sets, "a", "b"), sets, "b", "a")
+    return both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long")
 
 
 class Tree:
@@ -254,8 +266,19 @@ def dual(x: Tree, y: Tree, same: bool) -> tuple[np.ndarray, np.ndarray]:
             i, j = i[keep], j[keep]
 
 
-def tree_pairs(cells: DataFrame) -> DataFrame:
-    """cells: token, i, j, side, doc_id, n, signature, component."""
+def nearest(x: Tree, y: Tree, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the leaf pairs, for each j the one with the greatest share of common bits."""
+    a, b = x.levels[0][0][i], y.levels[0][0][j]
+    share = np.bitwise_count(a & b).sum(axis=1, dtype=np.int64) / np.maximum(1, np.bitwise_count(a | b).sum(axis=1, dtype=np.int64))
+    order = np.lexsort((i, -share, j))
+    i, j = i[order], j[order]
+    first = np.r_[True, j[1:] != j[:-1]][: len(j)]
+    return i[first], j[first]
+
+
+def tree_pairs(cells: DataFrame, first: bool) -> DataFrame:
+    """Pairs (a, b), a > b, that the trees propose. cells: token, i, j (two blocks below one root), side, doc_id, n, low, signature,
+    component. first: of each set of block j only the nearest partner, within a block among those before it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], set()
@@ -263,15 +286,21 @@ def tree_pairs(cells: DataFrame) -> DataFrame:
         def done() -> None:
             if len(held) < 2:
                 return
-            side, ids, sizes, groups = (np.array([h[c] for h in held], dtype=np.int64) for c in (0, 1, 2, 4))
-            bitmaps = np.stack([np.frombuffer(h[3], dtype="<u8") for h in held])
-            order = np.argsort(sizes, kind="stable")
-            halves = [order[side[order] == s] for s in (0, 1)] if key[1] != key[2] else [order, order]
+            side, ids, sizes, low, groups = (np.array([h[c] for h in held], dtype=np.int64) for c in (0, 1, 2, 3, 5))
+            bitmaps = np.stack([np.frombuffer(h[4], dtype="<u8") for h in held])
+            # near sets lie together: by size in steps of an eighth, then by their least shingle
+            order = np.lexsort((ids, low, np.floor(np.log(sizes) / np.log(1.125))))
+            same = key[1] == key[2]
+            halves = [order, order] if same else [order[side[order] == s] for s in (0, 1)]
             if not len(halves[0]) or not len(halves[1]):
                 return
-            first = Tree(sizes[halves[0]], bitmaps[halves[0]], groups[halves[0]])
-            second = first if key[1] == key[2] else Tree(sizes[halves[1]], bitmaps[halves[1]], groups[halves[1]])
-            i, j = dual(first, second, key[1] == key[2])
+            one = Tree(sizes[halves[0]], bitmaps[halves[0]], groups[halves[0]])
+            two = one if same else Tree(sizes[halves[1]], bitmaps[halves[1]], groups[halves[1]])
+            i, j = dual(one, two, same)
+            if same:
+                i, j = i[i < j], j[i < j]
+            if first:
+                i, j = nearest(one, two, i, j)
             a, b = ids[halves[0]][i], ids[halves[1]][j]
             out.update((max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist()) if x != y)
 
@@ -281,15 +310,60 @@ def tree_pairs(cells: DataFrame) -> DataFrame:
                 if key != (new := (token[row], i[row], j[row])):
                     done()
                     key, held = new, []
+                    if len(out) > 20_000:
+                        yield batched(sorted(out), PAIR)
+                        out = set()
                 held.append(values)
-            if len(out) > 20_000:
-                yield batched(sorted(out), "a long, b long")
-                out = set()
         done()
         if out:
-            yield batched(sorted(out), "a long, b long")
+            yield batched(sorted(out), PAIR)
 
-    return cells.select("token", "i", "j", "side", "doc_id", "n", "signature", "component").mapInArrow(run, "a long, b long").distinct()
+    return cells.select("token", "i", "j", "side", "doc_id", "n", "low", "signature", "component").mapInArrow(run, PAIR).distinct()
+
+
+def own_block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "token"), blocks).cast("int")
+
+
+def first_cells(members: DataFrame) -> DataFrame:
+    """token, i, j, side, doc_id of the first traversal: each block of a root with itself and with the root's first block."""
+    outer = members.where("outer").select("token", "doc_id")
+    blocks = outer.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rows = outer.join(blocks, "token").withColumn("own", own_block(F.col("blocks")))
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    zero, own = F.lit(0), F.col("own")
+    others = F.when(F.col("blocks") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.col("blocks") - 1, F.lit(1))), lambda j: cell(zero, j, 0)))
+    of_first = F.concat(F.array(cell(zero, zero, 0)), F.coalesce(others, F.slice(F.array(cell(zero, zero, 0)), 1, 0)))
+    return rows.select("token", "doc_id", F.explode(F.when(own == 0, of_first).otherwise(F.array(cell(own, own, 0), cell(zero, own, 1)))).alias("cell")).select("token", "cell.*", "doc_id")
+
+
+def second_cells(members: DataFrame) -> DataFrame:
+    """token, i, j, side, doc_id, component of the second traversal. members: token, doc_id, n, component.
+
+    A part of a root is the sets of one component that fills a block, or all its other sets; i and j number the blocks
+    of all parts. Blocks meet where their sizes can link, but not within a part of one component.
+    """
+    each = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
+    open_ = each.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+    part = F.when(F.col("c") >= BLOCK, F.col("component"))
+    named = stored(each.join(open_, "token").withColumn("part", part), "root-parts")
+    sizes = named.groupBy("token", "part").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"), F.min("least").alias("least"), F.max("most").alias("most"))
+    # few rows a root: one for each of its large components and one for all the rest
+    at = Window.partitionBy("token").orderBy(F.col("part").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = stored(sizes.withColumn("begin", F.coalesce(F.sum("blocks").over(at), F.lit(0)).cast("int")), "root-blocks")
+    left, right = (sizes.select("token", *[F.col(c).alias(f"{side}_{c}") for c in sizes.columns[1:]]) for side in "xy")
+    fits = (4 * F.col("x_most") >= 3 * F.col("y_least")) & (4 * F.col("y_most") >= 3 * F.col("x_least"))
+    meets = left.join(right, "token").where(fits & ((F.col("x_begin") < F.col("y_begin")) | (F.col("x_begin") == F.col("y_begin")) & F.col("x_part").isNull()))
+    # what the sets of a part do: the blocks of other parts that each of its own blocks meets, and on which side
+    does = meets.select("token", F.explode(F.array(F.struct(F.col("x_begin").alias("begin"), F.lit(0).alias("side"), F.col("y_begin").alias("from"), F.col("y_blocks").alias("n")), F.struct(F.col("y_begin").alias("begin"), F.lit(1).alias("side"), F.col("x_begin").alias("from"), F.col("x_blocks").alias("n")))).alias("d")).select("token", "d.*").distinct()
+    rows = members.join(named.select("token", "component", "part"), ["token", "component"]).join(sizes.select(F.col("token").alias("t"), F.col("part").alias("p"), "blocks", "begin"), (F.col("token") == F.col("t")) & F.col("part").eqNullSafe(F.col("p")))
+    rows = rows.select("token", "doc_id", "component", "begin", (own_block(F.col("blocks")) + F.col("begin")).alias("own"))
+    rows = rows.join(does, ["token", "begin"]).select("token", "doc_id", "component", "own", "begin", "from", "side", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("other"))
+    inside = F.col("begin") == F.col("from")  # both sides of a part that meets itself come from its own rows: once as they are
+    rows = rows.where(~inside | (F.col("side") == 0))
+    i = F.when(inside, F.least("own", "other")).when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
+    j = F.when(inside, F.greatest("own", "other")).when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
+    return rows.select("token", i.alias("i"), j.alias("j"), F.when(inside, (F.col("own") > F.col("other")).cast("int")).otherwise(F.col("side")).alias("side"), "doc_id", "component")
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -303,25 +377,20 @@ def similar(docs: DataFrame) -> DataFrame:
     able = shared_counts(rows).join(classes, "h2").where(F.col("c") >= need).select(F.col("class_id").alias("doc_id"))
     able = stored(able, "able")
     full = stored(full_sets(rows.join(able.hint("merge"), "doc_id", "left_semi")), "full-sets")
+    members = stored(listed(full), "roots")
 
-    members = stored(listed(full), "lists")
-    first = members.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "first")
-    pairs = members.join(first, "token").select(F.col("doc_id").alias("a"), F.col("first.doc_id").alias("b"), "n", F.col("first.n").alias("m"))
-    pairs = stored(pairs.where("a <> b AND 4 * n >= 3 * m AND 4 * m >= 3 * n").select("a", "b").distinct(), "first-pairs")
-    links = stored(linked(pairs, full), "first-links")
-    groups = components(links)
+    def proposed(cells: DataFrame, first: bool) -> DataFrame:
+        filled = cells.join(full.select("doc_id", "n", "low", "signature"), "doc_id").repartition(parts(docs.sparkSession), "token", "i", "j")
+        return tree_pairs(filled.sortWithinPartitions("token", "i", "j", "side", "doc_id"), first)
 
+    # in the first traversal every set is a component of its own
+    pairs = stored(proposed(first_cells(members).withColumn("component", F.col("doc_id")), True), "first-pairs")
+    links = stored(linked(pairs, full), "first-links")
+    groups = stored(components(links), "first-components")
     now = members.join(groups, members["doc_id"] == groups["id"], "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    now = stored(now, "list-components")
-    open_ = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("token", "size")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cells = now.join(open_, "token").withColumn("own", F.pmod(F.xxhash64("doc_id", "token"), blocks).cast("int"))
-    cells = cells.select("token", "doc_id", "n", "component", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cells = cells.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "n", "component")
-    cells = cells.join(full.select("doc_id", "signature"), "doc_id").repartition(parts(docs.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j", "side", "doc_id")
-    left = stored(tree_pairs(cells).join(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "tree-pairs")
-    more = stored(linked(left, full), "tree-links")
-    groups = components(links.unionByName(more))
+    left = stored(proposed(second_cells(stored(now, "root-components")), False).join(pairs, ["a", "b"], "left_anti"), "second-pairs")
+    more = stored(linked(left, full), "second-links")
+    groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     named = sets.join(classes.drop("n"), ["h1", "h2"], "left")
     named = named.join(groups, named["class_id"] == groups["id"], "left")
