@@ -327,14 +327,16 @@ def test_jaccard_links_come_from_its_trees(spark, monkeypatch):
             own[40 + (7 * i) % 40] = "w%d" % rng.randrange(10**6)
             texts.append(" ".join(own))
     texts += [" ".join(base[:40] + text(rng, 12 + i % 5).split()) for i in range(12)]
+    star = text(rng, 80).split()  # copies that are near their original only
+    texts += [" ".join(w if j not in (5 + i % 30, 42 + i % 31) else f"s{i}" for j, w in enumerate(star)) for i in range(30)] + [" ".join(star)]
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar(docs_of(spark, rows)).collect()}
     want = brute_components(rows)
     assert got == want and 1 < len({c for _, c in want.values()}) < len(rows)
-    proposed = [written[n].count() for n in ("first-pairs", "second-pairs")]
-    found = [{tuple(r) for r in written[n].collect()} for n in ("first-links", "second-links")]
-    assert min(proposed) > 0 and len(found[0]) > 20 and len(found[1]) > 0 and not found[0] & found[1]
+    assert want[len(texts) - 1][1] == len(texts) - 31
+    first, hub, second = ({tuple(r) for r in written[n].collect()} for n in ("first-links", "hub-links", "second-links"))
+    assert len(first) > 20 and len(hub) > 0 and len(second) > 0 and not (first & hub or first & second or hub & second)
 
 
 def test_jaccard_in_any_order_of_ids(spark):

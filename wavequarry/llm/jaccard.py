@@ -11,11 +11,13 @@
    root's first block, so the work is linear in a root's sets. The dual traversal drops node pairs whose greatest possible
    overlap is too small and proposes for each set the partner of the greatest possible overlap before it. Those are
    verified and give components, which join most groups of copies.
-5. Second traversal, of all roots that still hold several components: sets of a large component have blocks of their
+5. Where a root still holds several components, its hub, the set with the most links so far, is tried against the sets of
+   other components: a group whose members are near one original and less near each other is joined in linear work.
+6. Second traversal, of all roots that hold several components even then: sets of a large component have blocks of their
    own, and no block meets another one of its own component. The dual traversal also drops node pairs that are one
    component already, and all pairs that are left and were not tried yet are verified.
 
-Only pairs that the trees propose are verified, by intersecting the whole sets, so links are exact (shingles are told
+Only pairs that meet below a root are verified, by intersecting the whole sets, so links are exact (shingles are told
 apart by 64-bit hashes).
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; rows without an id link with nothing and
@@ -344,9 +346,7 @@ def second_cells(members: DataFrame) -> DataFrame:
     of all parts. Blocks meet where their sizes can link, but not within a part of one component.
     """
     each = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
-    open_ = each.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    part = F.when(F.col("c") >= BLOCK, F.col("component"))
-    named = stored(each.join(open_, "token").withColumn("part", part), "root-parts")
+    named = stored(each.withColumn("part", F.when(F.col("c") >= BLOCK, F.col("component"))), "root-parts")
     sizes = named.groupBy("token", "part").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"), F.min("least").alias("least"), F.max("most").alias("most"))
     # few rows a root: one for each of its large components and one for all the rest
     at = Window.partitionBy("token").orderBy(F.col("part").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
@@ -366,6 +366,24 @@ def second_cells(members: DataFrame) -> DataFrame:
     return rows.select("token", i.alias("i"), j.alias("j"), F.when(inside, (F.col("own") > F.col("other")).cast("int")).otherwise(F.col("side")).alias("side"), "doc_id", "component")
 
 
+def components_of_roots(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """token, doc_id, n, component below the roots that hold several components."""
+    now = members.join(groups, members["doc_id"] == groups["id"], "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    now = stored(now, "root-components")
+    open_ = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    return stored(now.join(open_, "token"), "open-roots")
+
+
+def hub_pairs(open_: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of each root's hub and the sets of other components below the root whose sizes fit."""
+    degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    linked_ = open_.join(degrees, open_["doc_id"] == degrees["id"])
+    hubs = linked_.groupBy("token").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"), "n", "component")).alias("hub"))
+    hubs = hubs.select("token", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("m"), F.col("hub.component").alias("of"))
+    meets = open_.join(hubs, "token").where("component <> of AND 4 * n >= 3 * m AND 4 * m >= 3 * n")
+    return meets.select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct()
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -387,10 +405,12 @@ def similar(docs: DataFrame) -> DataFrame:
     pairs = stored(proposed(first_cells(members).withColumn("component", F.col("doc_id")), True), "first-pairs")
     links = stored(linked(pairs, full), "first-links")
     groups = stored(components(links), "first-components")
-    now = members.join(groups, members["doc_id"] == groups["id"], "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    left = stored(proposed(second_cells(stored(now, "root-components")), False).join(pairs, ["a", "b"], "left_anti"), "second-pairs")
-    more = stored(linked(left, full), "second-links")
-    groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    tried = stored(hub_pairs(components_of_roots(members, groups), links).join(pairs, ["a", "b"], "left_anti"), "hub-pairs")
+    more = stored(linked(tried, full), "hub-links")
+    star = lambda g: g.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    groups = stored(components(star(groups).unionByName(more)), "hub-components")
+    left = proposed(second_cells(components_of_roots(members, groups)), False).join(pairs.unionByName(tried), ["a", "b"], "left_anti")
+    groups = components(star(groups).unionByName(stored(linked(stored(left, "second-pairs"), full), "second-links")))
 
     named = sets.join(classes.drop("n"), ["h1", "h2"], "left")
     named = named.join(groups, named["class_id"] == groups["id"], "left")
