@@ -44,10 +44,12 @@ def valid(a: Column) -> Column:
     return F.coalesce((F.size(a) > 0) & finite(a), F.lit(False))
 
 
-def truncated(a: Column, length: int, mode: str = "left") -> Column:
+def truncated(a: Column, length: int | Column, mode: str | Column = "left") -> Column:
+    """Longer signals cut to ``length``; a null length passes them whole."""
+    length, mode = (F.lit(v) if isinstance(v, (int, str)) else v for v in (length, mode))
     extra = F.size(a) - length
-    start = {"left": F.lit(0), "right": extra, "center": F.floor(extra / 2).cast("int")}[mode]
-    return F.when(extra > 0, F.slice(a, start.cast("int") + 1, F.lit(length))).otherwise(a)
+    start = F.when(mode == "right", extra).when(mode == "center", F.floor(extra / 2)).otherwise(0).cast("int")
+    return F.when(extra > 0, F.slice(a, start + 1, length)).otherwise(a)
 
 
 def resampled(a: Column, length: int) -> Column:
@@ -74,11 +76,17 @@ def interpolated(a: Column, length: int, mode: str = "left", force: bool = False
 
 
 def band_edges(fc: Column, fs: Column, width: float) -> tuple[Column, Column]:
-    """Edges fc (1 -+ width / 2), held between 1 Hz and 0.999 of the Nyquist frequency; the whole band where they cross."""
-    top = 0.999 * fs / 2
-    low, high = F.greatest(F.lit(1.0), fc * (1 - width / 2)), F.least(top, fc * (1 + width / 2))
-    low = F.when(low < high, low).otherwise(F.greatest(F.lit(1.0), 0.5 * high))
-    return F.when(low < high, low).otherwise(F.lit(1.0)), F.when(low < high, high).otherwise(top)
+    """Edges fc (1 -+ width / 2), held between 1 Hz and 0.999 of the Nyquist frequency. Where they cross: fc less and plus the
+    smaller of a hundredth of the Nyquist frequency and half of fc, held likewise; where those cross too, the octave below the upper edge."""
+    nyquist = fs / 2
+
+    def held(half: Column) -> tuple[Column, Column]:
+        return F.greatest(F.lit(1.0), fc - half), F.least(0.999 * nyquist, fc + half)
+
+    (low, high), (near_low, near_high) = held(fc * (width / 2)), held(F.least(0.01 * nyquist, 0.5 * fc))
+    crossed = low >= high
+    low, high = F.when(crossed, near_low).otherwise(low), F.when(crossed, near_high).otherwise(high)
+    return F.when(low < high, low).otherwise(F.greatest(F.lit(1.0), 0.5 * high)), high
 
 
 def normalized(a: Column, m: Column, s: Column, low: Column, high: Column, mode: str, eps: float = 1e-8) -> Column:
@@ -112,10 +120,23 @@ def patches(a: Column, width: Column | int) -> Column:
     return F.transform(indices(F.floor(F.size(a) / width)), lambda i: F.slice(a, i * width + 1, width))
 
 
-def midpoints_us(n: Column, width: Column, fs: Column, offset: Column | int = 0) -> Column:
+def midpoints_us(n: Column, width: Column, fs: Column, offset: Column | int = 0, scale: Column | None = None) -> Column:
+    """Midpoints of n patches; empty without a positive rate and width. scale: of a resampled signal, whose patches have no offset."""
     offset = F.lit(offset) if isinstance(offset, int) else offset
     fine = fs.isNotNull() & (fs > 0) & (width > 0)
-    return F.when(fine, F.transform(indices(n), lambda i: (i * width + width / 2.0 + offset) / fs * 1e6)).otherwise(F.array().cast("array<double>"))
+    at = (lambda i: (i * width + width / 2.0) * scale) if scale is not None else (lambda i: i * width + width / 2.0 + offset)
+    return F.when(fine, F.transform(indices(n), lambda i: at(i) / fs * 1e6)).otherwise(F.array().cast("array<double>"))
+
+
+def resampling(n_raw: Column, length: Column) -> Column:
+    """Samples of the source for each sample of a signal resampled from n_raw to ``length`` on the grid of ``resampled``."""
+    return F.when(length > 1, (n_raw - 1.0) / (length - 1.0)).otherwise(1.0)
+
+
+def unit_patch(a: Column, least: float = 1e-6) -> Column:
+    """A patch less its mean, over its sample deviation, which is at least ``least``."""
+    m, s = mean(a), F.greatest(std(a, 1), F.lit(least))
+    return F.transform(a, lambda v: (v - m) / s)
 
 
 def padded(a: Column, length: Column) -> Column:

@@ -70,6 +70,31 @@ def merge_counters(kept: DataFrame, discarded: DataFrame, keys: list[str]) -> Da
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("kept", "discarded")})
 
 
+def without_fillers(rows: DataFrame, skip: Column | bool = True) -> DataFrame:
+    """Rows that only fill shards go where ``skip`` holds (validation by default; training may keep them)."""
+    skip = F.lit(skip) if isinstance(skip, bool) else skip
+    return rows.where(~(F.coalesce(F.col("is_filler"), F.lit(False)) & skip))
+
+
+#: Where a truncation may cut.
+CUTS = ("left", "right", "center")
+
+
+def config_rules(filtered: bool) -> dict[str, Column]:
+    """What a row of parameters has to meet: samples_per_shard, batch_size, train, val, test, tx_fc_hz, rf_bandwidth_fraction,
+    truncate_signal_length, truncate_signal_mode, interpolation_truncate_mode. filtered: whether a filtered format is written."""
+    given = lambda c, ok: F.col(c).isNull() | ok
+    rules = {
+        "shard": (F.col("batch_size") > 0) & (F.col("samples_per_shard") % F.col("batch_size") == 0),
+        "ratios": F.abs(F.col("train") + F.col("val") + F.col("test") - 1) < 1e-6,
+        "bandwidth": given("rf_bandwidth_fraction", (F.col("rf_bandwidth_fraction") > 0) & (F.col("rf_bandwidth_fraction") <= 1)),
+        "length": given("truncate_signal_length", F.col("truncate_signal_length") > 0),
+        "mode": given("truncate_signal_length", given("truncate_signal_mode", F.lower("truncate_signal_mode").isin(*CUTS))),
+        "interpolation": given("interpolation_truncate_mode", F.lower("interpolation_truncate_mode").isin(*CUTS)),
+    }
+    return rules | ({"centre": F.col("tx_fc_hz").isNotNull() & (F.col("tx_fc_hz") > 0)} if filtered else {})
+
+
 def violations(params: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """A row for every rule that a row of the table breaks."""
     broken = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])

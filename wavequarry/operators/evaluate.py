@@ -20,12 +20,29 @@ def recon_sums(df: DataFrame, target: str, pred: str, by: str | None = None) ->
     return df.groupingSets([[by], []], by).agg(*aggs) if by else df.agg(*aggs)
 
 
+def patch_sums(df: DataFrame, target: str, pred: str, by: str | None = None, normalize: bool = False) -> DataFrame:
+    """``recon_sums`` of arrays: each row's sums are made in the row. normalize: targets in the frame of their own patch."""
+    t, p = (F.col(c).cast("array<double>") for c in (target, pred))
+    df = df.withColumn("_t", A.unit_patch(t) if normalize else t).withColumn("_p", p)
+    pairs = lambda f: A.total(F.zip_with("_t", "_p", f))
+    rows = {"n": F.size("_t").cast("long"), "st": A.total(F.col("_t")), "sp": A.total(F.col("_p")), "stt": A.total(F.col("_t"), lambda v: v * v), "spp": A.total(F.col("_p"), lambda v: v * v), "stp": pairs(lambda a, b: a * b), "sse": pairs(lambda a, b: (a - b) * (a - b))}
+    df = df.select(*([by] if by else []), *[v.alias(k) for k, v in rows.items()])
+    aggs = [F.sum(c).alias(c) for c in SUMS]
+    return df.groupingSets([[by], []], by).agg(*aggs) if by else df.agg(*aggs)
+
+
+def aligned(targets: DataFrame, predictions: DataFrame, masks: DataFrame, key: list[str]) -> DataFrame:
+    """Patches with their prediction and mask; patches without either fall out."""
+    return targets.join(predictions, key).join(masks, key)
+
+
 def recon_metrics(sums: DataFrame, least: float = 1e-12) -> DataFrame:
+    """Root mean squared error, correlation and share of variance explained; NaN where variances are too small."""
     n = F.col("n")
-    vt, vp = F.col("stt") - F.col("st") * F.col("st") / n, F.col("spp") - F.col("sp") * F.col("sp") / n
-    cov = F.col("stp") - F.col("st") * F.col("sp") / n
-    nan = F.lit(float("nan"))
-    return sums.where(n > 0).withColumns({"rmse": F.sqrt(F.col("sse") / n), "r": F.when((vt > least) & (vp > least), cov / F.sqrt(F.greatest(vt, F.lit(least)) * F.greatest(vp, F.lit(least)))).otherwise(nan), "r2": F.when(vt > least, 1 - F.col("sse") / F.greatest(vt, F.lit(least))).otherwise(nan)})
+    mt, mp = F.col("st") / n, F.col("sp") / n
+    vt, vp = F.greatest(F.col("stt") / n - mt * mt, F.lit(0.0)), F.greatest(F.col("spp") / n - mp * mp, F.lit(0.0))
+    spread, tss, nan = F.sqrt(vt * vp), F.col("stt") - n * mt * mt, F.lit(float("nan"))
+    return sums.where(n > 0).withColumns({"rmse": F.sqrt(F.col("sse") / n), "r": F.when(spread > least, (F.col("stp") / n - mt * mp) / spread).otherwise(nan), "r2": F.when(tss > least, 1 - F.col("sse") / tss).otherwise(nan)})
 
 
 def confusion(df: DataFrame, true: str, pred: str, classes: DataFrame) -> DataFrame:
@@ -81,9 +98,33 @@ def denormalized(pred: Column, target: Column) -> Column:
     return F.transform(pred, lambda v: v * s + m)
 
 
+def element_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """n, and per element the sums of values and of squares; tasks return one row a key, not one a value."""
+    rows = df.select(*keys, F.col(vector).cast("array<double>").alias("x")).where("x IS NOT NULL")
+    names = [f.name for f in rows.schema.fields[: len(keys)]]
+    kinds = [to_arrow_type(f.dataType) for f in rows.schema.fields[: len(keys)]]
+
+    def run(batches):
+        sums: dict = {}
+        for b in batches:
+            held: dict = {}
+            for *key, x in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault((*key, len(x)), []).append([np.nan if v is None else v for v in x])
+            for key, xs in held.items():
+                x = np.array(xs, dtype=float)
+                n, s, q = sums.get(key, (0, 0.0, 0.0))
+                sums[key] = n + len(x), s + x.sum(0), q + (x * x).sum(0)
+        for (*key, d), (n, s, q) in sums.items():
+            if d:
+                yield pa.RecordBatch.from_arrays([*[pa.array([k] * d, t) for k, t in zip(key, kinds)], pa.array(np.arange(d, dtype=np.int32)), pa.array(np.full(d, n)), pa.array(s), pa.array(q)], names=[*names, "dim", "n", "s", "q"])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
+    return rows.mapInArrow(run, f"{ddl}, dim int, n long, s double, q double").groupBy(*names, "dim").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+
+
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """Element-wise means, combined per (class, dimension) before the shuffle."""
-    rows = df.select(F.col(label).alias("class"), F.posexplode(vector).alias("dim", "v")).groupBy("class", "dim").agg(F.avg("v").alias("v"))
+    """Element-wise means; tasks return sums a class."""
+    rows = element_sums(df.select(F.col(label).alias("class"), vector), ["class"], vector).select("class", "dim", (F.col("s") / F.col("n")).alias("v"))
     return rows.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("centroid"))
 
 
@@ -144,9 +185,18 @@ def normality(df: DataFrame, vector: str, projections: list[list[float]], points
 
 def view_similarity(df: DataFrame, owner: str, is_global: str, vector: str) -> DataFrame:
     """Mean squared distance of local views to the mean of an owner's global views."""
-    rows = df.select(owner, is_global, F.posexplode(vector).alias("dim", "v"))
-    centre = rows.where(F.col(is_global)).groupBy(owner, "dim").agg(F.avg("v").alias("m"))
-    return rows.where(~F.col(is_global)).join(centre, [owner, "dim"]).agg(F.avg((F.col("v") - F.col("m")) * (F.col("v") - F.col("m"))).alias("similarity"))
+    centre = element_sums(df.where(F.col(is_global)), [owner], vector).select(owner, "dim", (F.col("s") / F.col("n")).alias("m"))
+    local = element_sums(df.where(~F.col(is_global)), [owner], vector)
+    # the squared distances of n values to m, from their sums
+    apart = F.col("q") - 2 * F.col("m") * F.col("s") + F.col("n") * F.col("m") * F.col("m")
+    return local.join(centre, [owner, "dim"]).agg((F.sum(apart) / F.sum("n")).alias("similarity"))
+
+
+def embedding_objective(df: DataFrame, owner: str, is_global: str, vector: str, projections: list[list[float]], weight: float) -> DataFrame:
+    """similarity, normality and (1 - weight) similarity + weight normality."""
+    statistic = normality(df, vector, projections)
+    out = view_similarity(df, owner, is_global, vector).withColumn("normality", F.lit(statistic))
+    return out.withColumn("objective", (1 - weight) * F.col("similarity") + weight * F.col("normality"))
 
 
 def projected_2d(vector: Column, matrix: list[list[float]]) -> list[Column]:
@@ -218,4 +268,9 @@ def overview(df: DataFrame, vector: str, k: int = 2) -> DataFrame:
     return PCA(k=k, inputCol="_v", outputCol="_p").fit(rows).transform(rows).withColumn("projection", vector_to_array("_p")).drop("_v", "_p")
 
 
+#: Poolings by name.
 POOLS = {"mean": {"kind": "mean"}, "max": {"kind": "max"}, "bins": {"kind": "mean", "bins": 4}, "flatten": {"kind": "flat", "tokens_kept": 4}}
+
+
+def pooled(tokens: DataFrame, name: str, **options) -> DataFrame:
+    return pool(tokens, **(POOLS[name] | options))

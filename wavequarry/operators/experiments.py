@@ -31,6 +31,18 @@ def reason(rules: list[tuple[str, Column]]) -> Column:
     return out
 
 
+def incompatible() -> list[tuple[str, Column]]:
+    """Combinations that repeat another one of a sweep, from the columns unfreezing, lora, frozen (booleans) and decay."""
+    unfreezing, lora, frozen, decays = (F.coalesce(c, F.lit(False)) for c in (F.col("unfreezing"), F.col("lora"), F.col("frozen"), F.col("decay") > 0))
+    return [
+        ("unfreezing of a frozen encoder", unfreezing & frozen),
+        ("unfreezing with adapters", unfreezing & lora),
+        ("adapters of a frozen encoder", lora & frozen),
+        ("adapters with a decay", lora & decays),
+        ("a frozen encoder with a decay", frozen & decays),
+    ]
+
+
 def folds(configs: DataFrame, ids: DataFrame, corpus: str) -> DataFrame:
     """Each configuration with every fold of its own corpus."""
     return configs.join(ids, corpus)

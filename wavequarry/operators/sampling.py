@@ -56,6 +56,16 @@ def dynamic_epoch(df: DataFrame, stratum: str, dominating: str, k: int, key: str
     return capped(df, stratum, key, {dominating: k}, seed + epoch, "epoch")
 
 
+def fixed_subset(df: DataFrame, stratum: str, dominating: str, k: int, key: str, seed: int, salt: int) -> DataFrame:
+    """k rows of the dominating stratum, the same in every epoch, and all others; place: their order by key."""
+    chosen = capped(df, stratum, key, {dominating: k}, seed + salt, "subset")
+    return exact_rank(chosen.withColumn("_all", F.lit(0)).withColumn("_hex", F.lower(F.hex(F.col(key).cast("string")))), ["_all"], "_hex", [key], "place").drop("_all", "_hex")
+
+
+def proportional(df: DataFrame, stratum: str, dominating: str, ratio: float, key: str, seed: int = 42) -> DataFrame:
+    return capped(df, stratum, key, {dominating: proportional_cap(df.count(), ratio)}, seed)
+
+
 def proportional_cap(total: int, ratio: float) -> int:
     """A share of the whole table, the dominating stratum included."""
     return int(ratio * total)
@@ -151,7 +161,8 @@ def shuffled_channels(df: DataFrame, signal: str, key: str, seed: int) -> DataFr
     return df.withColumn(signal, F.transform(order, lambda x: x["c"])).withColumn("channel_order", F.transform(order, lambda x: x["i"]))
 
 
-STRATEGIES = {"static": capped, "dynamic_epoch": dynamic_epoch}
+#: Strategies and splits by name.
+STRATEGIES = {"static": capped, "dynamic_epoch": dynamic_epoch, "proportional": proportional, "fixed": fixed_subset}
 MODES = {"random": random_split, "grouped": leave_one_out, "slice": leave_one_out_slice}
 
 

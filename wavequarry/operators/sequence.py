@@ -49,11 +49,6 @@ def token_mask(tokens: DataFrame, ratio: float, seed: int) -> DataFrame:
     return df.withColumn("masked", ~(F.col("valid") & (F.col("_rank") < kept))).withColumn("restore", F.col("_rank").cast("int")).drop("_n", "_noise", "_rank")
 
 
-def running_last(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.max(value).over(w))
-
-
 def natural_key(name: Column) -> list[Column]:
     return [F.coalesce(F.regexp_extract(name, r"(\d+)$", 1).try_cast("long"), F.lit(1 << 62)), name]
 

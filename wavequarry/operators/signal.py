@@ -26,6 +26,20 @@ def stitched(chunk_rows: DataFrame, key: str, signal: str) -> DataFrame:
     return rows.where(F.size("c") == F.col("num_chunks")).select(key, F.flatten(F.transform("c", lambda c: c[signal])).alias(signal))
 
 
+def valid_patches(n: Column, width: int, per_chunk: int) -> Column:
+    """Whole patches of each chunk of a signal of n samples; at least one chunk."""
+    span = width * per_chunk
+    chunks_ = F.greatest(F.lit(1), F.ceil(n / span)).cast("int")
+    return F.transform(A.indices(chunks_), lambda i: F.floor(F.least(n - i * span, F.lit(span)) / width).cast("int"))
+
+
+def truncated_formats(rows: DataFrame, signal: str, params: DataFrame, formats_cut: tuple[str, ...] = ("raw", "envelope")) -> DataFrame:
+    """rows: format, base_dataset, signal. Formats that keep their length are cut to the length of their data set, where it has one."""
+    out = rows.join(params.select("base_dataset", "truncate_signal_length", "truncate_signal_mode"), "base_dataset", "left")
+    cut = A.truncated(F.col(signal), F.col("truncate_signal_length"), F.coalesce("truncate_signal_mode", F.lit("left")))
+    return out.withColumn(signal, F.when(F.col("format").isin(*formats_cut) & F.col("truncate_signal_length").isNotNull(), cut).otherwise(F.col(signal))).drop("truncate_signal_length", "truncate_signal_mode")
+
+
 def patch_rows(df: DataFrame, signal: str, width: Column | int) -> DataFrame:
     return df.select("*", F.posexplode(A.patches(F.col(signal), width)).alias("patch_index", "patch")).drop(signal)
 
@@ -43,8 +57,14 @@ def channels_together(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def channel_stats(frames: DataFrame, signal: str) -> DataFrame:
-    """Per channel over all samples of the given frames: mean, population std, min, max."""
-    return channel_rows(frames, signal).select("channel", F.explode("samples").alias("v")).groupBy("channel").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    """Per channel over all samples of the given frames: mean, population std, min, max. A row a channel and frame is shuffled at most."""
+    rows = channel_rows(frames, signal).select("channel", F.col("samples").cast("array<double>").alias("x")).where(F.size("x") > 0)
+    each = rows.select("channel", F.size("x").alias("n"), A.mean(F.col("x")).alias("m"), A.std(F.col("x")).alias("d"), F.array_min("x").alias("low"), F.array_max("x").alias("high"))
+    n, m = F.sum("n"), F.sum(F.col("n") * F.col("m")) / F.sum("n")
+    # the spread of all: that within the frames and that of their means
+    between = F.sum(F.col("n") * F.col("m") * F.col("m")) / n - m * m
+    within = F.sum(F.col("n") * F.col("d") * F.col("d")) / n
+    return each.groupBy("channel").agg(m.alias("mean"), F.sqrt(F.greatest(within + between, F.lit(0.0))).alias("std"), F.min("low").alias("min"), F.max("high").alias("max"))
 
 
 def frames_normalized(frames: DataFrame, signal: str, stats: DataFrame, key: list[str], mode: str = "zscore") -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +22,25 @@ def discover(spark: SparkSession, root: str, glob: str = "*", recursive: bool =
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(root).select("path", "length")
 
 
+def listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, found, length of an explicit list of files: those that are missing are told, not an error. Folders are listed once each."""
+    folders = sorted({p.rsplit("/", 1)[0] for p in paths})
+    name = F.regexp_replace("path", "^file:/+", "/")
+    there = spark.read.format("binaryFile").load(folders).select(name.alias("path"), "length")
+    wanted = spark.createDataFrame([(p.removeprefix("file:").replace("//", "/"),) for p in sorted(set(paths))], "path string")
+    return wanted.join(there, "path", "left").select("path", F.col("length").isNotNull().alias("found"), "length").orderBy("path")
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; below a fresh local one only where that setting is absent and Spark is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a shared folder")
+        found = tempfile.mkdtemp(prefix="spark-")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def wide_channels(df: DataFrame, columns: list[str]) -> DataFrame:
     """Channel columns to a row per channel; other columns stay."""
     rest = [c for c in df.columns if c not in columns]
@@ -121,14 +144,22 @@ def shards(df: DataFrame, key: str, per_shard: int, seed: int, partition: list[s
     return ranked.withColumn("shard_id", F.floor(F.col("_r") / per_shard).cast("long")).withColumn("pos_in_shard", (F.col("_r") % per_shard).cast("int")).drop("_key", "_r")
 
 
-def write_shards(df: DataFrame, path: str) -> None:
-    df.repartition("shard_id").sortWithinPartitions("shard_id", "pos_in_shard").write.partitionBy("shard_id").parquet(path)
+def write_shards(df: DataFrame, path: str, per_file: int) -> None:
+    """One folder; files of ``per_file`` rows in the order of shard_id and pos_in_shard, dealt by ranges of shards."""
+    dealt = df.repartitionByRange("shard_id").sortWithinPartitions("shard_id", "pos_in_shard")
+    dealt.write.option("maxRecordsPerFile", per_file).parquet(path)
+
 
+BLOCKS = 256
 
-def offsets(df: DataFrame, key: str, signal: str, prefix: int = 2) -> DataFrame:
-    """start and stop of each signal in the concatenation by key (a string). Totals of the blocks of keys with equal first
-    characters give the offsets of the blocks, a window within the block the rest; no task sees the whole table."""
-    rows = df.select(F.col(key), F.size(signal).cast("long").alias("length")).withColumn("_b", F.substring(key, 1, prefix))
+
+def offsets(df: DataFrame, key: str, signal: str, blocks: int = BLOCKS) -> DataFrame:
+    """start and stop of each signal in the concatenation by key (a string). Blocks of keys lie between quantiles of a bounded
+    sample of keys; the blocks' totals give their offsets, a window within a block the rest; no task sees the whole table."""
+    rows = df.select(F.col(key), F.size(signal).cast("long").alias("length"))
+    sample = sorted(r[0] for r in rows.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(16 * blocks).collect())
+    cuts = sorted(set(sample[16::16]))
+    rows = rows.withColumn("_b", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
     totals = rows.groupBy("_b").agg(F.sum("length").alias("t")).withColumn("_before", F.coalesce(F.sum("t").over(before), F.lit(0))).drop("t")
     inside = F.sum("length").over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
@@ -152,11 +183,67 @@ def manifest(df: DataFrame, config: str) -> DataFrame:
     return out.select(F.to_json(F.struct(F.lit(config).alias("config"), "total", "sources", "splits")).alias("manifest"))
 
 
+def section(name: str, rows: DataFrame, keys: list[str], *counts: str) -> DataFrame:
+    """section, key (a JSON object), n (a JSON object): one row for each combination of keys."""
+    key = F.to_json(F.struct(*keys)) if keys else F.lit("{}")
+    return rows.select(F.lit(name).alias("section"), key.alias("key"), F.to_json(F.struct(*counts)).alias("n"))
+
+
+def etl_manifest(loaded: DataFrame, capped: DataFrame, split: DataFrame, config: dict, per_shard: int, seconds: dict[str, float]) -> DataFrame:
+    """Sections of a run: its configuration, totals, counts by source and channel as loaded, by source and base before and
+    after the cap, by base and split with their shards, and timing. loaded: source_dataset, base_dataset, channel_idx, kept."""
+    n = F.count(F.lit(1)).alias("n")
+    stage = loaded.groupingSets([["source_dataset", "channel_idx"], []], "source_dataset", "channel_idx").agg(n, F.count_if("kept").alias("kept"), F.grouping_id().alias("_g"))
+    cap = lambda key: loaded.where("kept").groupBy(key).agg(n).withColumnRenamed("n", "before").join(capped.groupBy(key).agg(n).withColumnRenamed("n", "after"), key, "left").na.fill(0, ["after"])
+    spark = loaded.sparkSession
+    settings = spark.createDataFrame([(k, str(v)) for k, v in sorted(config.items())] or [("", "")], "name string, value string").where("name <> ''")
+    timing = spark.createDataFrame([(k, float(v)) for k, v in sorted(seconds.items())] or [("", 0.0)], "stage string, seconds double").where("stage <> ''")
+    out = section("config", settings, ["name"], "value").unionByName(section("seconds", timing, ["stage"], "seconds"))
+    out = out.unionByName(section("total", stage.where("_g > 0"), [], "n", "kept")).unionByName(section("loaded", stage.where("_g = 0"), ["source_dataset", "channel_idx"], "n", "kept"))
+    for key in ("source_dataset", "base_dataset"):
+        out = out.unionByName(section(f"cap by {key}", cap(key), [key], "before", "after"))
+    per = split.groupBy("split").agg(n).withColumn("shards", F.ceil(F.col("n") / per_shard).cast("long"))
+    return out.unionByName(section("split", split.groupBy("base_dataset", "split").agg(n), ["base_dataset", "split"], "n")).unionByName(section("shards", per, ["split"], "n", "shards"))
+
+
+def labelled_manifest(frames: DataFrame, label: str | None = "label", targets: str | None = None, k: int = 0) -> DataFrame:
+    """Sections by session, patient and label, or, for vectors of k targets, statistics of each target."""
+    n = F.count(F.lit(1)).alias("n")
+    keys = ["session_id", "patient_id"] + ([label] if label else [])
+    out = section("total", frames.agg(n), [], "n")
+    for key in keys:
+        out = out.unionByName(section(key, frames.groupBy(key).agg(n), [key], "n"))
+    if targets:
+        rows = frames.select(F.explode(F.array(*[F.struct(F.lit(i).alias("target"), F.get(F.col(targets), F.lit(i)).cast("double").alias("v")) for i in range(k)])).alias("x")).select("x.*")
+        stats = rows.groupBy("target").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+        out = out.unionByName(section("targets", stats, ["target"], "n", "mean", "std", "min", "max"))
+    return out
+
+
 def metric_logs(spark: SparkSession, root: str) -> DataFrame:
-    """grp, run, line_no and the columns of every ``group_*/run_*`` log."""
+    """grp, run, line_no and the columns of every ``group_*/run_*`` log. line_no: the place of a row in its file."""
     rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)
-    path = F.input_file_name()
-    return rows.withColumn("line_no", F.monotonically_increasing_id()).withColumn("grp", F.regexp_extract(path, r"(group_\d+)", 1)).withColumn("run", F.regexp_extract(path, r"(run_\d+)", 1))
+    path = F.col("_metadata.file_path")
+    # a file's rows lie in the order of its blocks, and within a block in the order of reading
+    rows = rows.select("*", path.alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i"))
+    rows = rows.withColumn("line_no", F.row_number().over(Window.partitionBy("_path").orderBy("_block", "_i")) - 1)
+    return rows.withColumn("grp", F.regexp_extract("_path", r"(group_\d+)", 1)).withColumn("run", F.regexp_extract("_path", r"(run_\d+)", 1)).drop("_path", "_block", "_i")
+
+
+def run_configs(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
+    """grp, run and config (JSON) of every ``group_*/run_*`` configuration file; YAML is turned into JSON where PyYAML is there."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    config = F.col("value")
+    if not glob.endswith(".json"):
+
+        @F.pandas_udf("string")
+        def config_json(text: pd.Series) -> pd.Series:
+            import yaml
+
+            return text.map(lambda t: json.dumps(yaml.safe_load(t)))
+
+        config = config_json("value")
+    return rows.select(F.regexp_extract("path", r"(group_\d+)", 1).alias("grp"), F.regexp_extract("path", r"(run_\d+)", 1).alias("run"), config.alias("config"))
 
 
 def dig(config: Column, path: str) -> Column:
@@ -180,12 +267,28 @@ def tolerant(df: DataFrame, decoded: Column) -> tuple[DataFrame, DataFrame]:
     return out.where("decoded IS NOT NULL"), out.where("decoded IS NULL").drop("decoded")
 
 
+SIDECARS = ["mean", "std", "min", "max"]
+
+
+def write_corpus(df: DataFrame, path: str, key: str, signal: str) -> None:
+    """Signals with their statistics, start and stop; a missing rate is 0 there."""
+    stats = [A.mean(F.col(signal)).alias("mean"), A.std(F.col(signal)).alias("std"), F.coalesce(F.array_min(signal), F.lit(0.0)).alias("min"), F.coalesce(F.array_max(signal), F.lit(0.0)).alias("max")]
+    rows = df.select("*", *stats).join(offsets(df, key, signal), key)
+    (rows.withColumn("fs", F.coalesce("fs", F.lit(0.0))) if "fs" in rows.columns else rows).write.parquet(path)
+
+
 def read_corpus(spark: SparkSession, path: str, need_stats: bool = False) -> DataFrame:
+    """The corpus with its sidecar columns; without the statistics that normalisation needs it is an error."""
     df = spark.read.parquet(path)
-    missing = {"mean", "std", "min", "max"} - set(df.columns)
+    missing = set(SIDECARS) - set(df.columns)
     if need_stats and missing:
         raise ValueError(f"the corpus lacks {sorted(missing)}")
     return df
 
 
+#: Readers by name: each makes rows of signals from rows as they are stored.
 READERS = {"wide": wide_channels, "demux": demuxed, "traces": trace_columns, "bracketed": bracketed_text, "waves": plane_waves, "bytes": byte_records}
+
+
+def read_as(kind: str, rows: DataFrame, **options) -> DataFrame:
+    return READERS[kind](rows, **options)

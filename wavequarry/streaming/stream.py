@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -49,6 +48,34 @@ def append_once(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def label_statistics(df: DataFrame, label: str, *targets: str) -> DataFrame:
+    """Running n, mean, population deviation, least and greatest value of each target by label."""
+    each = df.select(label, F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("v")) for t in targets])).alias("x")).select(label, "x.*")
+    return each.groupBy(label, "target").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+
+
+def available(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there now and returns what its sink holds: the batches, or in complete mode the last one."""
+
+    def last(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows")
+
+    sink = append_once(f"{path}/rows") if mode == "append" else last
+    query = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+def epoch_batches(shards: Column, per_shard: int, world: int, workers: int, batch: int) -> Column:
+    """Batches of an epoch: full shards dealt to ranks and to the workers that get any; each of those has at least one batch."""
+    active = F.greatest(F.least(F.lit(workers), shards), F.lit(1))
+    of_each = F.floor(F.floor(shards * per_shard / max(1, world)) / (active * batch))
+    return F.when((shards > 0) & F.lit(per_shard > 0), active * F.greatest(of_each, F.lit(1))).otherwise(1).cast("long")
+
+
 def estimated_batches(shards: int, per_shard: int, world: int, workers: int, batch: int) -> int:
-    """Batches of an epoch: full shards, dealt to ranks and their workers, each worker at least one."""
-    return max(1, math.floor(shards * per_shard / world / max(1, workers) / batch)) * max(1, workers)
+    """``epoch_batches`` of plain numbers."""
+    if not shards or not per_shard:
+        return 1
+    active = max(min(workers, shards), 1)
+    return active * max(shards * per_shard // max(1, world) // (active * batch), 1)
