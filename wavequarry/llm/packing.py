@@ -1,10 +1,11 @@
 """Lexical retrieval packing: documents cut into training sequences with their lexical neighbours.
 
 Every full window of a document is a sequence of its own. What is left of each document, its tail, goes to a shard of
-lexically close tails. A shard holds a BM25 inverted index over token ids (document counts are taken over the whole
+lexically close tails, in the order of two min-hashes of its rare ids. A shard holds a BM25 inverted index over token ids (document counts are taken over the whole
 corpus); each seed tail retrieves unused neighbours, those that fit fill its window greedily, and the best neighbour
 that doesn't fit is cut, its rest staying in the shard. So only the last window of a partition can be short; it is cut
-into sequences whose lengths are powers of two, which need no padding.
+into sequences whose lengths are powers of two, which need no padding. Retrieval is bounded: a seed asks with its ``TERMS``
+rarest ids and looks at the ``LOOKED_AT`` best tails; where those don't fill the window, the next tail in order does.
 
 Defined cases: a null or empty text is the single closing id 0; equal tails are ordered by id, then by text; rows with
 a null id are packed like others; repeated ids are packed once per row; further columns aren't read; an empty table
@@ -15,7 +16,8 @@ from __future__ import annotations
 
 import json
 import os
-import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -27,24 +29,24 @@ from pyspark.sql import functions as F
 from wavequarry.llm.shared import MIX, mixed, parts, schema_of, stored, texts_of
 
 WINDOW = 1024
-#: Tails of one index; query terms of a seed; neighbours looked at; BM25's two constants.
-SHARD, TERMS, LOOKED_AT, K1, B = 2048, 24, 48, 1.2, 0.75
-TOKENS = "doc_id long, doc_tokens long, ids binary, key_a long, key_b long"
+#: Tails of one index; query terms of a seed; neighbours looked at; BM25's two constants; an id is rare in a share of 1 / RARE of the documents.
+SHARD, TERMS, LOOKED_AT, K1, B, RARE = 2048, 24, 48, 1.2, 0.75, 100
+TOKENS = "doc_id long, doc_tokens long, ids binary"
+TAILS = "doc_id long, start long, doc_tokens long, ids binary, key_a long, key_b long"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 #: The byte-level pre-tokenizer's own pattern, as its makers published it.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLANKS = re.compile(r"\s\s")
 
 
 class Tokenizer:
-    """Ids of texts by a ``tokenizers`` file, as bytes. Words already seen come from a bounded memory.
+    """Ids of texts by a ``tokenizers`` file, as bytes.
 
-    New words of a byte-level BPE go through ``tiktoken``, with the vocabulary of the same file as ranks, where the
+    Texts of a byte-level BPE go through ``tiktoken``, with the vocabulary of the same file as ranks, where the
     file's merges come in the order of their ids: then both give the same ids.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
@@ -52,12 +54,7 @@ class Tokenizer:
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         by_word = self.model.normalizer is None and type(self.model.pre_tokenizer).__name__ == "ByteLevel" and not self.model.pre_tokenizer.add_prefix_space
-        self.known: dict[str, bytes] = {}
-        self.limit = limit
-        h = mixed(np.arange(1, self.model.get_vocab_size() + 1, dtype=np.uint64))
-        self.hashes = [h >> np.uint64(1), h * MIX >> np.uint64(1)]  # of each id, for min-hashes
         self.ranked = self.ranks() if by_word else None
-        self.line = self.ranked.encode_single_token(b"\n") if self.ranked else 0
 
     def ranks(self):
         import tiktoken
@@ -75,43 +72,16 @@ class Tokenizer:
         if set(byte) != set(ByteLevel.alphabet()):
             return None
         tokens = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if t not in self.special}
-        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={}) if b"\n" in tokens else None
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={})
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
 
-    def new(self, keys: list[str]) -> list[bytes]:
-        """Ids of words that a space stands before, or of a line end and the word behind it."""
-        out: dict[str, bytes] = {}
-        line = np.array([self.line], dtype=self.dtype).tobytes()
-        for key in keys:
-            word = key.removeprefix("\n")
-            if not word or not word.isalnum() and any(c.isspace() for c in word):
-                out[key] = np.array(self.ranked.encode_ordinary(key if key[:1] == "\n" else " " + key), dtype=self.dtype).tobytes()
-        # the others in one call, a line each; the line ends part their ids
-        rest = [key for key in keys if key not in out]
-        ids = np.array(self.ranked.encode_ordinary("\n".join([key[1:] if key[0] == "\n" else " " + key for key in rest])), dtype=self.dtype)
-        ends = np.r_[np.flatnonzero(ids == self.line), len(ids)] * self.dtype.itemsize
-        data = ids.tobytes()
-        for key, a, b in zip(rest, np.r_[0, ends[:-1] + self.dtype.itemsize].tolist(), ends.tolist()):
-            out[key] = line + data[a:b] if key[0] == "\n" else data[a:b]
-        return [out[key] for key in keys]
-
     def ids(self, text: str) -> bytes:
         if self.ranked is None or any(s in text for s in self.special):
             return self.plain([text])[0]
-        if BLANKS.search(text):
-            return np.array(self.ranked.encode_ordinary(text), dtype=self.dtype).tobytes()
-        # where no two blanks meet, no token of the byte-level split has a blank but as its first character
-        first, *keys = text.replace("\n", " \n").split(" ")
-        head = np.array(self.ranked.encode_ordinary(first), dtype=self.dtype).tobytes()
-        new = list(set(keys).difference(self.known))
-        if new:
-            own = dict(zip(new, self.new(new)))
-            if len(self.known) + len(own) > self.limit:
-                return head + b"".join([own[k] if k in own else self.known[k] for k in keys])
-            self.known.update(own)
-        return head + b"".join(map(self.known.__getitem__, keys))
+        found = array("H" if self.dtype.itemsize == 2 else "I", self.ranked.encode_ordinary(text))
+        return found.tobytes() if sys.byteorder == "little" else np.array(found, dtype=self.dtype).tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -121,7 +91,7 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, its number of ids (with the closing 0), the ids, and two min-hashes of the distinct ids."""
+    """doc_id, its number of ids (with the closing 0), the ids."""
     schema = schema_of(TOKENS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +100,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
             numbers, rows, size = b.column(0), [], 0
             for i, text in texts_of(b):
                 ids = t.ids(text) + bytes(t.dtype.itemsize)
-                at = np.frombuffer(ids, dtype=t.dtype)
-                rows.append((numbers[i].as_py(), len(at), ids, int(t.hashes[0][at].min()), int(t.hashes[1][at].min())))
+                rows.append((numbers[i].as_py(), len(ids) // t.dtype.itemsize, ids))
                 size += len(ids)
                 if size > 8_000_000 or i == len(b) - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -157,6 +126,13 @@ def document_counts(tokens: DataFrame, dtype: np.dtype, vocabulary: int) -> np.n
     return found
 
 
+def order_keys(counts: np.ndarray, n_docs: int) -> list[np.ndarray]:
+    """Two values of each id whose least ones order tails: hashes, those of rare ids (in several documents, but few) below all others."""
+    h = mixed(np.arange(1, len(counts) + 1, dtype=np.uint64))
+    common = np.where((counts > 1) & (counts * RARE <= max(n_docs, 2 * RARE)), np.uint64(0), np.uint64(1 << 62))
+    return [((x >> np.uint64(2)) | common).astype(np.int64) for x in (h, h * MIX)]
+
+
 class Shard:
     """Tails with an inverted index of BM25 weights."""
 
@@ -332,9 +308,19 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
             yield batch(rows_of(pieces, 2 * sequence + 1))
             sequence += 1
 
+    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = order_keys(shared.value, n_docs)
+        for b in batches:
+            if len(b):
+                ends = np.frombuffer(b.column(3).buffers()[1], dtype="<i4")[b.column(3).offset :][: len(b) + 1] // width
+                at = np.frombuffer(b.column(3).buffers()[2], dtype=dtype)[ends[0] : ends[-1]]
+                keys = [pa.array(np.minimum.reduceat(v[at], ends[:-1] - ends[0])) for v in values]
+                yield pa.RecordBatch.from_arrays([*b.columns, *keys], names=[f.name for f in schema_of(TAILS)])
+
     whole_pieces = tokens.where(F.col("doc_tokens") >= window).select("doc_id", "doc_tokens", "ids").mapInArrow(whole, PIECES)
     begins = F.col("doc_tokens") - tail
-    tails = tokens.where(tail > 0).select("doc_id", begins.alias("start"), "doc_tokens", F.expr(f"substring(ids, CAST((doc_tokens - doc_tokens % {window}) * {width} + 1 AS INT))").alias("ids"), "key_a", "key_b")
-    order = ["key_a", "key_b", "doc_id", "ids"]
-    dealt = tails.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order)
+    tails = tokens.where(tail > 0).select("doc_id", begins.alias("start"), "doc_tokens", F.expr(f"substring(ids, CAST((doc_tokens - doc_tokens % {window}) * {width} + 1 AS INT))").alias("ids")).mapInArrow(keyed, TAILS)
+    # the driver samples the keys of the ranges, so they are numbers alone
+    order = ["key_a", "key_b", "doc_id", "tie"]
+    dealt = tails.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order)
     return whole_pieces.unionByName(dealt.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(packed, PIECES))
