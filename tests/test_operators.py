@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavequarry.functions import arrays as A
+from wavequarry.functions import filters
 from wavequarry.functions.rank import exact_rank, seeded_key
 from wavequarry.operators import clean, evaluate, experiments, sampling, sequence, signal
 from wavequarry.sources import io
@@ -140,6 +141,43 @@ def test_configurations(spark):
     assert {(r["k"], r["rule"]) for r in got} == {(2, x) for x in ("shard", "ratios", "bandwidth", "length", "mode", "interpolation", "centre")}
 
 
+def test_filters_by_their_definition():
+    """Coefficients by the frequency response, passes by dense matrices, end states by least squares over both orders."""
+    rng = np.random.default_rng(42)
+    w = np.linspace(0.01, 0.99, 50)
+    for kind in ("low", "high", "band", "stop"):
+        b, a = filters.butterworth_coefficients(3, 0.2, 0.5, kind)
+        z = np.exp(-1j * np.pi * np.outer(w, np.arange(len(a))))
+        t, lo, hi = np.tan(np.pi * w / 2), np.tan(np.pi * 0.1), np.tan(np.pi * 0.25)
+        s = {"low": t / hi, "high": lo / t, "band": (t * t - lo * hi) / (t * (hi - lo)), "stop": t * (hi - lo) / (t * t - lo * hi)}[kind]
+        assert np.allclose(np.abs(z @ b / (z @ a)) ** 2, 1 / (1 + s**6))
+    b, a = filters.butterworth_coefficients(2, 0.2, 0.5, "band")
+    n, m, x = 40, len(a) - 1, rng.normal(size=(3, 40))
+    h = filters.filtered(b, a, np.eye(n), np.zeros((n, m))).T  # column i: the answer to an impulse at i
+    o, r = filters.filtered(b, a, np.zeros((m, n)), np.eye(m)).T, np.eye(n)[::-1]
+    got = filters.forward_backward(b, a, x)
+    for row, y in zip(x, got):
+        fb, bf = r @ h @ r @ h @ row, h @ r @ h @ r @ row
+        cost = np.hstack([r @ h @ r @ o - o, r @ o - h @ r @ o])
+        states = np.linalg.lstsq(cost, bf - fb, rcond=None)[0]
+        assert np.allclose(y, fb + np.hstack([r @ h @ r @ o, r @ o]) @ states)
+    low = filters.butterworth_coefficients(3, 0.2, 0.3, "low")
+    assert np.allclose(filters.padded_forward_backward(*low, np.full((1, 60), 2.5)), 2.5)
+    with pytest.raises(ValueError):
+        filters.padded_forward_backward(*low, np.ones((1, 5)))
+
+
+def test_butterworth_kinds(spark):
+    t = np.arange(600) / 1e3
+    df = spark.createDataFrame([(f, np.sin(2 * np.pi * f * t).tolist(), 1e3) for f in (20, 100, 400)], "f int, x array<double>, fs double")
+    passes = {"low": {20}, "high": {400}, "band": {100}, "stop": {20, 400}}
+    for kind, kept in passes.items():
+        low, high = {"low": (1.0, 50.0), "high": (200.0, 400.0)}.get(kind, (50.0, 200.0))
+        for r in df.select("f", "x", signal.butterworth(F.col("x"), F.col("fs"), F.lit(low), F.lit(high), kind).alias("y")).collect():
+            x, y = (np.array(v)[200:400] for v in (r["x"], r["y"]))
+            assert np.abs(y - x).max() < 0.1 if r["f"] in kept else np.abs(y).max() < 0.1
+
+
 def test_spectral_filters(spark):
     t = np.arange(512) / 1e3
     tones = {f: np.sin(2 * np.pi * f * t).tolist() for f in (100, 400)}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavequarry.functions import arrays as A
+from wavequarry.functions import filters
 
 
 def chunks(df: DataFrame, signal: str, patch: Column, per_chunk: int, min_patches: int = 1) -> DataFrame:
@@ -91,39 +92,48 @@ def formats(df: DataFrame, signal: str, length: int) -> DataFrame:
     return out.withColumn("format", F.col("_f.format")).withColumn(signal, F.col("_f.signal")).drop("_f", "_band", "_envelope")
 
 
-def spectrum_of(x: np.ndarray, fs: float, low: float | None, high: float | None, order: int, kind: str) -> np.ndarray:
-    """Zero-phase response (squared magnitude of a Butterworth filter, bilinear) applied to a signal padded by reflection."""
-    pad = min(len(x) - 1, 3 * (2 * order + 1))
-    y = np.pad(x, pad, mode="reflect", reflect_type="odd") if pad > 0 else x
-    f = np.fft.rfftfreq(len(y), 1 / fs)
-    w = np.tan(np.pi * np.clip(f / fs, 0, 0.4999999))
-    edge = lambda v: np.tan(np.pi * min(max(v / fs, 1e-7), 0.4999))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        if kind == "low":
-            s = w / edge(high)
-        elif kind == "high":
-            s = edge(low) / w
-        else:
-            a, b = edge(low), edge(high)
-            s = (w * w - a * b) / (w * (b - a))
-            s = 1 / s if kind == "stop" else s
-        gain = 1 / (1 + np.where(np.isfinite(s), s, np.inf) ** (2 * order))
-    y = np.fft.irfft(np.fft.rfft(y) * gain, len(y))
-    return y[pad : len(y) - pad] if pad > 0 else y
+def grouped(x: pd.Series, *options: pd.Series) -> dict[tuple, list[int]]:
+    """Rows with equal lengths and options, which can be filtered together."""
+    groups: dict[tuple, list[int]] = {}
+    for i, (v, *o) in enumerate(zip(x, *options)):
+        if v is not None:
+            groups.setdefault((len(v), *o), []).append(i)
+    return groups
 
 
-def butterworth(signal: Column, fs: Column, low: Column, high: Column, kind: str = "band", order: int = 4) -> Column:
-    """Signals without a positive fs, or shorter than 3 orders, pass unchanged."""
+def bandpass(signal: Column, fs: Column, low: Column, high: Column, order: int = 4) -> Column:
+    """Zero-phase band-pass with the end states for which the order of both passes matters least. Signals without a positive
+    rate, or shorter than 3 orders, pass unchanged."""
 
     @F.pandas_udf("array<double>")
     def run(x: pd.Series, fs: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-        return pd.Series([v if v is None or not f or f != f or f <= 0 or len(v) < 3 * order else spectrum_of(np.asarray(v, float), f, a, b, order, kind).tolist() for v, f, a, b in zip(x, fs, low, high)])
+        out = x.tolist()
+        for (n, rate, first, last), rows in grouped(x, fs, low, high).items():
+            if n < 3 * order or not rate or not rate > 0:
+                continue
+            bottom = max(1e-6, min(2 * first / rate, 0.999))
+            b, a = filters.butterworth_coefficients(order, bottom, max(bottom + 1e-6, min(2 * last / rate, 0.999)), "band")
+            for i, y in zip(rows, filters.forward_backward(b, a, np.array([x[i] for i in rows], dtype=float))):
+                out[i] = y.tolist()
+        return pd.Series(out)
 
     return run(signal, fs, low, high)
 
 
-def bandpass(signal: Column, fs: Column, low: Column, high: Column, order: int = 4) -> Column:
-    return butterworth(signal, fs, low, high, "band", order)
+def butterworth(signal: Column, fs: Column, low: Column, high: Column, kind: str = "band", order: int = 4) -> Column:
+    """Zero-phase filter of any kind (band, stop, low: below ``high``, high: above ``low``) over oddly extended signals, which
+    need more samples than three times its coefficients."""
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series, fs: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+        out = x.tolist()
+        for (_, rate, first, last), rows in grouped(x, fs, low, high).items():
+            b, a = filters.butterworth_coefficients(order, 2 * first / rate, 2 * last / rate, kind)
+            for i, y in zip(rows, filters.padded_forward_backward(b, a, np.array([x[i] for i in rows], dtype=float))):
+                out[i] = y.tolist()
+        return pd.Series(out)
+
+    return run(signal, fs, low, high)
 
 
 def envelope(signal: Column) -> Column:
