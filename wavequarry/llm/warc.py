@@ -1,18 +1,22 @@
 """WARC archives of pages and the merged index of their captures.
 
 ``write_archives`` writes one WARC 1.1 record per page: the page with the largest id among those with equal payloads is
-a response, the others are revisits of it. Files are gzip-compressed WARC text of bounded record count.
-``read_archives`` parses the files whole. ``merge_index`` sorts each archive's captures into a run and merges the runs
-of a key range through a loser tree, which gives globally ordered capture histories.
+a response, the others are revisits of it. Files are gzip-compressed WARC text of about ``ARCHIVE_BYTES`` each: a file
+takes so many records as of mean length fill it, and none has more than its task's input. ``read_archives`` parses a file
+record by record while it is decompressed. ``merge_index`` sorts each archive's captures into a run and merges the runs of a
+key range through a loser tree, which gives globally ordered capture histories; runs stay in Arrow form, and a few rows of each
+are Python objects at a time. Offsets are those of the uncompressed file.
 
 Defined cases: null html is an empty payload (and, at ``least`` 0, empty payloads are equal to each other); a null url is
-the empty target; a page without an id is a response with an empty id; payloads of fewer than ``least`` bytes are all responses; further columns are not read; an empty table
+the empty target; a page without an id is a response with an empty id; of rows that repeat the id of a response each is one, and rows that
+repeat another id are revisits each; payloads of fewer than ``least`` bytes are all responses; further columns are not read; an empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
 import gzip
+import io
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wavequarry.llm.shared import parts, schema_of, shared_dir, stored
 
-RECORDS_PER_FILE = 20_000
+ARCHIVE_BYTES, HEAD_BYTES, SLICE = 64 << 20, 600, 256
 CAPTURES = "page_id long, url string, urlkey string, timestamp string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, offset long, length long, payload binary"
 INDEX = "urlkey string, timestamp string, page_id long, record_type string, payload_digest string, archive string, offset long, length long, payload_bytes long, refers_to long"
 END = "\r\n\r\n"
@@ -38,15 +42,16 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*[F.lpad(F.conv(F.substring(digest, i, 10), 16, 32), 8, "0") for i in (1, 11, 21, 31)]), DIGITS, BASE32)
 
 
-def planned(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Pages with payload, digest and the id of the response that stands for each payload."""
+def planned(pages: DataFrame, least: int = 0) -> tuple[DataFrame, int]:
+    """Pages with payload, digest and the id of the response that stands for each payload; how many records of mean length fill a file."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), base32_sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     first = rows.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("response")).withColumnRenamed("payload_bytes", "bytes")
     first = stored(first, "payloads")
+    mean = first.agg(F.avg("bytes")).first()[0] or 0.0
     joined = rows.join(first.withColumnRenamed("payload_digest", "digest"), (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") == F.col("bytes")))
     refers = F.when((F.col("payload_bytes") >= least) & (F.col("response") != F.col("page_id")), F.col("response"))
-    return joined.select("page_id", "url", "html", "payload_digest", "payload_bytes", refers.alias("refers_to"))
+    return joined.select("page_id", "url", "html", "payload_digest", "payload_bytes", refers.alias("refers_to")), max(1, int(ARCHIVE_BYTES / (mean + HEAD_BYTES)))
 
 
 def record() -> Column:
@@ -73,21 +78,25 @@ def record() -> Column:
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0) -> str:
     """Writes the archives and returns their folder, by default a new one in the shared folder."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/wavequarry/warc-{uuid.uuid4().hex}"
-    rows = planned(pages, least).select(record().alias("value"))
-    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    rows, per_file = planned(pages, least)
+    rows.select(record().alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
     return folder
 
 
-def parsed(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes, bytes]]:
-    """(offset, length, WARC header, HTTP header, payload) of each record of an uncompressed archive."""
+def parsed(archive: io.BufferedIOBase) -> Iterator[tuple[int, int, dict[str, str], bytes, bytes]]:
+    """(offset, length, WARC header, HTTP header, payload) of each record of an uncompressed archive, read record by record."""
     at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
-        body, size = end + 4, int(head["Content-Length"])
-        split = data.index(b"\r\n\r\n", body) + 4
-        yield at, body + size - at, head, data[body:split], data[split : body + size]
-        at = body + size + 4
+    while line := archive.readline():
+        size, head = len(line), {}
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            size += len(line)
+            name, _, value = line.decode("utf-8", "replace").removesuffix("\r\n").partition(":")
+            head[name] = value.removeprefix(" ")
+        body = archive.read(int(head["Content-Length"]))
+        split = body.index(b"\r\n\r\n") + 4
+        length = size + 2 + len(body)
+        yield at, length, head, body[:split], body[split:]
+        at += length + len(archive.read(4))
 
 
 def surt(url: str) -> str:
@@ -107,7 +116,8 @@ def read_archives(spark, folder: str) -> DataFrame:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
                 out, size, archive = [], 0, path.rsplit("/", 1)[-1]
-                for offset, length, head, http, payload in parsed(gzip.decompress(content.as_buffer())):
+                opened = io.BufferedReader(gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer())))
+                for offset, length, head, http, payload in parsed(opened):
                     number = int(head["WARC-Record-ID"][10:-1]) if head["WARC-Record-ID"] != "<urn:page:>" else None
                     refers = int(head["WARC-Refers-To"][10:-1]) if "WARC-Refers-To" in head else None
                     full = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
@@ -134,13 +144,14 @@ def ordered(row: tuple) -> tuple:
     return row[0], row[1], -1 if row[2] is None else row[2]
 
 
-def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
+def loser_tree(runs: Iterable[Iterable[tuple]]) -> Iterator[tuple]:
     """Merges sorted runs: inner nodes hold the loser of each match, so a replaced winner replays one path of log2(k) matches."""
-    k = len(runs)
+    rest = [iter(r) for r in runs]
+    k = len(rest)
     if not k:
         return
-    at = [0] * k
-    key = [(0, ordered(runs[i][0])) if runs[i] else (1,) for i in range(k)]
+    head = [next(r, None) for r in rest]
+    key = [(1,) if h is None else (0, ordered(h)) for h in head]
     tree = [-1] * k  # tree[0] is the winner
     for i in range(k):
         winner, node = i, (i + k) // 2
@@ -150,9 +161,9 @@ def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
             node //= 2
         tree[node if node > 0 else 0] = winner
     while key[winner := tree[0]][0] == 0:
-        yield runs[winner][at[winner]]
-        at[winner] += 1
-        key[winner] = (0, ordered(runs[winner][at[winner]])) if at[winner] < len(runs[winner]) else (1,)
+        yield head[winner]
+        head[winner] = next(rest[winner], None)
+        key[winner] = (1,) if head[winner] is None else (0, ordered(head[winner]))
         node = (winner + k) // 2
         while node > 0:
             if key[tree[node]] < key[winner]:
@@ -170,12 +181,21 @@ def merge_index(captures: DataFrame) -> DataFrame:
     schema = schema_of(INDEX)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[str, list[tuple]] = {}
+        pieces: dict[str, list[pa.RecordBatch]] = {}
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                pieces.setdefault(row[5], []).append(row)
+            names = b.column(5).to_pylist()
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for i, j in zip(cuts, cuts[1:]):
+                if j > i:
+                    pieces.setdefault(names[i], []).append(b.slice(i, j - i))
+
+        def rows_of(run: list[pa.RecordBatch]) -> Iterator[tuple]:
+            for b in run:
+                for i in range(0, len(b), SLICE):
+                    yield from zip(*(c.to_pylist() for c in b.slice(i, SLICE).columns))
+
         out: list[tuple] = []
-        for row in loser_tree(list(pieces.values())):
+        for row in loser_tree(map(rows_of, pieces.values())):
             out.append(row)
             if len(out) == 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
