@@ -10,7 +10,9 @@ unless most of its text would go, and blocks outside of it stay only where they
 a page's headers and elements whose class, id or role names such a part are removed too, unless they hold most of the page's
 text and no article element stands outside of them, or all but a tenth of the article's text.
 
-Defined cases: null or empty html gives an empty text; tags that are never closed end with their parent; a host's nodes on fewer than
+Defined cases: null or empty html gives an empty text; tags that are never closed end with their parent; inline elements with such
+a word are skipped up to their own end, and not at all without one; elements more than ``DEPTH`` deep belong to their ancestor there, so work
+is linear in a page's length however it is nested; a host's nodes on fewer than
 ``pages`` different pages are kept (entropy over a few pages says little); a null url, or one without a host, is the host ''; rows with a
 null id are kept; repeated rows are extracted each, and count once in the tree; further columns are not read; an empty table gives an empty result.
 """
@@ -21,6 +23,7 @@ import html
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from wavequarry.llm.shared import schema_of, stored, texts_of
 
-PAGES, LEAST = 4, 0.3
+PAGES, LEAST, DEPTH = 4, 0.3, 48
 TEXT = "page_id long, url string, text string, n_chars long"
 NODES = "host string, node long, feature long, layout long, c double, clogc double"
 
@@ -62,13 +65,44 @@ def named(tag: str) -> set[str]:
     return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", hints).lower())) if hints else set()
 
 
-def blocks(page: str) -> Iterator[tuple[int, tuple[str, ...], str]]:
-    """(depth of the article or main element around it or 0, path of styled elements, text) of each block that can be part of the article, in order."""
-    stack: list[tuple[str, str, bool, int, tuple[int, ...]]] = []  # tag, style, removed, inside, doubtful elements around
+#: Comments, raw elements and the tags of inline elements.
+SPANS = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(sorted(RAW))})\b|<(?P<end>/?)(?P<tag>{'|'.join(sorted(INLINE, key=lambda t: (-len(t), t)))})(?=[\s/>])[^>]*>", re.S | re.I)
+
+
+def ends(page: str) -> dict[int, int]:
+    """Where the element that opens at a place ends, of the inline elements that are closed; one pass over the page."""
+    found: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    at = 0
+    while m := SPANS.search(page, at):
+        at = m.end()
+        if m["raw"]:
+            end = re.compile(rf"</{m['raw']}\b[^>]*>?", re.I).search(page, at)
+            if not end:
+                break
+            at = end.end()
+        elif m["tag"]:
+            around = open_.setdefault(m["tag"].lower(), [])
+            if m["end"] and around:
+                found[around.pop()] = at
+            elif not m["end"] and not m[0].endswith("/>"):
+                around.append(m.start())
+    return found
+
+
+def child(parent: int, style: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{parent}/{style}") >> 1
+
+
+def blocks(page: str) -> Iterator[tuple[int, tuple[int, ...], str]]:
+    """(depth of the article or main element around it or 0, nodes of the styled elements around, text) of each block that can be part of the article, in order."""
+    stack: list[tuple[str, tuple[int, ...], bool, int, tuple[int, ...]]] = []  # tag, nodes, removed, inside, doubtful elements around
+    opened: dict[str, int] = {}  # how many of each tag are on the stack
     text: list[str] = []
-    found: list[tuple[int, tuple[str, ...], str, tuple[int, ...]]] = []
+    found: list[tuple[int, tuple[int, ...], str, tuple[int, ...]]] = []
     doubtful: list[bool] = []  # whether each doubtful element is inside an article
     articles: set[tuple[int, ...]] = set()
+    closed: dict[int, int] | None = None
     at, n = 0, len(page)
 
     def flush() -> None:
@@ -76,7 +110,12 @@ def blocks(page: str) -> Iterator[tuple[int, tuple[str, ...], str]]:
             whole = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if whole and not (stack and stack[-1][2]):
-                found.append((stack[-1][3] if stack else 0, tuple(x[1] for x in stack), whole, stack[-1][4] if stack else ()))
+                found.append((stack[-1][3], stack[-1][1], whole, stack[-1][4]) if stack else (0, (), whole, ()))
+
+    def cut(i: int) -> None:
+        for x in stack[i:]:
+            opened[x[0]] -= 1
+        del stack[i:]
 
     while at < n:
         m = TOKEN.match(page, at)
@@ -94,11 +133,9 @@ def blocks(page: str) -> Iterator[tuple[int, tuple[str, ...], str]]:
                 continue
             if tag in ("p", "br"):
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    flush()
-                    del stack[i:]
-                    break
+            if opened.get(tag):
+                flush()
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
@@ -109,17 +146,17 @@ def blocks(page: str) -> Iterator[tuple[int, tuple[str, ...], str]]:
         hints = named(piece) if "=" in piece else set()
         if tag in INLINE:
             if hints & PARTS and not piece.endswith("/>"):  # an inline element can be an advert or a comment: skip to its end
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else at
+                closed = ends(page) if closed is None else closed
+                at = max(at, closed.get(m.start(), at))
             continue
         flush()
         if tag in VOID:
             continue
         if tag in BLOCKS or tag in CLOSES:
             for other in ("p",) if tag in BLOCKS else CLOSES[tag]:
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if opened.get(other) else ():
                     if stack[i][0] == other:
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i][0] in SCOPE:
                         break
@@ -127,18 +164,22 @@ def blocks(page: str) -> Iterator[tuple[int, tuple[str, ...], str]]:
         removed = removed or tag in NEVER
         # a page's header is none of the article's text; an article's own one holds its heading
         parts = hints & PARTS - {"header"} if inside else hints & PARTS
-        if not removed and (parts and tag not in ("html", "body", "main") or tag == "form" or tag == "header" and not inside):
+        if not removed and len(around) < DEPTH and (parts and tag not in ("html", "body", "main") or tag == "form" or tag == "header" and not inside):
             around = (*around, len(doubtful))
             doubtful.append(inside > 0)
         if not removed and (tag in ("article", "main") or "main" in hints and tag not in ("html", "body")):
             inside = inside or len(stack) + 1
             articles.add(around)
-        stack.append((tag, f"{tag}.{'.'.join(sorted(hints - {''}))}" if hints else tag, removed, inside, around))
+        nodes = stack[-1][1] if stack else ()
+        if len(nodes) < DEPTH:
+            nodes = (*nodes, child(nodes[-1] if nodes else 0, f"{tag}.{'.'.join(sorted(hints - {''}))}" if hints else tag))
+        stack.append((tag, nodes, removed, inside, around))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     gone = without(found, doubtful, articles)
-    for own, path, whole, around in found:
+    for own, nodes, whole, around in found:
         if gone.isdisjoint(around):
-            yield own, path, whole
+            yield own, nodes, whole
 
 
 def without(found: list[tuple], doubtful: list[bool], articles: set[tuple[int, ...]]) -> set[int]:
@@ -168,14 +209,10 @@ def host_of(url: str | None) -> str:
     return m[1].lower().removeprefix("www.") if m else ""
 
 
-def node(path: Iterable[str]) -> int:
-    return xxhash.xxh3_64_intdigest("/".join(path)) >> 1
-
-
 def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
     """The blocks outside low nodes: those of the article, and the others where they hold more text or no article is marked."""
     found = list(blocks(page))
-    kept = [not (low and any(node(path[:i]) in low for i in range(own + 1, len(path) + 1))) for own, path, _ in found]
+    kept = [low.isdisjoint(nodes[own:]) for own, nodes, _ in found]
     inside = sum(len(t) for own, _, t in found if own)
     stays = sum(len(t) for (own, _, t), k in zip(found, kept) if own and k)
     if 2 * stays < inside:
@@ -194,17 +231,18 @@ def style_tree(pages: DataFrame) -> DataFrame:
             urls, rows = b.column(0).to_pylist(), []
             for i, page in texts_of(b, "html"):
                 host, number = host_of(urls[i]), xxhash.xxh3_64_intdigest(page.encode("utf-8", "surrogatepass")) >> 1
-                children: dict[tuple, list[str]] = {}
-                for own, path, t in blocks(page):
+                children: dict[int, list[int]] = {}
+                for own, nodes, t in blocks(page):
                     feature = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1
-                    for j in range(own + 1, len(path) + 1):  # what is around an article is decided by the other blocks
-                        rows.append((host, node(path[:j]), feature, 0, number))
-                        children.setdefault(path[: j - 1], []).append(path[j - 1])
-                for path, styles in children.items():
-                    if path:
-                        rows.append((host, node(path), 0, node(styles), number))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    for j in range(own, len(nodes)):  # what is around an article is decided by the other blocks
+                        rows.append((host, nodes[j], feature, 0, number))
+                        if j:
+                            children.setdefault(nodes[j - 1], []).append(nodes[j])
+                for parent, below in children.items():
+                    rows.append((host, parent, 0, xxhash.xxh3_64_intdigest(np.array(below, dtype="<i8").tobytes()) >> 1, number))
+                if len(rows) > 50_000 or rows and i == len(b) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows = []
 
     seen = pages.select("url", "html").mapInArrow(run, "host string, node long, feature long, layout long, page long")
     # occurrences of each feature and layout in each different page; every step is a sum that combines before the shuffle
