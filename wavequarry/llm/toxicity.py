@@ -4,11 +4,12 @@ Words are hashed to embeddings, as wholes and by their first and last characters
 a logistic output. The output is calibrated on labelled rows kept from training: a slope and an offset put the best
 overall threshold at a score of 0.5, and each language gets a threshold of its own for ``toxic``.
 
-The classifier is fitted on at most ``sample`` labelled rows (those with the smallest hashes of their ids); scoring
-covers every whole text. Labels, language, source and id are never inputs of a score.
+The classifier is fitted on at most ``sample`` labelled rows (those with the smallest hashes of their ids) of at most
+``LONGEST`` characters each, which bounds what reaches the driver; scoring covers every whole text of any length. Labels, language, source and id are never inputs of a score.
 
 Defined cases: a null or empty text is scored by its bias, without words; without labelled rows of both classes every score
-is 0; a document labelled more than once counts as toxic if any label says so; null labels are ignored; a language
+is 0; a document labelled more than once counts as toxic if any label says so, and each row of a repeated id is scored and
+learnt from by its own text; null labels are ignored; a language
 unseen in calibration, or null, has the overall threshold; further columns are passed through by ``score`` (its own
 names win); an empty table gives an empty result.
 """
@@ -29,6 +30,7 @@ from wavequarry.llm.shared import texts_of
 
 WORDS = re.compile(r"[^\W_]+")
 BUCKETS, DIM, WIDTHS, FILTERS, EPOCHS, SAMPLE = 1 << 18, 8, (1, 2, 3), 8, 6, 6000
+LONGEST = 50_000
 
 
 PAD = max(WIDTHS)
@@ -185,7 +187,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     columns = [F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang")]
     # at most ``sample`` small rows are broadcast
-    rows = docs.select(*columns).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = docs.select(*columns).where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     y = np.array(rows["toxic"].to_pylist(), dtype=np.float32)
     if not 0 < y.sum() < len(y):
         return None
