@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -129,7 +131,9 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def linear_scores(vector: Column, weights: list[list[float]], bias: list[float]) -> Column:
-    return F.array(*[A.dot(vector, F.array(*map(F.lit, w))) + b for w, b in zip(weights, bias)])
+    """Scores of all rows of a weight matrix, which is one constant of the plan whatever its size."""
+    head = F.from_json(F.lit(json.dumps([{"w": w, "b": b} for w, b in zip(weights, bias)])), "array<struct<w:array<double>,b:double>>")
+    return F.transform(head, lambda h: A.dot(vector, h["w"]) + h["b"])
 
 
 def centroid_shift(df: DataFrame, split: str, label: str, vector: str, weights: list[list[float]], bias: list[float]) -> DataFrame:

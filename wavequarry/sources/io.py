@@ -68,9 +68,15 @@ def bracketed_text(lines: DataFrame, header: int) -> DataFrame:
     return rows.withColumn("row", F.row_number().over(Window.partitionBy("path").orderBy("line_no")) - 1).drop("value")
 
 
+def numbered_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` of a file source with path and line_no: a file's rows lie in the order of its blocks, and within a block in that of reading."""
+    rows = rows.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i"))
+    return rows.withColumn("line_no", F.row_number().over(Window.partitionBy("path").orderBy("_block", "_i")) - 1).drop("_block", "_i")
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, value of text files; a file is read whole, so that its lines keep their numbers."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    """path, line_no, value of text files."""
+    return numbered_rows(spark.read.text(path)).select("path", "line_no", "value")
 
 
 def without_last(signal: Column) -> Column:
@@ -223,11 +229,8 @@ def labelled_manifest(frames: DataFrame, label: str | None = "label", targets: s
 def metric_logs(spark: SparkSession, root: str) -> DataFrame:
     """grp, run, line_no and the columns of every ``group_*/run_*`` log. line_no: the place of a row in its file."""
     rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)
-    path = F.col("_metadata.file_path")
-    # a file's rows lie in the order of its blocks, and within a block in the order of reading
-    rows = rows.select("*", path.alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i"))
-    rows = rows.withColumn("line_no", F.row_number().over(Window.partitionBy("_path").orderBy("_block", "_i")) - 1)
-    return rows.withColumn("grp", F.regexp_extract("_path", r"(group_\d+)", 1)).withColumn("run", F.regexp_extract("_path", r"(run_\d+)", 1)).drop("_path", "_block", "_i")
+    rows = numbered_rows(rows)
+    return rows.withColumn("grp", F.regexp_extract("path", r"(group_\d+)", 1)).withColumn("run", F.regexp_extract("path", r"(run_\d+)", 1)).drop("path")
 
 
 def run_configs(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
