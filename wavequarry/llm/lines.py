@@ -1,12 +1,12 @@
 """Line dedup: runs of lines that occur before, in the same or another document, are deleted.
 
-The corpus is a sequence of line ids per document. Prefix doubling names the suffixes of these sequences by their first
-1, 2, 4, ... lines: a name of level k + 1 stands for two names of level k, 2^k lines apart. A name that only one suffix has is
-dropped, so each level holds the repeated runs alone. Suffixes with the same first m lines (an interval of the suffix
-array with a common prefix of m lines) are told by two overlapping names, so no order beyond equality is needed and
-the array is dealt by hash instead of being sorted.
+The corpus is a sequence of line ids per document. Prefix doubling ranks the suffixes of these sequences by their first
+1, 2, 4, ... lines: the rank at level k + 1 is that of two ranks of level k, 2^k lines apart, in their global order. A prefix that
+only one suffix has is dropped, so each level holds the repeated runs alone, and equal ranks lie together in the suffix
+array. An interval of the array whose longest common prefix is at least m lines is the set of suffixes with the same two
+ranks that overlap in m lines.
 
-Of each start the least run of at least ``min_words`` words is looked up, and of each end likewise; these windows cover
+Of each start the least run of at least ``min_words`` words is looked up, and of each end likewise; these intervals' runs cover
 exactly the maximal repeated runs of so many words. In every interval the first occurrence (by id, then line) stays and
 the lines of all later ones are deleted. The depth of the doubling depends on ``min_words`` only.
 
@@ -67,14 +67,15 @@ def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(run, LINES)
 
 
-def named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` whose keys occur more than once, with a number for each combination of keys as ``name``."""
-    classes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, F.monotonically_increasing_id().alias("name"))
-    return rows.join(stored(classes, "names"), keys)
+def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose keys occur more than once, with the place of these keys in the order of all such as ``name``."""
+    classes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+    # a range exchange and a sort, so ids rise from row to row and from partition to partition
+    return rows.join(stored(classes.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("name")), "ranks"), keys)
 
 
 def windows(levels: list[DataFrame], partitions: int) -> DataFrame:
-    """The windows that consist of repeated lines, each told by the two names that overlap in it; columns as in ``WINDOWS``."""
+    """The windows that consist of repeated lines, each told by the two ranks that overlap in it; columns as in ``WINDOWS``."""
     rows = None
     for k, level in enumerate(levels):
         some = level.select("doc_id", "th", "pos", F.lit(k).alias("k"), "name", "ahead", "back")
@@ -120,18 +121,19 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # equal rows are one document, wherever they lie
     lines = stored(line_rows(docs, min_words).dropDuplicates(["doc_id", "th", "pos"]), "lines")
     # a line in a single place never is in a repeated run
-    level = stored(named(lines, ["h1", "h2"]).select("doc_id", "th", "pos", "name", "ahead", "back"), "level")
+    level = stored(ranked(lines, ["h1", "h2"]).select("doc_id", "th", "pos", "name", "ahead", "back"), "level")
     levels = [level]
     ahead = Window.partitionBy("doc_id", "th").orderBy("pos")
     for k in range(max(1, min_words).bit_length() - 1):
         step = 1 << k
         pairs = level.withColumn("next", F.first("name").over(ahead.rangeBetween(step, step))).where("next IS NOT NULL").withColumnRenamed("name", "own")
-        level = stored(named(pairs, ["own", "next"]).select("doc_id", "th", "pos", "name", "ahead", "back"), "level")
+        level = stored(ranked(pairs, ["own", "next"]).select("doc_id", "th", "pos", "name", "ahead", "back"), "level")
         levels.append(level)
     found = stored(windows(levels, parts(docs.sparkSession)), "windows")
-    place = F.struct("doc_id", "th", "start")
-    intervals = found.groupBy("m", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
-    later = found.join(intervals.select("m", "a", "b", "first"), ["m", "a", "b"]).where(~F.col("first").eqNullSafe(place))
+    # of each interval of the suffix array the first suffix; joined by its place, as an interval may hold a third of all rows
+    first = found.groupBy("m", "a", "b").agg(F.min(F.struct("doc_id", "th", "start")).alias("first")).select("m", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "th", "start")])
+    own = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("th") == F.col("first_th")) & (F.col("start") == F.col("first_start")) & (found["m"] == first["m"])
+    later = found.join(first, own, "left_anti")
     return later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "m"))).alias("gone"))
 
 
