@@ -115,7 +115,8 @@ def chained(docs: DataFrame, blocks: int | None = None) -> DataFrame:
         goes = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
         closing = docs.where(F.col("doc_id").isin(list(before))).select(goes[F.col("doc_id")].alias("block"), F.lit(1).alias("last"), "doc_id", "text")
         rows = rows.unionByName(closing)
-    return rows.repartition(parts(spark), "block").sortWithinPartitions("block", "last", "doc_id", "text")
+    # blocks in turn: no two of neighbouring numbers in one task while another has none
+    return rows.repartitionById(parts(spark), F.pmod("block", F.lit(parts(spark)))).sortWithinPartitions("block", "last", "doc_id", "text")
 
 
 def spark_cuts(docs: DataFrame, n: int) -> list[int]:
