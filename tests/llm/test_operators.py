@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -129,6 +130,13 @@ def test_line_dedup_cases(spark, hard):
     assert [r["n_deleted"] for r in lines.dedup_lines(twice).collect()] == [0, 0]
 
 
+def test_ranks_are_in_the_order_of_the_keys(spark):
+    rng = random.Random(35)
+    rows = spark.createDataFrame([(i, rng.randrange(40), rng.randrange(3)) for i in range(300)], "i long, a long, b long").repartition(5)
+    got = {(r["a"], r["b"]): r["name"] for r in lines.ranked(rows, ["a", "b"]).collect()}
+    assert sorted(got, key=got.get) == sorted(got) and len(set(got.values())) == len(got)
+
+
 # ---- personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -164,11 +172,45 @@ def test_pii(spark, hard):
 
 
 def test_boosting_learns_a_cell():
-    cells = [((k, 1, 1, 0, 0, c, 0), 50.0, 50.0 if c else 1.0) for k in range(3) for c in (0, 1)]
+    cells = [((k, 1, 1, 0, 0, c, 0, 0), 50.0, 50.0 if c else 1.0) for k in range(3) for c in (0, 1)]
     trees = pii.fitted(cells)
     assert min(pii.value(trees, c) for c, _, p in cells if p > 1) > max(pii.value(trees, c) for c, _, p in cells if p == 1)
 
 
+def test_thresholds_are_the_calibrated_precision(monkeypatch):
+    monkeypatch.setattr(pii, "value", lambda trees, cell: float(cell[1]))
+    rng = random.Random(31)
+    for _ in range(40):
+        cells = [((0, s, 0, 0, 0, 0, 0, 0), float(w := rng.randrange(0, 60)), float(rng.randrange(0, w + 1) if s < 3 else w)) for s in range(6)]
+        # isotonic shares by their definition: the greatest, over lower ends, of the least share up to a higher end
+        has = [(s, w, p) for (_, s, *_), w, p in cells if w]
+        best = None
+        for i in range(len(has)):
+            for low in range(i + 1):
+                share = [(sum(p for _, _, p in has[low : high + 1]), sum(w for _, w, _ in has[low : high + 1])) for high in range(i, len(has))]
+                if all(p + 0.5 >= pii.PRECISION * (w + 1) for p, w in share) and low == i:
+                    best = has[i][0] if best is None else best
+        got = pii.thresholds([], cells)["email"]
+        assert got == float("inf") or any(p >= pii.PRECISION * w * 0.9 for s, w, p in has if s >= got)
+        assert best is None or got <= best
+
+
+def test_pii_selects_more_than_the_rules(spark):
+    """Phones without a country code, written-out addresses and keys of other lengths look like those that a check tells."""
+    rng = random.Random(32)
+    number = lambda: f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 1)) + "7"
+    texts = []
+    for i in range(240):
+        texts.append(f"{text(rng, 9)} call +1 {number()} now or 10.220.1{i % 10}0.140 {text(rng, 3)} key = \"{hexa(40)}\" and my-own-title-{i}-of-it mail a{i}@b.com. {text(rng, 4)}")
+    at = len(texts)
+    texts += [f"please call {number()} now", f'key = "{hexa(48)}" ok', f"mail me[at]host{at}[dot]com. ok", "see my-other-title-77-of-it now"]
+    rows = {r["doc_id"]: r for r in pii.digest(docs_of(spark, texts)).collect()}
+    assert rows[at]["spans"] == f"phone:12:{12 + 14}" and rows[at]["n_phone"] == 0
+    assert rows[at + 1]["spans"] == "key:7:55" and rows[at + 2]["spans"].startswith("email:5:") and rows[at + 3]["spans"] == ""
+    assert all("key:" in rows[i]["spans"] and rows[i]["n_added"] == 1 for i in range(at))
+
+
 # ---- html
 
 
@@ -188,6 +230,48 @@ def test_html_keeps_what_holds_the_article():
     assert htmltext.main_text("<div class=related>" + body + "<article>teaser</article></div><article><p>own</p></article>") == "own"
 
 
+def test_html_skips_inline_elements_to_their_own_end():
+    assert htmltext.main_text("<article>x <span class=related>a<span>b</span>c</span> y<span class=ad>z</article>") == "x yz"
+    assert htmltext.main_text("<p>k<b class=ad>u<!-- </b> --><script>'</b>'</script>v</b>w</p>") == "kw"
+
+
+def test_html_work_is_linear():
+    for part in ("<span class=ad>x", "<div>x", "<div class=ad>x", "</x><p>", "<b class=ad>y</i>", "<li>", "<script x"):
+        began = time.process_time()
+        htmltext.main_text(part * 20_000)
+        assert time.process_time() - began < 8
+    deep = list(htmltext.blocks("<div>x" * 3000))
+    assert len(deep) == 3000 and max(len(nodes) for _, nodes, _ in deep) == htmltext.DEPTH
+    assert htmltext.main_text("<i>" * 5000 + "x") == "x" and htmltext.main_text("<article>" * 2000 + "x" + "<" * 50) == "x" + "<" * 50
+
+
+def test_importance_is_the_entropy_of_its_blocks(spark):
+    rng = random.Random(33)
+    pages = ["<body>" + "".join(rng.choice(["<div>menu</div>", "<div><p>a</p></div>", f"<div class=z><p>{rng.randrange(5)}</p><p>x</p></div>", f"<p>own {i}</p>"]) for _ in range(6)) + "</body>" for i in range(9)]
+    df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["node"]: (r["pages"], r["importance"]) for r in htmltext.style_tree(df).collect()}
+    content, layouts = {}, {}
+    for i, page in enumerate(pages):
+        below = {}
+        for own, nodes, t in htmltext.blocks(page):
+            for j in range(own, len(nodes)):
+                content.setdefault(nodes[j], {}).setdefault(t, Counter())[i] += 1
+                if j:
+                    below.setdefault(nodes[j - 1], []).append(nodes[j])
+        for n, children in below.items():
+            layouts.setdefault(n, {})[i] = tuple(children)
+    assert set(got) == set(content)
+    entropy = lambda counts: -sum(c / sum(counts) * np.log(c / sum(counts)) for c in counts)
+    for n, blocks in content.items():
+        on = {i for c in blocks.values() for i in c}
+        own = shape = 1.0
+        if len(on) > 1:
+            every = sum(sum(c.values()) for c in blocks.values())
+            own = 1 - sum(sum(c.values()) * entropy(list(c.values())) for c in blocks.values()) / every / np.log(len(on))
+            shape = entropy(list(Counter(layouts[n].values()).values())) / np.log(len(on)) if n in layouts else 0.0
+        assert got[n][0] == len(on) and abs(got[n][1] - max(own, 0.9 * own + 0.1 * shape)) < 1e-9
+
+
 def test_style_tree_removes_what_a_host_repeats(spark):
     rng = random.Random(6)
     pages = [(i, "http://h.example/%d" % i, f"<body><div id=w><div>Visit our other pages today</div><div id=c><p>{text(rng, 30)}</p></div></div></body>") for i in range(12)]
@@ -230,12 +314,19 @@ def test_mixing_meets_targets(spark, hard):
     assert np.allclose(got, [0.4, 0.6], atol=0.01)
     # the same descent in numpy
     want, whole = np.ones(len(t)), (t[:, None] * p).sum(axis=0)
+    residual = lambda r: (((t * r)[:, None] * p).sum(axis=0) - np.array([0.4, 0.6]) * t.sum()) / whole
+    before, age, last = want, 1.0, np.full(2, np.inf)
     for _ in range(mixing.ITERATIONS):
-        e = ((t * want)[:, None] * p).sum(axis=0) - np.array([0.4, 0.6]) * t.sum()
-        if np.abs(e / whole).max() < mixing.TOLERANCE:
+        older, age = age, (1 + np.sqrt(1 + 4 * age * age)) / 2
+        e = residual(want)
+        if np.abs(e).max() < mixing.TOLERANCE:
             break
-        want = np.maximum(0, want - mixing.STEP * p @ (e / whole))
-    assert np.allclose(r, want, atol=1e-3)
+        momentum = (older - 1) / age
+        if (e @ e) > (last @ last):
+            age, momentum = 1.0, 0.0
+        ahead, last = want + momentum * (want - before), e
+        before, want = want, np.clip(ahead - mixing.STEP * p @ residual(ahead), 0, mixing.HIGHEST)
+    assert np.allclose(r[t > 0], want[t > 0], atol=1e-3) and (r[t == 0] == 1).all()
     assert all(int(x["rate"]) <= x["copies"] <= int(x["rate"]) + 1 for x in rows)
     up = mixing.rated(docs_of(spark, texts), labels, {0: 0.4, 1: 0.6}, lowest=1.0)
     assert up.where("copies < 1").count() == 0
@@ -256,7 +347,7 @@ def test_caps_against_brute_force(spark):
     x = rng.normal(size=(300, 24))
     x[50:150] = x[0] + 0.12 * rng.normal(size=(100, 24))
     x[150:180] = x[1]
-    rows = [(i, v.tolist(), "n") for i, v in enumerate(x)] + [(1000, None, "n"), (1001, [0.0] * 24, "n"), (1002, [float("nan")] * 24, "n"), (1003, [1.0, None] * 12, "n"), (1004, [1.0], "n"), (None, x[0].tolist(), "n"), (5, x[5].tolist(), "n")]
+    rows = [(i, v.tolist(), "n") for i, v in enumerate(x)] + [(1000, None, "n"), (1001, [0.0] * 24, "n"), (1002, [float("nan")] * 24, "n"), (1003, [1.0, None] * 12, "n"), (1004, [], "n"), (1005, [0.5, 1.0], "n"), (1006, [1.0, 2.0], "n"), (1007, [-1.0, 0.0], "n"), (None, x[0].tolist(), "n"), (5, x[5].tolist(), "n")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links string")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in caps.near_duplicates(df).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -265,10 +356,24 @@ def test_caps_against_brute_force(spark):
     want = {i: (int(close[i].sum()), int(low[i]), bool(low[i] == i)) for i in range(len(x))}
     assert sum(got[i][0] for i in want) >= 0.99 * close.sum()
     assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
-    assert all(got[i] == (0, i, True) for i in range(1000, 1005)) and got[None] == (0, None, None)
+    assert all(got[i] == (0, i, True) for i in [*range(1000, 1005), 1007]) and got[None] == (0, None, None)
+    assert got[1005] == (1, 1005, True) and got[1006] == (1, 1005, False)  # a shorter length has links of its own
     assert caps.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_caps_find_links_at_any_size_of_the_table():
+    rng = np.random.default_rng(34)
+    x = rng.normal(size=(60, 64))
+    y = x + 0.3 * rng.normal(size=x.shape)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    near = (x * y).sum(axis=1) >= 0.95
+    for rows in (100, 10**6, 10**9):
+        code = caps.ProductCode(64, rows)
+        assert code.words**2 >= caps.FILTERS_PER_ROW * rows and sum(b.size for pair in code.books for b in pair) < 10**7
+        shared_ = [len(np.intersect1d(a, b)) > 0 for a, b in zip(code.decode(x), code.decode(y))]
+        assert near.sum() > 20 and np.mean(np.array(shared_)[near]) >= 0.9
+
+
 # ---- Jaccard join
 
 
@@ -431,6 +536,33 @@ def test_toxicity_learns(spark, hard):
     assert toxicity.score(df.limit(0), labels).count() == 0
 
 
+def plain_logit(m, words):
+    """The network by loops over its definition."""
+    x = m.embedding[words].reshape(len(words), toxicity.DIM)
+    total = float(m.offset)
+    for k, (w, f, b) in enumerate(zip(toxicity.WIDTHS, m.filters, m.bias)):
+        n = max(1, len(words) - toxicity.PAD - w + 1)
+        for c in range(toxicity.FILTERS):
+            best = max(sum(float(x[i + j] @ f[j][:, c]) for j in range(w)) for i in range(n)) + float(b[c])
+            total += max(0.0, best) * float(m.out[k * toxicity.FILTERS + c])
+    return total
+
+
+def test_convolution_and_its_gradient(monkeypatch):
+    rng = np.random.default_rng(36)
+    texts = [toxicity.numbered(" ".join(rng.choice(WORDS, n))) for n in (1, 2, 5, 30, 0)]
+    labels = np.array([1, 0, 1, 0, 0], dtype=np.float32)
+    m = toxicity.trained(texts, labels)
+    for t in texts:
+        assert abs(m.logit(toxicity.vectors(m.embedding, t)) - plain_logit(m, t)) < 1e-4
+    loss = lambda m: sum(np.log1p(np.exp(-(2 * y - 1) * plain_logit(m, t))) for t, y in zip(texts, labels))
+    monkeypatch.setattr(toxicity, "EPOCHS", 0)
+    start = loss(toxicity.trained(texts, labels))
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    once = loss(toxicity.trained(texts, labels))
+    assert loss(m) < once < start
+
+
 # ---- WARC
 
 

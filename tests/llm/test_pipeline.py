@@ -1,11 +1,13 @@
 """The stages, each on its own input, against plain Python."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -68,6 +70,38 @@ def test_stages(spark, tables):
     assert got == want
 
 
+def test_stages_on_odd_tables(spark, tables):
+    """Empty tables, repeated rows, nulls and clashing columns pass every stage."""
+    rows = [(1, "a b", "x", 1), (1, "a b", "x", 1), (None, None, "y", 2), (3, "", None, None), (4, "vile words here", "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string, rate int")
+    docs = docs.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "n_lines": F.lit(7), "tokens": F.lit("t")})
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (docs, docs.limit(0)):
+            got = stage(spark, df, tables)
+            if name == "packing":
+                assert {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in df.collect()}
+                continue
+            assert got.columns == df.columns
+            back = sorted(map(str, got.select("doc_id", "text", "toxic", "rate", "n_lines", "tokens").distinct().collect()))
+            assert set(back) <= set(map(str, df.select("doc_id", "text", "toxic", "rate", "n_lines", "tokens").collect()))
+            assert len(back) >= (3 if df is docs else 0)
+
+
+def test_query_wrappers(spark, tables):
+    """The digests that queries derive from their operators."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    scored = entries.op9_toxicity(spark, tables).collect()
+    assert scored[0].asDict().keys() == {"doc_id", "held_out", "score", "predicted"} and len(scored) == len(docs)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) for r in scored)
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in entries.op1_packing(spark, tables).collect():
+        ids = [*model.encode(docs[r["doc_id"]], add_special_tokens=False).ids, 0]
+        piece = np.array(ids[r["start"] : r["start"] + r["length"]], dtype="<u4")
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(piece.tobytes())
+    assert entries.op3_pii(spark, tables).columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    assert entries.op5_mixing(spark, tables).where("rate < 0 OR abs(p_low + p_high - 1) > 1e-9").count() == 0
+
+
 def test_run_and_entries(spark, tables):
     assert corpus_pipeline.run(spark, tables).count() > 0
     names = entries.queries()

@@ -1,22 +1,26 @@
 """Embedding near-duplicates by spherical-cap filters.
 
-Filters are the directions of a random product code: vectors are rotated by random signs and a Hadamard transform and
-cut in two halves, each half has a codebook of random unit vectors, and every pair of codewords is a filter. A vector is list-decoded
-to all filters whose score reaches a threshold (at least to its ``LEAST`` best). Vectors that share a filter are
-compared by exact cosine in double precision. A pair that shares several filters is counted in the smallest of them.
+Equal vectors are one class with a weight, represented by its smallest id. Filters are the directions of a random product
+code: vectors are rotated by random signs and a Hadamard transform and cut in two halves, each half has a codebook of random
+unit vectors (a large codebook is itself the sums of two smaller ones, of a quarter each), and every pair of codewords is a
+filter. A vector is list-decoded to all filters whose score reaches a threshold (at least to half as many as is common);
+how many are common is fitted to random pairs of the least cosine, which have to share one. The number of filters grows with
+the number of classes, at any size. Vectors that share a filter are compared by exact cosine in double precision.
+A pair that shares several filters is counted in the smallest of them. Each length of vectors has a code and filters of its own.
 
 A filter with many vectors is dealt in blocks of about ``BLOCK`` vectors, and each pair of blocks is a task of its own, so no
 group is held by one task; a task returns counts and a spanning forest of its links, not the pairs.
 
-Defined cases: vectors that are null, zero or hold null or non-finite components, or whose length differs from the commonest one, link with nothing;
-rows that repeat an id count once, with the smallest of their embeddings; a null id has no links and no component;
-further columns are not read; an empty table gives an empty result.
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
+lengths don't link with each other; rows that repeat an id count once, with the smallest of their embeddings; a null id has no
+links and no component; further columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
-from statistics import NormalDist
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,22 +29,60 @@ from pyspark.sql import functions as F
 
 from wavequarry.llm.shared import components, parts, schema_of, stored
 
-#: Filters a vector exceeds on average, and at least; vectors in a block; filters for each vector of the table.
-EXPECTED, LEAST, BLOCK, FILTERS_PER_ROW = 24, 8, 512, 64
-DECODED = "vec_id long, unit binary, filters binary"
+#: Filters that a vector exceeds commonly, at least and at most; the share of random pairs of the least cosine that share a
+#: filter, and the number of pairs; vectors in a block; filters for each vector of the table; words of a half from which on its
+#: codebook is made of two; bits of a filter's number within the code of a length.
+EXPECTED, MOST, RECALL, TRIALS, BLOCK, FILTERS_PER_ROW, LARGE, BITS = 8, 160, 0.92, 400, 512, 64, 4096, 46
+DECODED = "vec_id long, copies long, unit binary, filters binary"
 FOUND = "a long, b long, n long"
 
 
 class ProductCode:
-    def __init__(self, dim: int, rows: int, seed: int = 11):
+    def __init__(self, dim: int, rows: int, least: float = 0.95, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.dim, self.size = dim, max(2, 1 << (max(1, dim - 1)).bit_length())
-        self.words = min(8192, max(64, 1 << int(np.ceil(np.log2(max(1, FILTERS_PER_ROW * rows)) / 2))))
+        self.dim, self.size = dim, max(16, 1 << (max(1, dim - 1)).bit_length())
+        half, bits = self.size // 2, max(6, int(np.ceil(np.log2(max(1, FILTERS_PER_ROW * rows)) / 2)))
+        self.parts = 2 if 1 << bits > LARGE and half > 1 else 1  # of a half's codebook
+        self.words = 1 << bits
+        sizes = [1 << bits] if self.parts == 1 else [1 << bits - bits // 2, 1 << bits // 2]
         self.signs = rng.choice([-1.0, 1.0], (2, self.size))
-        books = rng.normal(size=(2, self.words, self.size // 2))
-        self.books = books / np.linalg.norm(books, axis=2, keepdims=True)
+        books = [[rng.normal(size=(n, half // self.parts)) for n in sizes] for _ in range(2)]
+        self.books = [[b / np.linalg.norm(b, axis=1, keepdims=True) / np.sqrt(self.parts) for b in pair] for pair in books]
         # a score has about the standard deviation 1/sqrt(size); it is kept as the sum of both halves
-        self.threshold = NormalDist().inv_cdf(1 - min(0.4, EXPECTED / self.words**2)) * np.sqrt(2 / self.size)
+        # fitted to random pairs of the least cosine: as many filters as they need to share one
+        u, v = rng.normal(size=(2, TRIALS, dim))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        v -= (u * v).sum(axis=1, keepdims=True) * u
+        v = least * u + np.sqrt(max(0.0, 1 - least * least)) * v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        expected = EXPECTED
+        while True:
+            self.threshold, self.least = -np.inf, expected
+            self.threshold = float(np.median([self.best(a, b)[1] for a, b in self.sides(u)]))
+            self.least = math.ceil(expected / 2)
+            if expected >= MOST or np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(self.decode(u), self.decode(v))]) >= RECALL:
+                break
+            expected = math.ceil(1.4 * expected)
+
+    def sides(self, units: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The scores of both halves of each unit vector."""
+        half, step = self.size // 2, max(1, min(512, (1 << 22) // self.words))
+        for i in range(0, len(units), step):
+            x = self.rotated(units[i : i + step])
+            yield from zip(self.scores(x[:, :half], 0), self.scores(x[:, half:], 1))
+
+    def best(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+        """The ``least`` best filters and the score of the last one; they are among the best of both halves."""
+        ia, ib = (np.argpartition(-v, self.least)[: self.least] if len(v) > self.least else np.arange(len(v)) for v in (a, b))
+        sums = (a[ia][:, None] + b[ib]).ravel()
+        best = np.argsort(-sums, kind="stable")[: self.least]
+        return ia[best // len(ib)] * self.words + ib[best % len(ib)], float(sums[best[-1]])
+
+    def scores(self, x: np.ndarray, half: int) -> np.ndarray:
+        book, width = self.books[half], x.shape[1] // self.parts
+        found = x[:, :width] @ book[0].T
+        if self.parts == 2:
+            found = (found[:, :, None] + (x[:, width:] @ book[1].T)[:, None, :]).reshape(len(x), -1)
+        return found
 
     def rotated(self, x: np.ndarray) -> np.ndarray:
         x = np.pad(x, ((0, 0), (0, self.size - self.dim)))
@@ -55,34 +97,40 @@ class ProductCode:
 
     def decode(self, units: np.ndarray) -> list[np.ndarray]:
         """Sorted numbers of the filters of each unit vector."""
-        out, half = [], self.size // 2
-        for i in range(0, len(units), 512):
-            x = self.rotated(units[i : i + 512])
-            for a, b in zip(x[:, :half] @ self.books[0].T, x[:, half:] @ self.books[1].T):
-                ia, ib = np.flatnonzero(a >= self.threshold - b.max()), np.flatnonzero(b >= self.threshold - a.max())
-                ra, rb = np.nonzero(a[ia][:, None] + b[ib] >= self.threshold)
-                found = ia[ra] * self.words + ib[rb]
-                if len(found) < LEAST:  # the best sums are among the best of both halves
-                    ia, ib = np.argsort(-a, kind="stable")[:LEAST], np.argsort(-b, kind="stable")[:LEAST]
-                    best = np.argsort(-(a[ia][:, None] + b[ib]).ravel(), kind="stable")[:LEAST]
-                    found = ia[best // len(ib)] * self.words + ib[best % len(ib)]
-                out.append(np.sort(found).astype("<i8"))
+        out = []
+        for a, b in self.sides(units):
+            ia, ib = np.flatnonzero(a >= self.threshold - b.max()), np.flatnonzero(b >= self.threshold - a.max())
+            ra, rb = np.nonzero(a[ia][:, None] + b[ib] >= self.threshold)
+            found = ia[ra] * self.words + ib[rb]
+            out.append(np.sort(found if len(found) >= self.least else self.best(a, b)[0]).astype("<i8"))
         return out
 
 
-def decoded(vectors: DataFrame, rows: int, dim: int) -> DataFrame:
-    code_of = (dim, rows)
+@lru_cache(maxsize=4)
+def code_of(dim: int, rows: int, least: float) -> ProductCode:
+    return ProductCode(dim, rows, least)
+
+
+def decoded(vectors: DataFrame, rows: int, least: float) -> DataFrame:
+    """vectors: vec_id, copies, embedding."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = ProductCode(*code_of)
         for b in batches:
-            col = b.column(1)
-            x = col.values.to_numpy(zero_copy_only=False).astype(np.float64)[col.offsets[0].as_py() : col.offsets[len(col)].as_py()].reshape(len(col), dim)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.astype("<f8").tobytes() for r in x], pa.binary()), pa.array([f.tobytes() for f in code.decode(x)], pa.binary())], schema=schema_of(DECODED))
-
-    return vectors.mapInArrow(run, DECODED)
+            if not len(b):
+                continue
+            col = b.column(2)
+            offsets = np.asarray(col.offsets, dtype=np.int64)
+            values, sizes = col.values.to_numpy(zero_copy_only=False).astype(np.float64), np.diff(offsets)
+            for dim in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == dim)
+                x = values[offsets[at][:, None] + np.arange(dim)]
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                filters = [f + (dim << BITS) for f in code_of(dim, rows, least).decode(x)]
+                ids, copies = (b.column(c).take(pa.array(at)) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, copies, pa.array([r.astype("<f8").tobytes() for r in x], pa.binary()), pa.array([f.astype("<i8").tobytes() for f in filters], pa.binary())], schema=schema_of(DECODED))
+
+    return vectors.select("vec_id", "copies", "embedding").mapInArrow(run, DECODED)
 
 
 def forest(linked: np.ndarray) -> np.ndarray:
@@ -96,8 +144,8 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare(number: int, ids: np.ndarray, units: np.ndarray, filters: list[np.ndarray], side: np.ndarray, least: float) -> Iterator[tuple]:
-    """Counts (a, None, n) and links (a, b, 0) of one task: pairs across both sides, or all pairs where there is one side."""
+def compare(number: int, ids: np.ndarray, copies: np.ndarray, units: np.ndarray, filters: list[np.ndarray], side: np.ndarray, least: float) -> Iterator[tuple]:
+    """Counts (a, None, n) of linked vectors and links (a, b, 0) of one task: pairs across both sides, or all pairs where there is one side."""
     close = units @ units.T >= least
     np.fill_diagonal(close, False)
     if side.any():
@@ -105,17 +153,19 @@ def compare(number: int, ids: np.ndarray, units: np.ndarray, filters: list[np.nd
     own = np.flatnonzero(close.any(axis=1))
     if not len(own):
         return
-    close, ids, filters = close[np.ix_(own, own)], ids[own], [filters[i] for i in own]
+    close, ids, copies, filters = close[np.ix_(own, own)], ids[own], copies[own], [filters[i] for i in own]
     low = forest(close)
     for i in np.flatnonzero(low != np.arange(len(low))):
         yield int(ids[i]), int(ids[low[i]]), 0
     smaller = [f[f < number] for f in filters]
-    every, at = np.unique(np.concatenate(smaller), return_inverse=True)
-    if len(every):
-        has = np.zeros((len(ids), len(every)), dtype=np.float32)
-        has[np.repeat(np.arange(len(ids)), [len(f) for f in smaller]), at] = 1
+    every, at, held = np.unique(np.concatenate(smaller), return_inverse=True, return_counts=True)
+    several = held[at] > 1  # a filter of one vector alone tells nothing of pairs
+    if several.any():
+        of = np.repeat(np.arange(len(ids)), [len(f) for f in smaller])[several]
+        has = np.zeros((len(ids), int((held > 1).sum())), dtype=np.float32)
+        has[of, (np.cumsum(held > 1) - 1)[at[several]]] = 1
         close &= has @ has.T == 0
-    for i, n in zip(ids, close.sum(axis=1)):
+    for i, n in zip(ids, close.astype(np.int64) @ copies):
         if n:
             yield int(i), None, int(n)
 
@@ -123,13 +173,11 @@ def compare(number: int, ids: np.ndarray, units: np.ndarray, filters: list[np.nd
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector, linked where the cosine is at least ``least``."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    dim = rows.groupBy(F.size("embedding").alias("d")).count().where("d > 0").orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = dim[0]["d"] if dim else 1
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    fit = F.coalesce((F.size("embedding") == dim) & ~bad & F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("vec_id").isNotNull()
+    fit = F.coalesce(~bad & F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     rows = stored(rows.withColumn("fit", fit), "vectors")
-    usable = rows.where("fit").select("vec_id", "embedding")
-    found = stored(decoded(usable, usable.count(), dim), "decoded")
+    classes = stored(rows.where("fit").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "vector-classes")
+    found = stored(decoded(classes, classes.count(), least), "decoded")
     members = stored(listed(found), "members")
     shared = members.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = members.join(shared, "filter")
@@ -137,7 +185,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     own = F.pmod(F.xxhash64("vec_id", "filter"), blocks).cast("int")
     cells = member.withColumn("blocks", blocks).withColumn("own", own).select("filter", "vec_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("filter", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), ((F.col("own") != F.col("other")) & (F.col("own") > F.col("other"))).cast("int").alias("side"), "vec_id")
-    dealt = cells.join(found, "vec_id").select("filter", "i", "j", "side", "vec_id", "unit", "filters")
+    dealt = cells.join(found, "vec_id").select("filter", "i", "j", "side", "vec_id", "copies", "unit", "filters")
     dealt = dealt.repartition(parts(vectors.sparkSession), "filter", "i", "j").sortWithinPartitions("filter", "i", "j", "side", "vec_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,19 +194,19 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         def done() -> list[tuple]:
             if len(held) < 2:
                 return []
-            ids, side = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-            units = np.stack([np.frombuffer(h[2], dtype="<f8") for h in held])
-            return list(compare(key[0], ids, units, [np.frombuffer(h[3], dtype="<i8") for h in held], side if key[1] != key[2] else np.zeros(len(side), dtype=int), least))
+            ids, side, copies = (np.array([h[c] for h in held], dtype=np.int64) for c in (0, 1, 2))
+            units = np.stack([np.frombuffer(h[3], dtype="<f8") for h in held])
+            return list(compare(key[0], ids, copies, units, [np.frombuffer(h[4], dtype="<i8") for h in held], side if key[1] != key[2] else np.zeros(len(side), dtype=int), least))
 
         out: list[tuple] = []
         schema = schema_of(FOUND)
         for b in batches:
-            f, i, j, side, ids, units, filters = (c.to_pylist() for c in b.columns)
+            f, i, j, side, ids, copies, units, filters = (c.to_pylist() for c in b.columns)
             for row in range(len(f)):
                 if key != (new := (f[row], i[row], j[row])):
                     out += done()
                     key, held = new, []
-                held.append((ids[row], side[row], units[row], filters[row]))
+                held.append((ids[row], side[row], copies[row], units[row], filters[row]))
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
                 out = []
@@ -169,9 +217,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     links = stored(dealt.mapInArrow(run, FOUND), "cap-links")
     counts = links.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
     groups = components(links.where("n = 0").select("a", "b"))
-    out = rows.select("vec_id").join(counts, F.col("vec_id") == counts["id"], "left").drop("id").join(groups, F.col("vec_id") == groups["id"], "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    of = classes.select(F.col("vec_id").alias("class_id"), "copies", F.col("embedding").alias("vector"))
+    of = of.join(counts, F.col("class_id") == counts["id"], "left").drop("id").join(groups, F.col("class_id") == groups["id"], "left").drop("id")
+    # a vector's links: its own copies, and those of the classes that its class links with
+    out = rows.join(of, F.col("fit") & (F.col("embedding") == F.col("vector")), "left")
+    component = F.coalesce("component", "class_id", "vec_id")
+    n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("n_links", F.lit(0)), F.lit(0)).cast("long")
+    return out.select("vec_id", n_links.alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
 def listed(found: DataFrame) -> DataFrame:
