@@ -29,16 +29,15 @@ def allocation(n: Column, ratios: dict[str, float], ties: str = "name") -> dict[
 
 def stratified_split(df: DataFrame, stratum: str, key: str, ratios: dict[str, float] = SPLITS, seed: int = 42) -> DataFrame:
     """split: within each stratum, consecutive slices of a seeded permutation with largest-remainder sizes."""
-    ranked = exact_rank(df.withColumn("_key", seeded_key(seed, "split", key)), [stratum], "_key", [key], "_rank")
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = exact_rank(df.withColumn("_key", seeded_key(seed, "split", key)), [stratum], "_key", [key], "_rank", "_total")
     at, split = F.lit(0), F.lit(None).cast("string")
     cases = []
-    for name, size in allocation(F.col("_n"), ratios).items():
+    for name, size in allocation(F.col("_total"), ratios).items():
         at = at + size
         cases.append((name, at))
     for name, end in reversed(cases):
         split = F.when(F.col("_rank") < end, F.lit(name)).otherwise(split)
-    return ranked.join(sizes, stratum).withColumn("split", split).drop("_key", "_rank", "_n")
+    return ranked.withColumn("split", split).drop("_key", "_rank", "_total")
 
 
 def capped(df: DataFrame, stratum: str, key: str, caps: dict[str, int], seed: int = 42, salt: str = "cap") -> DataFrame:

@@ -336,3 +336,25 @@ def f1_group_order(spark, d):
 
     rows = X.signals(spark, d).groupBy(F.col("base_dataset").alias("grp")).agg(F.max(F.size("signal")).cast("long").alias("longest"))  # one row a group
     return rows.select("grp", "longest", F.row_number().over(Window.orderBy(*sequence.natural_key(F.col("grp")))).alias("place"))
+
+
+# ---- models with a closed form
+
+
+@query("""WITH x AS (SELECT vec_id, label::DOUBLE AS a, (vec_id % 7)::DOUBLE AS b, embedding[1]::DOUBLE AS v FROM embeddings), m AS (SELECT regr_slope(a, v) AS sa, regr_intercept(a, v) AS ia, regr_slope(b, v) AS sb, regr_intercept(b, v) AS ib FROM x)
+  SELECT vec_id, round(sa * v + ia, 5) + 0.0 AS output_0, round(sb * v + ib, 5) + 0.0 AS output_1 FROM x, m""")
+def k2_regression_lines(spark, d):
+    """Regression heads over one feature, whose least squares SQL knows."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % 7).alias("other"), F.array(F.col("embedding")[0].cast("double")).alias("x"))
+    for i, m in enumerate(evaluate.regression_heads(e, ["label", "other"], "x")):
+        e = e.withColumn(f"output_{i}", F.round(A.dot(F.col("x"), F.array(*[F.lit(float(v)) for v in m.coefficients])) + float(m.intercept), 5) + 0.0)
+    return e.select("vec_id", "output_0", "output_1")
+
+
+@query("""WITH x AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings), m AS (SELECT atan2(2 * covar_pop(a, b), var_pop(a) - var_pop(b)) / 2 AS angle FROM x)
+  SELECT vec_id, round(abs(a * cos(angle) + b * sin(angle)), 5) AS first, round(abs(b * cos(angle) - a * sin(angle)), 5) AS second FROM x, m""")
+def k4_principal_axes(spark, d):
+    """The overview of two features, whose principal axes are an angle; signs of axes are free."""
+    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("x"))
+    out = evaluate.overview(e, "x")
+    return out.select("vec_id", *[F.round(F.abs(F.col("projection")[i]), 5).alias(n) for i, n in enumerate(("first", "second"))])
