@@ -4,8 +4,8 @@ Every full window of a document is a sequence of its own. What is left of each d
 lexically close tails, in the order of two min-hashes of its rare ids. A shard holds a BM25 inverted index over token ids (document counts are taken over the whole
 corpus); each seed tail retrieves unused neighbours, those that fit fill its window greedily, and the best neighbour
 that doesn't fit is cut, its rest staying in the shard. So only the last window of a partition can be short; it is cut
-into sequences whose lengths are powers of two, which need no padding. Retrieval is bounded: a seed asks with its ``TERMS``
-rarest ids and looks at the ``LOOKED_AT`` best tails; where those don't fill the window, the next tail in order does.
+into sequences whose lengths are powers of two, which need no padding. A seed asks with its ``TERMS`` rarest ids and looks at the
+``LOOKED_AT`` best tails at a time, until the window is full; the order decides where no unused tail of the shard shares one of them.
 
 Defined cases: a null or empty text is the single closing id 0; equal tails are ordered by id, then by text; rows with
 a null id are packed like others; repeated ids are packed once per row; further columns aren't read; an empty table
@@ -202,13 +202,17 @@ def windows(shard: Shard, window: int, carried: list[tuple]) -> Iterator[list[tu
             if room:
                 rest = ranked[unused[ranked]] if len(ranked) else ranked
                 while room:
-                    while cursor < n and not unused[cursor]:
-                        cursor += 1
-                    if cursor == n:
-                        break
-                    i = rest[0] if len(rest) else cursor
+                    if not len(rest):  # all that were looked at are used up: the next best ones
+                        rest = shard.neighbours(seed, unused)
+                    if len(rest):
+                        i, rest = rest[0], rest[1:]
+                    else:
+                        while cursor < n and not unused[cursor]:
+                            cursor += 1
+                        if cursor == n:
+                            break
+                        i = cursor
                     room -= take(i, room)
-                    rest = rest[1:]
         if not room:
             yield pieces
             pieces, room = [], window
