@@ -38,8 +38,8 @@ from wavequarry.llm.shared import components, parts, schema_of, stored
 from wavequarry.llm.wordsets import sets_of
 
 #: Share of a set by which the counted prefix is longer than the least one; bits of a signature; sets in a block; children
-#: of a node; pairs of one set that a task verifies.
-EXTRA, BITS, BLOCK, FAN, PAIRS = 0.15, 4096, 256, 4, 1024
+#: of a node; pairs of one set that a task verifies; shingles that a map task joins at once; pairs of bitmaps that are compared at once.
+EXTRA, BITS, BLOCK, FAN, PAIRS, JOINED, AT_ONCE = 0.15, 4096, 256, 4, 1024, 600_000, 4096
 NONE = np.iinfo(np.int64).min
 SETS = "doc_id long, n long, h1 long, h2 long"
 OWNED = "token long, owner long, n long"
@@ -100,6 +100,7 @@ def shared_counts(docs: DataFrame) -> DataFrame:
             # what repeats here is counted here; for other tasks it is one row that stands for several classes
             token, owner = np.r_[token[starts].view(np.int64), here], np.r_[np.where(count > 1, NONE, owner[starts]), here]
             n = np.r_[np.zeros(len(starts), dtype=np.int64), n]
+            del order, starts, count
             for i in range(0, len(token), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (token, owner, n)], names=["token", "owner", "n"])
 
@@ -112,7 +113,7 @@ def shared_counts(docs: DataFrame) -> DataFrame:
                 tokens.append(s[: n - least_overlap(n) + 1 + extra(n)])
                 owners.append(key[1])
                 size += len(tokens[-1])
-                if size > 1_500_000:
+                if size > JOINED:
                     yield from flush()
         yield from flush()
 
@@ -235,9 +236,15 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(count, at), np.where(same, group[at], -1)))
 
 
+def counted(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, both) -> np.ndarray:
+    """Bits in both(a[i], b[j]) of each pair, a bounded number of pairs at once."""
+    parts_ = [np.bitwise_count(both(a[i[k : k + AT_ONCE]], b[j[k : k + AT_ONCE]])).sum(axis=1, dtype=np.int64) for k in range(0, len(i), AT_ONCE)]
+    return np.concatenate(parts_) if parts_ else np.empty(0, dtype=np.int64)
+
+
 def possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray) -> np.ndarray:
     """Whether some set below node i of a can overlap enough with one below node j of b."""
-    common = np.bitwise_count(a[0][i] & b[0][j]).sum(axis=1, dtype=np.int64)
+    common = counted(a[0], i, b[0], j, np.bitwise_and)
     # bits that a set has and no set of the other node has stand for shingles of its own
     most = np.minimum(a[2][i] - np.maximum(0, a[3][i] - common), b[2][j] - np.maximum(0, b[3][j] - common))
     fits = 7 * most >= 3 * (a[1][i] + b[1][j])
@@ -270,8 +277,8 @@ def dual(x: Tree, y: Tree, same: bool) -> tuple[np.ndarray, np.ndarray]:
 
 def nearest(x: Tree, y: Tree, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the leaf pairs, for each j the one with the greatest share of common bits."""
-    a, b = x.levels[0][0][i], y.levels[0][0][j]
-    share = np.bitwise_count(a & b).sum(axis=1, dtype=np.int64) / np.maximum(1, np.bitwise_count(a | b).sum(axis=1, dtype=np.int64))
+    a, b = x.levels[0][0], y.levels[0][0]
+    share = counted(a, i, b, j, np.bitwise_and) / np.maximum(1, counted(a, i, b, j, np.bitwise_or))
     order = np.lexsort((i, -share, j))
     i, j = i[order], j[order]
     first = np.r_[True, j[1:] != j[:-1]][: len(j)]
