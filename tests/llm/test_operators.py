@@ -601,3 +601,11 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(21)} | {100: 100, 101: 100, 102: 100}
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    rng = random.Random(37)
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(110)]
+    low = list(range(150))
+    for _ in range(150):
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {r["id"]: r["component"] for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: low[x] for e in edges if e[0] != e[1] for x in e}
