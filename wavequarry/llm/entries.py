@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavequarry.llm import caps, htmltext, jaccard, lines, mixing, packing, pii, toxicity, warc, winnowing
+from wavequarry.llm import caps, htmltext, jaccard, lines, mixing, packing, pii, toxicity, trie, warc, winnowing
 from wavequarry.llm.shared import stored, table
 
 
@@ -58,6 +58,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.merge_index(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
+    return trie.trie(table(spark, sf_dir, "conversations")).select(*[F.col(c).cast("long").alias(c) for c in columns], "ends_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -65,6 +70,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: DuckDB lacks base 32; 40 bits of the digest at a time give 8 digits.
 BASE32_SQL = "translate(" + " || ".join(f"lpad(to_base(('0x' || substr(sha1(coalesce(html, '')), {i}, 10))::BIGINT, 32), 8, '0')" for i in (1, 11, 21, 31)) + ", '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
 
+#: CRC-32 of a decimal number: the reflected polynomial, a byte and then a bit at a time.
+CRC32_SQL = "xor(4294967295, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda crc, byte: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, byte)), 4294967295::BIGINT))"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -73,4 +81,19 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS response FROM p)
             SELECT page_id, payload_bytes, payload_digest, CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                    CASE WHEN response <> page_id THEN response END AS refers_to FROM m""",
+        "op12_trie": f"""
+            WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, md5(coalesce(role, '') || chr(31) || coalesce(text, '')) AS digest,
+                len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+            c AS (SELECT conv_id, {CRC32_SQL} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+            turns AS (SELECT c.conv_id, 0 AS own, t.* EXCLUDE conv_id FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.i <= c.h
+                UNION ALL SELECT c.conv_id, 1, t.* EXCLUDE conv_id FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+            numbered AS (SELECT conv_id, words, digest, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS depth FROM turns),
+            path AS (SELECT conv_id, depth, words, md5(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k FROM numbered UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+            step AS (SELECT *, lag(k) OVER w AS above, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM path WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+            node AS (SELECT k, depth, any_value(above) AS above, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(sha256(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends)), sha256('')) AS ends_sha256 FROM step GROUP BY k, depth),
+            below AS (SELECT above AS k, count(*) AS n_children FROM node WHERE above IS NOT NULL GROUP BY above),
+            whole AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN below USING (k)),
+            subtree AS (SELECT p.k, count(*) FILTER (w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.words) AS saved_tokens FROM whole w JOIN path p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY p.k)
+            SELECT w.conv_id, w.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+            FROM whole w JOIN subtree s USING (k) LEFT JOIN node p ON p.k = w.above""",
     }
