@@ -1,6 +1,7 @@
 """The conversation trie against a trie of dictionaries, whatever the bands are."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -22,7 +23,7 @@ def brute(rows):
     members = {}
     for c, ts in own.items():
         h = zlib.crc32(str(c).encode()) % 4
-        path = tuple(own.get(c - c % 20, [])[:h] + ts[h:])
+        path = tuple(own.get(c - int(math.fmod(c, 20)), [])[:h] + ts[h:])
         for d in range(len(path) + 1):
             members.setdefault(path[:d], []).append((c, d == len(path)))
     children = {}
