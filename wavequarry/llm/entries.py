@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavequarry.llm import caps, htmltext, jaccard, lines, mixing, packing, pii, toxicity, trie, warc, winnowing
+from wavequarry.llm import caps, htmltext, jaccard, lines, mixing, packing, pii, ranked, toxicity, trie, warc, winnowing
 from wavequarry.llm.shared import stored, table
 
 
@@ -58,6 +58,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.merge_index(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
     return trie.trie(table(spark, sf_dir, "conversations")).select(*[F.col(c).cast("long").alias(c) for c in columns], "ends_sha256")
@@ -73,6 +77,8 @@ BASE32_SQL = "translate(" + " || ".join(f"lpad(to_base(('0x' || substr(sha1(coal
 #: CRC-32 of a decimal number: the reflected polynomial, a byte and then a bit at a time.
 CRC32_SQL = "xor(4294967295, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda crc, byte: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, byte)), 4294967295::BIGINT))"
 
+TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -81,6 +87,15 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS response FROM p)
             SELECT page_id, payload_bytes, payload_digest, CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                    CASE WHEN response <> page_id THEN response END AS refers_to FROM m""",
+        "op11_ranked": f"""
+            WITH d AS (SELECT row_number() OVER () AS place, doc_id, {TERMS_SQL} AS terms FROM documents),
+            total AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS length FROM d WHERE len(terms) > 0),
+            tf AS (SELECT place, doc_id, n, term, count(*) AS tf FROM (SELECT place, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+            weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, n_docs),
+            asked AS (SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS term FROM benchmark),
+            score AS (SELECT item_id, place, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // length)))))::BIGINT AS score
+                FROM asked JOIN weight USING (term) JOIN tf USING (term), total GROUP BY ALL)
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM score WHERE score > 0 QUALIFY rank <= 10""",
         "op12_trie": f"""
             WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, md5(coalesce(role, '') || chr(31) || coalesce(text, '')) AS digest,
                 len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
