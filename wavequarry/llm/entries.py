@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavequarry.llm import caps, htmltext, jaccard, lines, mixing, packing, pii, ranked, toxicity, trie, warc, winnowing
+from wavequarry.llm import caps, fmindex, htmltext, jaccard, lines, mixing, packing, pii, ranked, toxicity, trie, warc, winnowing
 from wavequarry.llm.shared import stored, table
 
 
@@ -67,6 +67,11 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations")).select(*[F.col(c).cast("long").alias(c) for c in columns], "ends_sha256")
 
 
+def op13_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = fmindex.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -111,4 +116,14 @@ def oracle_sql() -> dict[str, str]:
             subtree AS (SELECT p.k, count(*) FILTER (w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.words) AS saved_tokens FROM whole w JOIN path p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY p.k)
             SELECT w.conv_id, w.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
             FROM whole w JOIN subtree s USING (k) LEFT JOIN node p ON p.k = w.above""",
+        "op13_fmindex": r"""
+            WITH d AS (SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+            w AS (SELECT place, doc_id, unnest(range(1, len(words) - 11)) AS i, words FROM d WHERE len(words) > 12),
+            judged AS (SELECT place, i, doc_id > min(doc_id) OVER (PARTITION BY array_to_string(words[i:i + 12], ' ')) AS gone FROM w),
+            cut AS (SELECT place, i FROM judged WHERE gone),
+            covered AS (SELECT DISTINCT place, unnest(range(i, i + 13)) AS i FROM cut),
+            each AS (SELECT place, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM d),
+            left_over AS (SELECT place, count(c.i) AS gone, string_agg(word, ' ' ORDER BY e.i) FILTER (c.i IS NULL) AS kept FROM each e LEFT JOIN covered c USING (place, i) GROUP BY place)
+            SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+            FROM d LEFT JOIN left_over USING (place)""",
     }

@@ -12,6 +12,7 @@ from wavequarry.llm.shared import mixed
 rng = np.random.default_rng(20240229)
 #: A random value for each byte; A-Z have those of a-z.
 BYTES = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+EACH = BYTES.copy()  # A-Z apart
 BYTES[65:91] = BYTES[97:123]
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -30,8 +31,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return next(iter(powers_.values()))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of texts that lie one behind the other in ``data``, beginning at ``starts``; and the text it is in."""
+def words_at(data: np.ndarray, starts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word of texts that lie one behind the other in ``data``, beginning at ``starts``; the text it is in; its first and last byte."""
     white = WHITE[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[starts] = True
@@ -39,9 +40,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     after = np.r_[white[1:], True] | edge[1:]
     first, last = np.flatnonzero(~white & before), np.flatnonzero(~white & after)
     up, down = powers(len(data))
-    total = np.cumsum(BYTES[data] * up[: len(data)])
+    total = np.cumsum(values[data] * up[: len(data)])
     h = total[last] - np.where(first > 0, total[first - 1], np.uint64(0))
-    return mixed(h * down[first]), np.searchsorted(starts, first, side="right") - 1
+    return mixed(h * down[first]), np.searchsorted(starts, first, side="right") - 1, first, last
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, A-Z folded, and the text it is in."""
+    return words_at(data, starts, BYTES)[:2]
 
 
 def sets_of(column: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
