@@ -102,7 +102,7 @@ def test_element_sums_are_the_plain_ones(spark):
 
 def test_offsets_of_keys_with_a_common_prefix(spark):
     df = spark.createDataFrame([(f"dataset/{i:05d}", [0.0] * (i % 7)) for i in range(3000)], "k string, signal array<double>").repartition(5)
-    got = io.offsets(df, "k", "signal", 8)
+    got = io.offsets(df, "k", "signal")
     rows, at = got.orderBy("k").collect(), 0
     for r in rows:
         assert (r["start"], r["stop"]) == (at, at + r["length"])

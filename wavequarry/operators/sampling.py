@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavequarry.functions import scan
 from wavequarry.functions.rank import exact_rank, seeded_key
 
 SPLITS = {"train": 0.8, "val": 0.1, "test": 0.1}
@@ -58,7 +59,7 @@ def dynamic_epoch(df: DataFrame, stratum: str, dominating: str, k: int, key: str
 def fixed_subset(df: DataFrame, stratum: str, dominating: str, k: int, key: str, seed: int, salt: int) -> DataFrame:
     """k rows of the dominating stratum, the same in every epoch, and all others; place: their order by key."""
     chosen = capped(df, stratum, key, {dominating: k}, seed + salt, "subset")
-    return exact_rank(chosen.withColumn("_all", F.lit(0)).withColumn("_hex", F.lower(F.hex(F.col(key).cast("string")))), ["_all"], "_hex", [key], "place").drop("_all", "_hex")
+    return scan.ranked(chosen, [], [key], "place")
 
 
 def proportional(df: DataFrame, stratum: str, dominating: str, ratio: float, key: str, seed: int = 42) -> DataFrame:

@@ -5,23 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavequarry.functions import scan
 from wavequarry.functions.rank import seeded_key
 
 
 def transitions(df: DataFrame, group: list[str], order: list[str], label: str, invalid: Column) -> DataFrame:
     """pos and changed: a valid row whose label differs from the last valid one before; never the first row. A first
-    valid row behind invalid ones counts as changed."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    df = df.withColumn("pos", F.row_number().over(w) - 1).withColumn("_v", F.when(~invalid, F.col(label)))
-    df = df.withColumn("_before", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return df.withColumn("changed", F.col("_v").isNotNull() & (F.col("pos") > 0) & ~F.col("_v").eqNullSafe(F.col("_before"))).drop("_v", "_before")
-
-
-def cut_transients(df: DataFrame, group: list[str], cut: int) -> DataFrame:
-    """Without the ``cut`` rows from each change on."""
-    w = Window.partitionBy(*group).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    valid row behind invalid ones counts as changed.
+
+    A group may hold most rows: blocks of it by ranges of the order hand on their number of rows and their last valid label."""
+    df = df.withColumn("_v", F.when(~invalid, F.col(label)))
+    rows = scan.range_blocks(df, *group, *order)
+    place = F.struct(*order)
+    rows = scan.with_handed_on(rows, group, _rows=(F.count(F.lit(1)), F.sum("_rows")), _label=(F.max_by("_v", F.when(F.col("_v").isNotNull(), place)), F.last("_label", ignorenulls=True)))
+    w = Window.partitionBy(*group, "_block").orderBy(*order)
+    rows = rows.withColumn("pos", (F.coalesce("_rows", F.lit(0)) + F.row_number().over(w) - 1).cast("long"))
+    before = F.coalesce(F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_label")
+    changed = F.col("_v").isNotNull() & (F.col("pos") > 0) & ~F.col("_v").eqNullSafe(F.col("_before"))
+    return rows.withColumn("_before", before).withColumn("changed", changed).drop("_v", "_before", "_rows", "_label", "_block")
+
+
+def cut_transients(df: DataFrame, group: list[str], cut: int, block: int = scan.BLOCK) -> DataFrame:
+    """Without the ``cut`` rows from each change on. A change only reaches ``cut`` rows ahead, so a window spans a block of positions and the
+    changes that reach into it."""
+    block = max(block, cut)
+    rows = df.withColumn("_block", F.floor(F.col("pos") / block)).withColumn("_own", F.lit(True))
+    reaching = rows.where(F.col("changed") & (F.col("pos") % block > block - cut)).withColumns({"_block": F.col("_block") + 1, "_own": F.lit(False)})
+    w = Window.partitionBy(*group, "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("changed"), F.col("pos")), ignorenulls=True).over(w)
-    return df.withColumn("_last", last).where(F.col("_last").isNull() | (F.col("pos") - F.col("_last") >= cut)).drop("_last")
+    cut_out = rows.unionByName(reaching).withColumn("_last", last).where(F.col("_own") & (F.col("_last").isNull() | (F.col("pos") - F.col("_last") >= cut)))
+    return cut_out.drop("_block", "_own", "_last")
 
 
 def cut_length(ms: float, fs: float) -> int:

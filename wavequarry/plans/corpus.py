@@ -11,7 +11,7 @@ from wavequarry.plans import fixtures as X
 from wavequarry.plans.fixtures import LOGS, LONG, SAMPLES, SIG, table
 from wavequarry.plans.queries import LAST, NORMALITY, SHARDS, SIZES, SLICES, SPLIT, cap_sql, h15_fillers, key_sql, query, r6, sharded_orders
 from wavequarry.plans.queries import SQL as KNOWN
-from wavequarry.sources import io
+from wavequarry.sources import byteranges, io, recordfiles
 from wavequarry.streaming import stream
 
 # ---- sources and sinks
@@ -35,12 +35,15 @@ def a14_output_trees(spark, d):
     return io.read_corpus(spark, path).select("sample_id", "split", "format", F.size("signal").alias("n"))
 
 
-@query(f"WITH {SHARDS} SELECT split, count(*) AS n, sum(hash_) AS keys FROM (SELECT split, k, o_orderkey % 1000 AS hash_ FROM r) GROUP BY split")
+@query(f"""WITH {SHARDS} SELECT 'split=' || split || '/shard_id=' || (k // 64) AS name, count(*)::INT AS n, sum(o_orderkey)::BIGINT AS keys, min(o_orderkey)::BIGINT AS least, arg_min(o_orderkey, k)::BIGINT AS first, arg_max(o_orderkey, k)::BIGINT AS last FROM r GROUP BY ALL""")
 def a15_shard_files(spark, d):
-    """The shards as files of their records, read back."""
+    """Each shard is one file, which the manifest lists and whose records come back in order."""
     path = io.workspace(spark, "shards")
-    io.write_shards(sharded_orders(spark, d), path, 64)
-    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_orderkey") % 1000).alias("keys"))
+    io.write_shards(sharded_orders(spark, d), path, 64, ["split"])
+    place = F.col("pos_in_shard")
+    files = recordfiles.committed_rows(spark, path).groupBy("file").agg(
+        F.count(F.lit(1)).cast("int").alias("n"), F.sum("o_orderkey").alias("keys"), F.min("o_orderkey").alias("least"), F.min_by("o_orderkey", place).alias("first"), F.max_by("o_orderkey", place).alias("last"))
+    return files.join(recordfiles.committed_files(spark, path).select("file", "rows"), "file").where("rows = n").select(F.regexp_extract("file", "^data/(.*)/[^/]*$", 1).alias("name"), "n", "keys", "least", "first", "last")
 
 
 @query(f"""WITH {SIG}, {SPLIT}, c AS ({cap_sql(42, 'cap', '30').removeprefix(f'WITH {SIG}, ').replace('r AS (', 'SELECT sample_id, base_dataset, n FROM (').replace(') SELECT sample_id, base_dataset FROM r WHERE', ') WHERE')}),

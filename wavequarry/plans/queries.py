@@ -695,9 +695,9 @@ def i19_denormalize(spark, d):
     return s.select("sample_id", "pos", r6("v", "v"))
 
 
-@query("WITH x AS (SELECT vec_id, label, i - 1 AS k, embedding[i]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 11)) AS i)) SELECT vec_id, arg_max(k, v)::INT AS best, round(max(v) FILTER (k = label) - max(v) FILTER (k <> label), 6) AS margin FROM x GROUP BY vec_id")
+@query("WITH x AS (SELECT vec_id, label, i - 1 AS k, embedding[i]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)) SELECT vec_id, arg_max(k, v)::INT AS best, round(max(v) FILTER (k = label) - max(v) FILTER (k <> label), 6) AS margin FROM x GROUP BY vec_id")
 def i23_margin(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 10).cast("array<double>").alias("z"))
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("z"))
     return e.select("vec_id", A.argmax(F.col("z")).alias("best"), r6(A.margin(F.col("z"), F.col("label")), "margin"))
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,7 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavequarry.functions import arrays as A
+from wavequarry.functions import scan
 from wavequarry.functions.rank import exact_rank, seeded_key
+from wavequarry.functions.scan import workspace  # noqa: F401
+from wavequarry.sources import recordfiles
 
 
 def discover(spark: SparkSession, root: str, glob: str = "*", recursive: bool = False) -> DataFrame:
@@ -31,16 +32,6 @@ def listed(spark: SparkSession, paths: list[str]) -> DataFrame:
     return wanted.join(there, "path", "left").select("path", F.col("length").isNotNull().alias("found"), "length").orderBy("path")
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below a fresh local one only where that setting is absent and Spark is local."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a shared folder")
-        found = tempfile.mkdtemp(prefix="spark-")
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def wide_channels(df: DataFrame, columns: list[str]) -> DataFrame:
     """Channel columns to a row per channel; other columns stay."""
     rest = [c for c in df.columns if c not in columns]
@@ -65,13 +56,19 @@ def bracketed_text(lines: DataFrame, header: int) -> DataFrame:
     """lines: path, line_no, value. The vector between the first bracket and the last; row: a running number over the lines kept."""
     body = F.regexp_extract("value", r"\[(.*)\]", 1)
     rows = lines.where((F.col("line_no") >= header) & F.col("value").rlike(r"\[.*\]")).withColumn("signal", F.transform(F.split(body, ","), lambda v: F.trim(v).try_cast("double")))
-    return rows.withColumn("row", F.row_number().over(Window.partitionBy("path").orderBy("line_no")) - 1).drop("value")
+    return scan.numbered(rows, ["path"], "line_no", "row").withColumn("row", F.col("row").cast("int")).drop("value")
 
 
 def numbered_rows(rows: DataFrame) -> DataFrame:
-    """``rows`` of a file source with path and line_no: a file's rows lie in the order of its blocks, and within a block in that of reading."""
-    rows = rows.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i"))
-    return rows.withColumn("line_no", F.row_number().over(Window.partitionBy("path").orderBy("_block", "_i")) - 1).drop("_block", "_i")
+    """``rows`` of a file source with path and line_no: a file's rows lie in the order of its blocks, and within a block in that of reading.
+
+    A task reads a block of a file from its start to its end, so a row's place in its block is its number in the task less the block's first
+    one; the counts of the blocks before give the rest. No window spans a file. The rows are stored once, so that their numbers are those
+    that the counts are of."""
+    rows = scan.stored(rows.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i")), "lines")
+    rows = scan.with_handed_on(rows, ["path"], _rows=(F.count(F.lit(1)), F.sum("_rows"))).join(
+        rows.groupBy(F.col("path").alias("_path"), F.col("_block").alias("_of")).agg(F.min("_i").alias("_first")), (F.col("path") == F.col("_path")) & (F.col("_block") == F.col("_of")))
+    return rows.withColumn("line_no", F.coalesce("_rows", F.lit(0)) + F.col("_i") - F.col("_first")).drop("_block", "_i", "_rows", "_path", "_of", "_first")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -150,26 +147,19 @@ def shards(df: DataFrame, key: str, per_shard: int, seed: int, partition: list[s
     return ranked.withColumn("shard_id", F.floor(F.col("_r") / per_shard).cast("long")).withColumn("pos_in_shard", (F.col("_r") % per_shard).cast("int")).drop("_key", "_r")
 
 
-def write_shards(df: DataFrame, path: str, per_file: int) -> None:
-    """One folder; files of ``per_file`` rows in the order of shard_id and pos_in_shard, dealt by ranges of shards."""
-    dealt = df.repartitionByRange("shard_id").sortWithinPartitions("shard_id", "pos_in_shard")
-    dealt.write.option("maxRecordsPerFile", per_file).parquet(path)
-
-
-BLOCKS = 256
+def write_shards(df: DataFrame, path: str, per_shard: int, partition: list[str]) -> None:
+    """A file for each shard of each partition, its records in order, committed by a manifest."""
+    keys = [*partition, "shard_id"]
+    recordfiles.write_files(df.repartition(*keys).sortWithinPartitions(*keys, "pos_in_shard"), path, per_shard, keys)
 
 
-def offsets(df: DataFrame, key: str, signal: str, blocks: int = BLOCKS) -> DataFrame:
-    """start and stop of each signal in the concatenation by key (a string). Blocks of keys lie between quantiles of a bounded
-    sample of keys; the blocks' totals give their offsets, a window within a block the rest; no task sees the whole table."""
-    rows = df.select(F.col(key), F.size(signal).cast("long").alias("length"))
-    sample = sorted(r[0] for r in rows.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(16 * blocks).collect())
-    cuts = sorted(set(sample[16::16]))
-    rows = rows.withColumn("_b", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
-    totals = rows.groupBy("_b").agg(F.sum("length").alias("t")).withColumn("_before", F.coalesce(F.sum("t").over(before), F.lit(0))).drop("t")
-    inside = F.sum("length").over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.withColumn("_in", inside).join(totals, "_b").withColumn("stop", F.col("_in") + F.col("_before"))
+def offsets(df: DataFrame, key: str, signal: str) -> DataFrame:
+    """start and stop of each signal in the concatenation by key. Blocks of keys hand on their total length, a window within a
+    block gives the rest; no task sees the whole table, and the number of blocks grows with the session's partitions."""
+    rows = scan.range_blocks(df.select(F.col(key), F.size(signal).cast("long").alias("length")), key)
+    rows = scan.with_handed_on(rows, [], _before=(F.sum("length"), F.sum("_before")))
+    inside = F.sum("length").over(Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("stop", inside + F.coalesce("_before", F.lit(0)))
     return out.select(key, "length", (F.col("stop") - F.col("length")).alias("start"), "stop")
 
 
