@@ -11,7 +11,7 @@ from wavequarry.plans import fixtures as X
 from wavequarry.plans.fixtures import LOGS, LONG, SAMPLES, SIG, table
 from wavequarry.plans.queries import LAST, NORMALITY, SHARDS, SIZES, SLICES, SPLIT, cap_sql, h15_fillers, key_sql, query, r6, sharded_orders
 from wavequarry.plans.queries import SQL as KNOWN
-from wavequarry.sources import byteranges, io, recordfiles
+from wavequarry.sources import byteranges, io, recordfiles, registry
 from wavequarry.streaming import stream
 
 # ---- sources and sinks
@@ -341,6 +341,56 @@ def f1_group_order(spark, d):
     return rows.select("grp", "longest", F.row_number().over(Window.orderBy(*sequence.natural_key(F.col("grp")))).alias("place"))
 
 
+@query("SELECT label, arg_min(vec_id, (vec_id * 7919) % 101 * 1000000 + vec_id) AS vec_id, min((vec_id * 7919) % 101) AS at FROM embeddings GROUP BY label")
+def j4_stream_earliest(spark, d):
+    """The earliest record of a source by its time and id, whatever order the files arrive in."""
+    rows = embedding_stream(spark, d).select("vec_id", "label", (F.col("vec_id") * 7919 % 101).alias("at"))
+    out = stream.available(stream.earliest_records(rows, "label", ["at", "vec_id"]), io.workspace(spark, "stream"), "update")
+    # an earlier record replaces what the sink had before
+    return out.groupBy("label").agg(F.min_by("vec_id", F.struct("at", "vec_id")).alias("vec_id"), F.min("at").alias("at"))
+
+
+@query("SELECT vec_id, label, true AS bounded FROM embeddings")
+def j5_buffered_files(spark, d):
+    """Appended in files of at most 100 rows, which the batches' commits list; every record once."""
+    path = io.workspace(spark, "files")
+    stream.buffered_files(embedding_stream(spark, d).select("vec_id", "label"), path, f"{path}-checkpoint", 100).awaitTermination()
+    files = recordfiles.committed_files(spark, path).select("file", (F.col("rows") <= 100).alias("bounded"))
+    return recordfiles.committed_rows(spark, path).join(files, "file").select("vec_id", "label", "bounded")
+
+
+RECORD = "rpad(c_mktsegment, 10, '.') || right(c_name, 8)"
+
+
+@query(f"""WITH c AS (SELECT c_nationkey % 3 AS session, row_number() OVER (PARTITION BY c_nationkey % 3 ORDER BY c_custkey) - 1 AS acq, {RECORD} AS body FROM customer)
+  SELECT session::BIGINT AS session, acq, 2 AS channels, (list_sum([ord(x) for x in string_split(body, '')]) + 10)::DOUBLE AS first, ord(right(body, 1))::DOUBLE AS head FROM c""")
+def a10_c4_record_ranges(spark, d):
+    """Files of records of 20 bytes, one a session and channel, read in ranges of 4096 bytes; frames of both channels by record number."""
+    body = F.concat(F.rpad("c_mktsegment", 10, "."), F.right("c_name", F.lit(8)))
+    rows = table(spark, d, "customer").select((F.col("c_nationkey") % 3).alias("session"), "c_custkey", F.explode(F.array(*[F.struct(F.lit(i).alias("channel"), F.concat(F.lit("h"), b).alias("value")) for i, b in enumerate((body, F.reverse(body)))])).alias("c"))
+    path = io.workspace(spark, "records")
+    rows.select("session", "c.*", "c_custkey").repartition("session", "channel").sortWithinPartitions("session", "channel", "c_custkey").drop("c_custkey").write.partitionBy("session", "channel").text(path)
+    records = byteranges.byte_records(spark, path, 20, 1, 4096, ".txt")
+    named = records.select(*[F.regexp_extract("path", f"{k}=(\\d+)", 1).cast(t).alias(k) for k, t in (("session", "long"), ("channel", "int"))], "acq", "samples")
+    return io.stacked_channels(named, [0, 1]).select("session", "acq", F.size("signal").alias("channels"), A.total(F.col("signal")[0]).alias("first"), F.col("signal")[1][0].cast("double").alias("head"))
+
+
+@query("""SELECT c_custkey AS source, row, signal FROM (
+  SELECT c_custkey, unnest([0, 1]) AS row, unnest([[c_custkey::DOUBLE, c_nationkey::DOUBLE], [c_nationkey::DOUBLE, NULL]]) AS signal FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT c_custkey, row, [ord(x)::DOUBLE for x in string_split(s[row * 4 + 2 : row * 4 + 4], '')] FROM (SELECT c_custkey, rpad(c_mktsegment, 12, '.') AS s, unnest([0, 1, 2]) AS row FROM customer WHERE c_custkey % 3 = 1)
+  UNION ALL SELECT c_custkey, unnest([0, 1]), unnest([[c_nationkey::DOUBLE, c_custkey % 7], [NULL, c_custkey::DOUBLE]]) FROM customer WHERE c_custkey % 3 = 2)""")
+def l1_registered_readers(spark, d):
+    """Sources of three formats, read through one table function by what a configuration table says."""
+    registry.register(spark)
+    c = table(spark, d, "customer").withColumn("kind_id", F.col("c_custkey") % 3)
+    key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    text = F.when(F.col("kind_id") == 0, F.concat(F.lit("head [0]\nx ["), key, F.lit(", "), nation, F.lit("]\n\ny ["), nation, F.lit(",]")))
+    text = text.when(F.col("kind_id") == 1, F.rpad("c_mktsegment", 12, ".")).otherwise(F.concat(nation, F.lit(",,\n"), (F.col("c_custkey") % 7).cast("string"), F.lit(","), key, F.lit(",\n")))
+    spark.createDataFrame([(0, "bracketed", '{"header": 1}'), (1, "bytes", '{"record_bytes": 4, "header": 1}'), (2, "columns", "{}")], "kind_id long, kind string, options string").createOrReplaceTempView("reader_settings")
+    c.select(F.col("c_custkey").alias("source"), F.col("kind_id").cast("long").alias("kind_id"), F.to_binary(text, F.lit("utf-8")).alias("content")).createOrReplaceTempView("reader_records")
+    return spark.sql("SELECT source, r.row, r.signal FROM reader_records JOIN reader_settings USING (kind_id), LATERAL read_record(kind, content, options) r")
+
+
 # ---- models with a closed form
 
 

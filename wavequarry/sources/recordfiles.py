@@ -162,3 +162,17 @@ def committed_rows(spark: SparkSession, path: str) -> DataFrame:
     files = committed_files(spark, path).select("file", F.substring_index("file", "/", -1).alias("_name"))
     rows = spark.read.option("recursiveFileLookup", True).parquet(f"{path}/{DATA}").select("*", F.col("_metadata.file_name").alias("_name"))
     return rows.join(files, "_name").drop("_name")
+
+
+def drop_uncommitted(spark: SparkSession, path: str) -> int:
+    """Deletes the files that no commit lists, such as those of tasks that ran when their job failed; for times when nothing is written there."""
+    kept = committed_files(spark, path).select(F.substring_index("file", "/", -1).alias("_name"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/{DATA}").select("path", F.substring_index("path", "/", -1).alias("_name"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                Writing.drop(*filesystem(p))
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(b)], pa.int64())})
+
+    return files.join(kept, "_name", "left_anti").select("path").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
