@@ -155,16 +155,17 @@ def test_filters_by_their_definition():
     n, m, x = 40, len(a) - 1, rng.normal(size=(3, 40))
     h = filters.filtered(b, a, np.eye(n), np.zeros((n, m))).T  # column i: the answer to an impulse at i
     o, r = filters.filtered(b, a, np.zeros((m, n)), np.eye(m)).T, np.eye(n)[::-1]
-    got = filters.forward_backward(b, a, x)
+    x = [*x, rng.normal(size=40)]
+    got = filters.forward_backward(b, a, [*x, rng.normal(size=33)])
     for row, y in zip(x, got):
         fb, bf = r @ h @ r @ h @ row, h @ r @ h @ r @ row
         cost = np.hstack([r @ h @ r @ o - o, r @ o - h @ r @ o])
         states = np.linalg.lstsq(cost, bf - fb, rcond=None)[0]
         assert np.allclose(y, fb + np.hstack([r @ h @ r @ o, r @ o]) @ states)
     low = filters.butterworth_coefficients(3, 0.2, 0.3, "low")
-    assert np.allclose(filters.padded_forward_backward(*low, np.full((1, 60), 2.5)), 2.5)
+    assert np.allclose(filters.padded_forward_backward(*low, [np.full(60, 2.5)]), 2.5)
     with pytest.raises(ValueError):
-        filters.padded_forward_backward(*low, np.ones((1, 5)))
+        filters.padded_forward_backward(*low, [np.ones(5)])
 
 
 def test_butterworth_kinds(spark):
@@ -178,6 +179,19 @@ def test_butterworth_kinds(spark):
             assert np.abs(y - x).max() < 0.1 if r["f"] in kept else np.abs(y).max() < 0.1
 
 
+def test_blocks_equal_single_steps():
+    """The recurrence in blocks gives what it gives sample by sample, for signals of many lengths at once."""
+    rng = np.random.default_rng(3)
+    for order, kind in ((4, "band"), (2, "low"), (3, "stop")):
+        b, a = filters.butterworth_coefficients(order, 0.1, 0.4, kind)
+        x, state = rng.normal(size=(4, 331)), rng.normal(size=(4, len(a) - 1))
+        assert np.allclose(filters.filtered(b, a, x, state), filters.stepped(b, a, x, state)[0])
+        signals = [rng.normal(size=n) for n in (60, 64, 65, 500, 61, 1000, 60, 131)]
+        for passes in (filters.forward_backward, filters.padded_forward_backward):
+            for one, y in zip(signals, passes(b, a, signals)):
+                assert len(y) == len(one) and np.allclose(y, passes(b, a, [one])[0])
+
+
 def test_spectral_filters(spark):
     t = np.arange(512) / 1e3
     tones = {f: np.sin(2 * np.pi * f * t).tolist() for f in (100, 400)}

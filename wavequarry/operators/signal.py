@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -80,11 +82,11 @@ def padded_batches(df: DataFrame, batch: str, signal: str) -> DataFrame:
     return df.withColumn("mask", A.pad_mask(F.col(signal), F.col("_l"))).withColumn(signal, A.padded(F.col(signal), F.col("_l"))).drop("_l")
 
 
-def formats(df: DataFrame, signal: str, length: int) -> DataFrame:
+def formats(df: DataFrame, signal: str, length: int, order: int = 4) -> DataFrame:
     """One input, four outputs; the filtered ones need fs and fc (columns fs_hz, fc_hz, width), else they are unfiltered."""
     low, high = A.band_edges(F.col("fc_hz"), F.col("fs_hz"), 0.6)
     able = F.col("fs_hz").isNotNull() & F.col("fc_hz").isNotNull()
-    band = F.when(able, bandpass(F.col(signal), F.col("fs_hz"), low, high)).otherwise(F.col(signal))
+    band = F.when(able, bandpass(F.col(signal), F.col("fs_hz"), low, high, order)).otherwise(F.col(signal))
     df = df.withColumn("_band", band).withColumn("_envelope", envelope(F.col("_band")))
     made = {"raw": F.col(signal), "bandpass": F.col("_band"), "envelope": F.col("_envelope"), "interpolate": A.interpolated(F.col(signal), length)}
     rows = F.array(*[F.struct(F.lit(k).alias("format"), A.sanitized(v.cast("array<double>")).alias("signal")) for k, v in made.items()])
@@ -92,12 +94,11 @@ def formats(df: DataFrame, signal: str, length: int) -> DataFrame:
     return out.withColumn("format", F.col("_f.format")).withColumn(signal, F.col("_f.signal")).drop("_f", "_band", "_envelope")
 
 
-def grouped(x: pd.Series, *options: pd.Series) -> dict[tuple, list[int]]:
-    """Rows with equal lengths and options, which can be filtered together."""
+def grouped(*options: pd.Series) -> dict[tuple, list[int]]:
+    """Rows with equal options, which can be filtered together."""
     groups: dict[tuple, list[int]] = {}
-    for i, (v, *o) in enumerate(zip(x, *options)):
-        if v is not None:
-            groups.setdefault((len(v), *o), []).append(i)
+    for i, o in enumerate(zip(*options)):
+        groups.setdefault(o, []).append(i)
     return groups
 
 
@@ -108,13 +109,14 @@ def bandpass(signal: Column, fs: Column, low: Column, high: Column, order: int =
     @F.pandas_udf("array<double>")
     def run(x: pd.Series, fs: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
         out = x.tolist()
-        for (n, rate, first, last), rows in grouped(x, fs, low, high).items():
-            if n < 3 * order or not rate or not rate > 0:
+        for (rate, first, last), rows in grouped(fs, low, high).items():
+            rows = [i for i in rows if out[i] is not None and len(out[i]) >= 3 * order]
+            if not rows or not rate or not rate > 0:
                 continue
             bottom = max(1e-6, min(2 * first / rate, 0.999))
             b, a = filters.butterworth_coefficients(order, bottom, max(bottom + 1e-6, min(2 * last / rate, 0.999)), "band")
-            for i, y in zip(rows, filters.forward_backward(b, a, np.array([x[i] for i in rows], dtype=float))):
-                out[i] = y.tolist()
+            for i, y in zip(rows, filters.forward_backward(b, a, [np.asarray(out[i], dtype=float) for i in rows])):
+                out[i] = y
         return pd.Series(out)
 
     return run(signal, fs, low, high)
@@ -127,32 +129,46 @@ def butterworth(signal: Column, fs: Column, low: Column, high: Column, kind: str
     @F.pandas_udf("array<double>")
     def run(x: pd.Series, fs: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
         out = x.tolist()
-        for (_, rate, first, last), rows in grouped(x, fs, low, high).items():
+        for (rate, first, last), rows in grouped(fs, low, high).items():
+            rows = [i for i in rows if out[i] is not None]
             b, a = filters.butterworth_coefficients(order, 2 * first / rate, 2 * last / rate, kind)
-            for i, y in zip(rows, filters.padded_forward_backward(b, a, np.array([x[i] for i in rows], dtype=float))):
-                out[i] = y.tolist()
+            for i, y in zip(rows, filters.padded_forward_backward(b, a, [np.asarray(out[i], dtype=float) for i in rows])):
+                out[i] = y
         return pd.Series(out)
 
     return run(signal, fs, low, high)
 
 
+def by_length(x: pd.Series, one: Callable[[np.ndarray], np.ndarray], empty: object) -> pd.Series:
+    """``one`` over matrices of signals of equal lengths; null stays null, an empty signal gives ``empty``."""
+    out, lengths = x.tolist(), pd.Series([-1 if v is None else len(v) for v in x])
+    for (n,), rows in grouped(lengths).items():
+        if n == 0:
+            made = [empty] * len(rows)
+        elif n > 0:
+            made = one(np.array([out[i] for i in rows], dtype=float))
+        else:
+            continue
+        for i, y in zip(rows, made):
+            out[i] = y
+    return pd.Series(out)
+
+
 def envelope(signal: Column) -> Column:
     """Amplitude of the analytic signal."""
 
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
-        def one(v):
-            if v is None or not len(v):
-                return v
-            n = len(v)
+        def one(v: np.ndarray) -> np.ndarray:
+            n = v.shape[1]
             h = np.zeros(n)
             h[0] = 1
             h[1 : (n + 1) // 2] = 2
             if n % 2 == 0:
                 h[n // 2] = 1
-            return np.abs(np.fft.ifft(np.fft.fft(np.asarray(v, float)) * h)).tolist()
+            return np.abs(np.fft.ifft(np.fft.fft(v) * h))
 
-        return pd.Series([one(v) for v in x])
+        return by_length(x, one, [])
 
     return run(signal)
 
@@ -160,22 +176,20 @@ def envelope(signal: Column) -> Column:
 def fourier_resampled(signal: Column, length: int) -> Column:
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
-        def one(v):
-            if v is None or not len(v):
-                return [0.0] * length
-            n, m = len(v), min(len(v), length)
-            s = np.fft.rfft(np.asarray(v, float))[: m // 2 + 1]
+        def one(v: np.ndarray) -> np.ndarray:
+            n, m = v.shape[1], min(v.shape[1], length)
+            s = np.fft.rfft(v)[:, : m // 2 + 1]
             if m % 2 == 0 and n != length:
-                s[-1] *= 2 if length < n else 0.5
-            return (np.fft.irfft(s, length) * (length / n)).tolist()
+                s[:, -1] *= 2 if length < n else 0.5
+            return np.fft.irfft(s, length) * (length / n)
 
-        return pd.Series([one(v) for v in x])
+        return by_length(pd.Series([[] if v is None else v for v in x]), one, [0.0] * length)
 
     return run(signal)
 
 
-def preprocessed(df: DataFrame, signal: str, fs: Column, low: Column, high: Column, length: int | None, with_envelope: bool) -> DataFrame:
+def preprocessed(df: DataFrame, signal: str, fs: Column, low: Column, high: Column, length: int | None, with_envelope: bool, order: int = 4) -> DataFrame:
     """Band-pass, then envelope, then interpolation; each is a column of its own, as lambdas can't hold Python functions."""
-    df = df.withColumn(signal, bandpass(F.col(signal), fs, low, high))
+    df = df.withColumn(signal, bandpass(F.col(signal), fs, low, high, order))
     df = df.withColumn(signal, envelope(F.col(signal))) if with_envelope else df
     return df.withColumn(signal, A.interpolated(F.col(signal), length)) if length else df

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wavequarry.functions import arrays as A
+from wavequarry.functions import filters
 from wavequarry.functions.rank import seeded_key
 from wavequarry.operators import clean, evaluate, experiments, sampling, sequence, signal
 from wavequarry.plans import fixtures as X
@@ -281,6 +283,104 @@ def i7_envelope(spark, d):
     return s.select("sample_id", "pos", F.round("v", 5).alias("v"))
 
 
+# ---- filters against SQL: matrices of whole signals, and the recursion itself
+
+N = 24
+RESAMPLED = f"""{SIG}, grid AS (SELECT sample_id, fs, signal, len(signal) AS n, unnest(range({N})) AS j FROM sig), spot AS (SELECT *, j * (n - 1) / {N - 1}.0::DOUBLE AS p FROM grid), low AS (SELECT *, least(floor(p)::INT, n - 1) AS lo FROM spot),
+  x AS (SELECT sample_id, fs, list(signal[lo + 1] + (signal[least(lo + 1, n - 1) + 1] - signal[lo + 1]) * (p - lo) ORDER BY j) AS x FROM low GROUP BY sample_id, fs)"""
+#: The quadrature of a signal of N (even) samples: a circular convolution with cotangents at odd distances.
+QUADRATURE = f"list(CASE WHEN (i - j) % 2 = 0 THEN 0 ELSE 2 / {N}.0::DOUBLE / tan(pi() * (i - j) / {N}.0::DOUBLE) END ORDER BY j)"
+
+
+def resampled(spark, d):
+    return X.signals(spark, d).select("sample_id", "fs", A.interpolated(F.col("signal").cast("array<double>"), N, force=True).alias("signal"))
+
+
+def dense_bandpass(fs: float, order: int = 2) -> np.ndarray:
+    """The zero-phase filter of N samples as a matrix, from its impulse response alone: both orders of passes, and the end states by normal equations."""
+    b, a = filters.butterworth_coefficients(order, 2 * 1.4e6 / fs, 2 * min(2.6e6, 0.999 * fs / 2) / fs, "band")
+    m, h = len(a) - 1, np.zeros(N)
+    for k in range(N):
+        h[k] = (b[k] if k <= m else 0.0) - sum(a[i] * h[k - i] for i in range(1, min(k, m) + 1))
+    f = np.array([[h[i - j] if i >= j else 0.0 for j in range(N)] for i in range(N)])
+    o = np.zeros((N, m))  # without input, state k is what would be added at sample k, were there no feedback
+    for k in range(m):
+        o[k:, k] = np.r_[1.0, np.zeros(N - 1)][: N - k]
+        for i in range(k, N):
+            o[i, k] -= sum(a[j] * o[i - j, k] for j in range(1, min(i, m) + 1))
+    r = np.eye(N)[::-1]
+    fb, bf, back = r @ f @ r @ f, f @ r @ f @ r, r @ f @ r @ o
+    both = np.hstack([back - o, r @ o - r @ back])
+    return fb + np.hstack([back, r @ o]) @ np.linalg.lstsq(both, bf - fb, rcond=None)[0]
+
+
+def matrix_sql() -> str:
+    rows = ", ".join(f"({fs}, {i}, {[float(v) for v in row]})" for fs in (8e6, 12e6, 20e6, 40.96e6) for i, row in enumerate(dense_bandpass(fs)))
+    return f"(VALUES {rows}) AS g(fs, i, w)"
+
+
+BANDPASSED = f"""{RESAMPLED}, band AS (SELECT sample_id, x.fs, any_value(x) AS x, list(list_dot_product(w::DOUBLE[], x) ORDER BY i) AS y FROM x JOIN {matrix_sql()} ON g.fs = x.fs GROUP BY sample_id, x.fs
+    UNION ALL SELECT sample_id, fs, x, x FROM x WHERE fs IS NULL),
+  q AS (SELECT i, {QUADRATURE} AS q FROM (SELECT unnest(range({N})) AS i), (SELECT unnest(range({N})) AS j) GROUP BY i),
+  env AS (SELECT sample_id, list(sqrt(y[i + 1] ** 2 + list_dot_product(q, y) ** 2) ORDER BY i) AS e FROM band, q GROUP BY sample_id)"""
+
+
+@query(f"WITH {BANDPASSED} SELECT sample_id, unnest(range({N}))::INT AS pos, round(unnest(y), 4) + 0.0 AS v FROM band WHERE fs IS NOT NULL")
+def i6_bandpass_values(spark, d):
+    """Of second order, whose end states 24 samples determine well."""
+    s = resampled(spark, d).where("fs IS NOT NULL")
+    low, high = A.band_edges(F.lit(2e6), F.col("fs"), 0.6)
+    return s.select("sample_id", F.posexplode(signal.bandpass(F.col("signal"), F.col("fs"), low, high, 2)).alias("pos", "v")).withColumn("v", F.round("v", 4) + 0.0)
+
+
+@query(f"""WITH {BANDPASSED}, f AS (SELECT sample_id, 'raw' AS format, x AS v FROM band UNION ALL SELECT sample_id, 'bandpass', y FROM band UNION ALL SELECT sample_id, 'envelope', e FROM env UNION ALL SELECT sample_id, 'interpolate', x[1:16] FROM band)
+  SELECT sample_id, format, unnest(range(len(v)))::INT AS pos, round(unnest(v), 4) + 0.0 AS v FROM f""")
+def i8_format_values(spark, d):
+    s = resampled(spark, d).select("sample_id", F.col("fs").alias("fs_hz"), F.lit(2e6).alias("fc_hz"), "signal")
+    return signal.formats(s, "signal", 16, 2).select("sample_id", "format", F.posexplode("signal").alias("pos", "v")).withColumn("v", F.round("v", 4) + 0.0)
+
+
+@query(f"WITH {BANDPASSED} SELECT sample_id, unnest(range(16))::INT AS pos, round(unnest(e[1:16]), 4) + 0.0 AS v FROM env JOIN band USING (sample_id) WHERE fs IS NOT NULL")
+def i9_chain_values(spark, d):
+    s = resampled(spark, d).where("fs IS NOT NULL")
+    low, high = A.band_edges(F.lit(2e6), F.col("fs"), 0.6)
+    return signal.preprocessed(s, "signal", F.col("fs"), low, high, 16, True, 2).select("sample_id", F.posexplode("signal").alias("pos", "v")).withColumn("v", F.round("v", 4) + 0.0)
+
+
+def kinds_sql() -> str:
+    """Coefficients of second-order filters of each kind with edges at 0.2 and 0.5, states and extensions, as rows."""
+    rows = []
+    for kind in ("low", "high", "band", "stop"):
+        b, a = filters.butterworth_coefficients(2, 0.2, 0.5, kind)
+        rest = [b[i] - a[i] * b.sum() / a.sum() for i in range(1, len(a))]
+        z = [sum(rest[i:]) for i in range(len(rest))]
+        fill = lambda v, n: [float(x) for x in v] + [0.0] * (n - len(v))
+        rows.append(f"('{kind}', {fill(b, 5)}::DOUBLE[], {fill(a, 5)}::DOUBLE[], {fill(z, 4)}::DOUBLE[], {3 * len(a)})")
+    return f"(VALUES {', '.join(rows)}) AS k(kind, b, a, z, pad)"
+
+
+def recursion_sql(name: str, source: str) -> str:
+    """One pass sample by sample: the output and the four states behind each sample."""
+    y = "k.b[1] * e.x[r.i + 1] + r.s1"
+    steps = [f"r.s{j + 1} + k.b[{j + 1}] * e.x[r.i + 1] - k.a[{j + 1}] * ({y})" if j < 4 else f"k.b[5] * e.x[r.i + 1] - k.a[5] * ({y})" for j in range(1, 5)]
+    return f"""{name} AS (SELECT sample_id, kind, 0 AS i, NULL::DOUBLE AS y, z[1] * x[1] AS s1, z[2] * x[1] AS s2, z[3] * x[1] AS s3, z[4] * x[1] AS s4 FROM {source} JOIN {kinds_sql()} USING (kind)
+    UNION ALL SELECT r.sample_id, r.kind, r.i + 1, {y}, {', '.join(steps)} FROM {name} r JOIN {source} e ON e.sample_id = r.sample_id AND e.kind = r.kind JOIN {kinds_sql()} ON k.kind = r.kind WHERE r.i < len(e.x))"""
+
+
+@query(f"""WITH RECURSIVE {RESAMPLED}, ext AS (SELECT sample_id, kind, list_concat(list_concat([2 * x[1] - x[k + 1] for k in range(pad, 0, -1)], x), [2 * x[{N}] - x[{N} - k] for k in range(1, pad + 1)]) AS x FROM x, {kinds_sql()}),
+  {recursion_sql('one', 'ext')}, turned AS (SELECT sample_id, kind, list(y ORDER BY i DESC) AS x FROM one WHERE i > 0 GROUP BY ALL), {recursion_sql('two', 'turned')},
+  passed AS (SELECT sample_id, kind, list(y ORDER BY i DESC) AS y FROM two WHERE i > 0 GROUP BY ALL)
+  SELECT sample_id, kind, unnest(range({N}))::INT AS pos, round(unnest(y[pad + 1 : pad + {N}]), 4) + 0.0 AS v FROM passed JOIN {kinds_sql()} USING (kind)""")
+def i25_filter_kinds(spark, d):
+    """Second-order low-, high-, band-pass and band-stop filters over oddly extended signals."""
+    s = resampled(spark, d)
+    made = [s.select("sample_id", F.lit(kind).alias("kind"), F.posexplode(signal.butterworth(F.col("signal"), F.lit(2.0), F.lit(0.2), F.lit(0.5), kind, 2)).alias("pos", "v")) for kind in ("low", "high", "band", "stop")]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("v", F.round("v", 4) + 0.0)
+
+
 # ---- streams over all that is there
 
 
