@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from wavequarry.functions import arrays as A
+from wavequarry.functions import scan
 
 SUMS = ["n", "st", "sp", "stt", "spp", "stp", "sse"]
 
@@ -155,16 +156,37 @@ def pool(tokens: DataFrame, kind: str, bins: int = 1, tokens_kept: int = 0) -> D
         rows = tokens.withColumn("vec", F.when(F.col("valid"), F.col("vec").cast("array<double>")).otherwise(zero)).where(F.col("pos") < tokens_kept)
         flat = rows.groupBy("owner_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda x: x["vec"])).alias("vector"), F.max(F.size("vec")).alias("w"))
         return flat.select("owner_id", A.padded(F.col("vector"), F.col("w") * tokens_kept).alias("vector"))
-    own = Window.partitionBy("owner_id")
-    rank = F.sum(F.col("valid").cast("int")).over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    n = F.sum(F.col("valid").cast("int")).over(own)
-    rows = tokens.withColumn("_n", n).withColumn("bin", F.when(F.col("valid"), F.floor(F.coalesce(rank, F.lit(0)) * bins / F.greatest(n, F.lit(1)))).cast("int"))
-    value = (F.avg if kind == "mean" else F.max)(F.when(F.col("valid"), F.col("v")))
-    got = rows.select("owner_id", "bin", "valid", F.posexplode("vec").alias("dim", "v")).groupBy("owner_id", "bin", "dim").agg(value.alias("v")).where("bin IS NOT NULL")
-    every = rows.groupBy("owner_id").agg(F.max(F.size("vec")).alias("w")).select("owner_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "w").select("owner_id", "bin", F.explode(A.indices(F.col("w"))).alias("dim"))
+    owners = tokens.groupBy("owner_id").agg(F.count_if("valid").alias("_n"), F.max(F.size("vec")).alias("w"))
+    placed = scan.numbered(tokens.where("valid"), ["owner_id"], "pos", "_rank").join(owners, "owner_id").withColumn("bin", F.floor(F.col("_rank") * bins / F.col("_n")).cast("int"))
+    if kind == "mean":
+        got = element_sums(placed.select("owner_id", "bin", "vec"), ["owner_id", "bin"], "vec").select("owner_id", "bin", "dim", (F.col("s") / F.col("n")).alias("v"))
+    else:
+        got = element_maxima(placed.select("owner_id", "bin", "vec"), ["owner_id", "bin"], "vec")
+    every = owners.select("owner_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "w").select("owner_id", "bin", F.explode(A.indices(F.col("w"))).alias("dim"))
     return every.join(got, ["owner_id", "bin", "dim"], "left").select("owner_id", "bin", "dim", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
+def element_maxima(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """Per element the largest value of each key (v, null without one); tasks return one row a key and element."""
+    rows = df.select(*keys, F.col(vector).cast("array<double>").alias("x")).where("x IS NOT NULL")
+    fields = rows.schema.fields[: len(keys)]
+    names, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches):
+        most: dict = {}
+        for b in batches:
+            for *key, x in zip(*(c.to_pylist() for c in b.columns)):
+                x = np.array([np.nan if v is None else v for v in x], dtype=float)
+                at = (*key, len(x))
+                most[at] = np.fmax(most[at], x) if at in most else x
+        for (*key, d), x in most.items():
+            if d:
+                yield pa.RecordBatch.from_arrays([*[pa.array([k] * d, t) for k, t in zip(key, kinds)], pa.array(np.arange(d, dtype=np.int32)), pa.array(x, from_pandas=True)], names=[*names, "dim", "v"])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return rows.mapInArrow(run, f"{ddl}, dim int, v double").groupBy(*names, "dim").agg(F.max("v").alias("v"))
+
+
 def normality(df: DataFrame, vector: str, projections: list[list[float]], points: int = 17, reach: float = 5.0) -> float:
     """Sliced Epps-Pulley statistic: characteristic functions of projected embeddings against the normal one's. Tasks return
     sums per (slice, point)."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wavequarry.functions import arrays as A
 from wavequarry.functions import filters
 from wavequarry.functions.rank import seeded_key
-from wavequarry.operators import clean, evaluate, experiments, sampling, sequence, signal
+from wavequarry.operators import clean, evaluate, experiments, heads, layout, sampling, sequence, signal
 from wavequarry.plans import fixtures as X
 from wavequarry.plans.fixtures import LOGS, LONG, SAMPLES, SIG, table
 from wavequarry.plans.queries import LAST, NORMALITY, SHARDS, SIZES, SLICES, SPLIT, cap_sql, h15_fillers, key_sql, query, r6, sharded_orders
@@ -93,13 +93,13 @@ def a20_metric_logs(spark, d):
     return experiments.last_epoch(rows, ["grp", "run"], "epoch", "line_no", "acc").select("grp", "run", r6("acc", "acc"))
 
 
-@query("SELECT 'group_' || (c_custkey % 7) AS grp, 'run_' || c_custkey AS run, (c_custkey % 3 / 10.0)::DOUBLE AS lr, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS encoder, NULL AS absent FROM customer WHERE c_nationkey = 7")
+@query("SELECT 'group_' || (c_nationkey % 7) AS grp, 'run_' || c_nationkey AS run, (count(*) / 10.0)::DOUBLE AS lr, CASE WHEN c_nationkey % 2 = 0 THEN min(c_mktsegment) END AS encoder, NULL AS absent FROM customer GROUP BY c_nationkey")
 def a20_run_configs(spark, d):
-    """Nested configurations written as files, one a run, and read back by dotted paths."""
-    c = table(spark, d, "customer").where("c_nationkey = 7")
-    config = F.to_json(F.struct(F.struct((F.col("c_custkey") % 3 / 10).alias("lr"), F.struct(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("name")).alias("encoder")).alias("model")))
+    """Nested configurations, one a nation, written as files, one a run, and read back by dotted paths."""
+    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min("c_mktsegment").alias("segment"))
+    config = F.to_json(F.struct(F.struct((F.col("n") / 10).alias("lr"), F.struct(F.when(F.col("c_nationkey") % 2 == 0, F.col("segment")).alias("name")).alias("encoder")).alias("model")))
     path = io.workspace(spark, "configs")
-    rows = c.select(F.concat(F.lit("group_"), F.col("c_custkey") % 7).alias("group"), F.concat(F.lit("run_"), "c_custkey").alias("run"), config.alias("value"))
+    rows = c.select(F.concat(F.lit("group_"), F.col("c_nationkey") % 7).alias("group"), F.concat(F.lit("run_"), "c_nationkey").alias("run"), config.alias("value"))
     rows.write.partitionBy("group", "run").text(path)
     got = io.run_configs(spark, path, "*.txt")
     return got.select("grp", "run", io.dig(F.col("config"), "model.lr").cast("double").alias("lr"), io.dig(F.col("config"), "model.encoder.name").alias("encoder"), io.dig(F.col("config"), "model.decay").alias("absent"))
@@ -511,3 +511,36 @@ def k4_principal_axes(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("x"))
     out = evaluate.overview(e, "x")
     return out.select("vec_id", *[F.round(F.abs(F.col("projection")[i]), 5).alias(n) for i, n in enumerate(("first", "second"))])
+
+
+@query("SELECT o::INT AS output, j::INT AS j, 0.0::DOUBLE AS slope FROM (SELECT unnest(range(2)) AS o), (SELECT unnest(range(65)) AS j)")
+def k2_all_heads(spark, d):
+    """Two outputs fitted to all dimensions in one pass; the residuals of least squares are orthogonal to each of them."""
+    e = table(spark, d, "embeddings").select("embedding", F.col("label").cast("double").alias("label"), (F.col("vec_id") % 7).cast("double").alias("other"))
+    weights, biases = heads.regression(e, ["label", "other"], "embedding")
+    left = F.zip_with(F.array("label", "other"), heads.scores(F.col("embedding").cast("array<double>"), weights, biases), lambda y, z: y - z)
+    return heads.residual_slopes(e, "embedding", left, 2).withColumn("slope", F.round("slope", 4) + 0.0)
+
+
+@query("""SELECT (dense_rank() OVER (ORDER BY label) - 1)::INT AS output, j::INT AS j, 0.0::DOUBLE AS slope FROM (SELECT DISTINCT label FROM embeddings), (SELECT unnest(range(65)) AS j)""")
+def k1_probe_slopes(spark, d):
+    """Multinomial logistic regression on all dimensions: at its end the slope of the loss and of the ridge together is 0 for each class and dimension."""
+    e = table(spark, d, "embeddings").select("embedding", "label")
+    classes, weights, biases = heads.probe(e, "label", "embedding", 1e-3)
+    n, both = e.count(), np.column_stack([biases, weights])
+    told = F.transform(F.array(*map(F.lit, classes)), lambda c: (c == F.col("label")).cast("double"))
+    left = F.zip_with(heads.probabilities(heads.scores(F.col("embedding").cast("array<double>"), weights, biases)), told, lambda p, y: p - y)
+    slopes = heads.residual_slopes(e, "embedding", left, len(classes))
+    held = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in both])
+    return slopes.select("output", "j", (F.round(F.col("slope") / n + 1e-3 * F.get(F.get(held, F.col("output")), F.col("j")), 7) + 0.0).alias("slope"))
+
+
+@query("SELECT i::INT AS i, j::INT AS j, (i = j)::INT::DOUBLE AS product, true AS in_order FROM (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j)")
+def k4_neighbour_layout(spark, d):
+    """A layout of the embeddings' neighbour graph: its coordinates are orthogonal to each other and to the constant direction, of length 1, and come by what a step keeps of them."""
+    nodes = layout.spectral_layout(layout.neighbour_graph(table(spark, d, "embeddings"), "vec_id", "embedding"))
+    root = F.sqrt("degree") / F.sqrt(F.lit(nodes.agg(F.sum("degree")).first()[0] or 1.0))
+    rows = nodes.select(F.array(root, F.col("y")[0], F.col("y")[1]).alias("v"), (F.col("quotients")[0] >= F.col("quotients")[1]).alias("in_order"))
+    sums = rows.agg(*[F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"p{i}{j}") for i in range(3) for j in range(3)], F.bool_and("in_order").alias("in_order"))
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.round(f"p{i}{j}", 5) + 0.0).alias("product")) for i in range(3) for j in range(3)])
+    return sums.select(F.explode(cells).alias("c"), "in_order").select("c.*", "in_order")

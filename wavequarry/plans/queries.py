@@ -825,9 +825,9 @@ def h4_chunk_cap(spark, d):
     return sampling.capped(c, "base", "id", {1: 20})
 
 
-@query("SELECT 'v' || (i - 1) AS trace, count(*)::INT AS n, round(sum(embedding[i]::DOUBLE), 5) AS total FROM embeddings, (SELECT unnest(range(1, 6)) AS i) GROUP BY i")
+@query("SELECT 'v' || (i - 1) AS trace, count(*)::INT AS n, round(sum(embedding[i]::DOUBLE), 5) AS total FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY i")
 def a5_trace_columns(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(5)], F.lit(None).cast("double").alias("v9"))
+    e = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(64)], F.lit(None).cast("double").alias("empty"))
     return io.trace_columns(e, "vec_id").select("trace", F.size("signal").alias("n"), F.round(A.total(F.col("signal")), 5).alias("total"))
 
 
