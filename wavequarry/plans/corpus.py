@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wavequarry.functions import arrays as A
-from wavequarry.functions import filters
+from wavequarry.functions import filters, scan
 from wavequarry.functions.rank import seeded_key
 from wavequarry.operators import clean, evaluate, experiments, heads, layout, sampling, sequence, signal
 from wavequarry.plans import fixtures as X
@@ -519,7 +519,8 @@ def k2_all_heads(spark, d):
     e = table(spark, d, "embeddings").select("embedding", F.col("label").cast("double").alias("label"), (F.col("vec_id") % 7).cast("double").alias("other"))
     weights, biases = heads.regression(e, ["label", "other"], "embedding")
     left = F.zip_with(F.array("label", "other"), heads.scores(F.col("embedding").cast("array<double>"), weights, biases), lambda y, z: y - z)
-    return heads.residual_slopes(e, "embedding", left, 2).withColumn("slope", F.round("slope", 4) + 0.0)
+    missed = scan.stored(e.select("embedding", left.alias("left")), "residuals")
+    return heads.residual_slopes(missed, "embedding", F.col("left"), 2).withColumn("slope", F.round("slope", 4) + 0.0)
 
 
 @query("""SELECT (dense_rank() OVER (ORDER BY label) - 1)::INT AS output, j::INT AS j, 0.0::DOUBLE AS slope FROM (SELECT DISTINCT label FROM embeddings), (SELECT unnest(range(65)) AS j)""")
@@ -529,8 +530,10 @@ def k1_probe_slopes(spark, d):
     classes, weights, biases = heads.probe(e, "label", "embedding", 1e-3)
     n, both = e.count(), np.column_stack([biases, weights])
     told = F.transform(F.array(*map(F.lit, classes)), lambda c: (c == F.col("label")).cast("double"))
-    left = F.zip_with(heads.probabilities(heads.scores(F.col("embedding").cast("array<double>"), weights, biases)), told, lambda p, y: p - y)
-    slopes = heads.residual_slopes(e, "embedding", left, len(classes))
+    # stored, so that scores and residuals are computed once a row and not once an output
+    scored = scan.stored(e.withColumn("z", heads.scores(F.col("embedding").cast("array<double>"), weights, biases)), "scores")
+    missed = scan.stored(scored.select("embedding", F.zip_with(heads.probabilities(F.col("z")), told, lambda p, y: p - y).alias("left")), "residuals")
+    slopes = heads.residual_slopes(missed, "embedding", F.col("left"), len(classes))
     held = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in both])
     return slopes.select("output", "j", (F.round(F.col("slope") / n + 1e-3 * F.get(F.get(held, F.col("output")), F.col("j")), 7) + 0.0).alias("slope"))
 
