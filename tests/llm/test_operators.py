@@ -374,6 +374,20 @@ def test_caps_find_links_at_any_size_of_the_table():
         assert near.sum() > 300 and np.mean(np.array(shared_)[near]) >= 0.9
 
 
+def test_caps_recall_on_fresh_pairs_of_any_length():
+    """Pairs right at the least cosine, which the fit hasn't seen; a code drawn from the fitted numbers is the fitted code."""
+    rng = np.random.default_rng(77)
+    for dim, rows in ((2, 10**4), (8, 10**5), (64, 2000)):
+        code = caps.ProductCode(dim, rows)
+        u, v = rng.normal(size=(2, 500, dim))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        v -= (u * v).sum(axis=1, keepdims=True) * u
+        v = 0.951 * u + np.sqrt(1 - 0.951**2) * v / np.linalg.norm(v, axis=1, keepdims=True)
+        assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(code.decode(u), code.decode(v))]) >= 0.92
+        again = caps.ProductCode(dim, rows, fitted=(code.threshold, code.least))
+        assert all((a == b).all() for a, b in zip(code.decode(u[:20]), again.decode(u[:20])))
+
+
 # ---- Jaccard join
 
 

@@ -4,8 +4,8 @@ Equal vectors are one class with a weight, represented by its smallest id. Filte
 code: vectors are rotated by random signs and a Hadamard transform and cut in two halves, each half has a codebook of random
 unit vectors (a large codebook is itself the sums of two smaller ones, of a quarter each), and every pair of codewords is a
 filter. A vector is list-decoded to all filters whose score reaches a threshold (at least to half as many as is common);
-how many are common is fitted to random pairs of the least cosine, which have to share one. The number of filters grows with
-the number of classes, at any size. Vectors that share a filter are compared by exact cosine in double precision.
+how many are common is fitted to random pairs of the least cosine, which have to share one, and confirmed on other pairs; the fit is made
+once, on the driver, for each length of vectors. The number of filters grows with the number of classes, at any size. Vectors that share a filter are compared by exact cosine in double precision.
 A pair that shares several filters is counted in the smallest of them. Each length of vectors has a code and filters of its own.
 
 A filter with many vectors is dealt in blocks of about ``BLOCK`` vectors, and each pair of blocks is a task of its own, so no
@@ -29,16 +29,16 @@ from pyspark.sql import functions as F
 
 from wavequarry.llm.shared import components, parts, schema_of, stored
 
-#: Filters that a vector exceeds commonly, at least and at most; the share of random pairs of the least cosine that share a
+#: Filters that a vector exceeds commonly, at least; the share of random pairs of the least cosine that share a
 #: filter, and the number of pairs; vectors in a block; filters for each vector of the table; words of a half from which on its
 #: codebook is made of two; bits of a filter's number within the code of a length.
-EXPECTED, MOST, RECALL, TRIALS, BLOCK, FILTERS_PER_ROW, LARGE, BITS = 8, 160, 0.92, 400, 512, 64, 4096, 46
+EXPECTED, RECALL, TRIALS, BLOCK, FILTERS_PER_ROW, LARGE, BITS = 8, 0.95, 600, 512, 64, 4096, 46
 DECODED = "vec_id long, copies long, unit binary, filters binary"
 FOUND = "a long, b long, n long"
 
 
 class ProductCode:
-    def __init__(self, dim: int, rows: int, least: float = 0.95, seed: int = 11):
+    def __init__(self, dim: int, rows: int, least: float = 0.95, seed: int = 11, fitted: tuple[float, int] | None = None):
         rng = np.random.default_rng(seed)
         self.dim, self.size = dim, max(16, 1 << (max(1, dim - 1)).bit_length())
         half, bits = self.size // 2, max(6, int(np.ceil(np.log2(max(1, FILTERS_PER_ROW * rows)) / 2)))
@@ -49,19 +49,28 @@ class ProductCode:
         books = [[rng.normal(size=(n, half // self.parts)) for n in sizes] for _ in range(2)]
         self.books = [[b / np.linalg.norm(b, axis=1, keepdims=True) / np.sqrt(self.parts) for b in pair] for pair in books]
         # a score has about the standard deviation 1/sqrt(size); it is kept as the sum of both halves
-        # fitted to random pairs of the least cosine: as many filters as they need to share one
-        u, v = rng.normal(size=(2, TRIALS, dim))
-        u /= np.linalg.norm(u, axis=1, keepdims=True)
-        v -= (u * v).sum(axis=1, keepdims=True) * u
-        v = least * u + np.sqrt(max(0.0, 1 - least * least)) * v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        if fitted:
+            self.threshold, self.least = fitted
+        else:
+            self.fit(least, rng)
+
+    def fit(self, least: float, rng: np.random.Generator) -> None:
+        """As many filters as random pairs of the least cosine need to share one. Ends where those, and as many other pairs, do; or with all filters."""
         expected = EXPECTED
         while True:
-            self.threshold, self.least = -np.inf, expected
-            self.threshold = float(np.median([self.best(a, b)[1] for a, b in self.sides(u)]))
-            self.least = math.ceil(expected / 2)
-            if expected >= MOST or np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(self.decode(u), self.decode(v))]) >= RECALL:
-                break
-            expected = math.ceil(1.4 * expected)
+            pairs = [self.pairs(least, rng) for _ in range(2)]
+            self.threshold, self.least = -np.inf, min(expected, self.words**2)
+            self.threshold = float(np.median([self.best(a, b)[1] for a, b in self.sides(pairs[0][0])]))
+            self.least = math.ceil(self.least / 2)
+            if expected >= self.words**2 or all(np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(self.decode(u), self.decode(v))]) >= RECALL for u, v in pairs):
+                return
+            expected = math.ceil(1.3 * expected)
+
+    def pairs(self, least: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        u, v = rng.normal(size=(2, TRIALS, self.dim))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        v -= (u * v).sum(axis=1, keepdims=True) * u
+        return u, least * u + np.sqrt(max(0.0, 1 - least * least)) * v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def sides(self, units: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The scores of both halves of each unit vector."""
@@ -107,12 +116,14 @@ class ProductCode:
 
 
 @lru_cache(maxsize=4)
-def code_of(dim: int, rows: int, least: float) -> ProductCode:
-    return ProductCode(dim, rows, least)
+def code_of(dim: int, rows: int, least: float, fitted: tuple[float, int] | None = None) -> ProductCode:
+    return ProductCode(dim, rows, least, fitted=fitted)
 
 
 def decoded(vectors: DataFrame, rows: int, least: float) -> DataFrame:
-    """vectors: vec_id, copies, embedding."""
+    """vectors: vec_id, copies, embedding. The tasks get each length's fitted numbers and draw its code from the seed."""
+    dims = [r[0] for r in vectors.select(F.size("embedding")).distinct().collect()]
+    fitted = {dim: (code.threshold, code.least) for dim in dims for code in [code_of(dim, rows, least)]}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,7 +137,7 @@ def decoded(vectors: DataFrame, rows: int, least: float) -> DataFrame:
                 x = values[offsets[at][:, None] + np.arange(dim)]
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                filters = [f + (dim << BITS) for f in code_of(dim, rows, least).decode(x)]
+                filters = [f + (dim << BITS) for f in code_of(dim, rows, least, fitted[dim]).decode(x)]
                 ids, copies = (b.column(c).take(pa.array(at)) for c in (0, 1))
                 yield pa.RecordBatch.from_arrays([ids, copies, pa.array([r.astype("<f8").tobytes() for r in x], pa.binary()), pa.array([f.astype("<i8").tobytes() for f in filters], pa.binary())], schema=schema_of(DECODED))
 
