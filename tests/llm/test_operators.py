@@ -241,35 +241,62 @@ def test_html_work_is_linear():
         htmltext.main_text(part * 20_000)
         assert time.process_time() - began < 8
     deep = list(htmltext.blocks("<div>x" * 3000))
-    assert len(deep) == 3000 and max(len(nodes) for _, nodes, _ in deep) == htmltext.DEPTH
+    assert len(deep) == 3000 and max(len(nodes) for _, nodes, _, _ in deep) == htmltext.DEPTH
     assert htmltext.main_text("<i>" * 5000 + "x") == "x" and htmltext.main_text("<article>" * 2000 + "x" + "<" * 50) == "x" + "<" * 50
 
 
-def test_importance_is_the_entropy_of_its_blocks(spark):
+def test_importance_by_definition(spark):
+    """Leaves by the entropy of their features over pages, inner elements by their layouts and children, in plain loops."""
     rng = random.Random(33)
-    pages = ["<body>" + "".join(rng.choice(["<div>menu</div>", "<div><p>a</p></div>", f"<div class=z><p>{rng.randrange(5)}</p><p>x</p></div>", f"<p>own {i}</p>"]) for _ in range(6)) + "</body>" for i in range(9)]
-    df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
-    got = {r["node"]: (r["pages"], r["importance"]) for r in htmltext.style_tree(df).collect()}
-    content, layouts = {}, {}
+    parts = ["<div>menu <a href=/x>here</a></div>", "<div><p>a</p></div>", "<nav>all <img src=i.png></nav>"]
+    pages = ["<body>" + "".join(rng.choice([*parts, f"<div class=z><p>{rng.randrange(5)}</p><p>x y</p></div>", f"<p>own {i}</p>"]) for _ in range(6)) + "</body>" for i in range(9)]
+    df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate([*pages, pages[0]])], "page_id long, url string, html string")
+    rows = htmltext.style_tree(df, 5).collect()
+    got = {r["node"]: (r["pages"], r["importance"]) for r in rows}
+    leaves, layouts, levels = {}, {}, {}
     for i, page in enumerate(pages):
-        below = {}
-        for own, nodes, t in htmltext.blocks(page):
-            for j in range(own, len(nodes)):
-                content.setdefault(nodes[j], {}).setdefault(t, Counter())[i] += 1
-                if j:
-                    below.setdefault(nodes[j - 1], []).append(nodes[j])
+        below, last = {}, ()
+        for _, _, nodes, t, sources in htmltext.marked(page):
+            path = (*nodes, htmltext.child(nodes[-1], htmltext.TEXTS))
+            for f in htmltext.features(t, sources):
+                leaves.setdefault(path[-1], {}).setdefault(f, Counter())[i] += 1
+            shared_ = 0
+            while shared_ < min(len(path), len(last)) and path[shared_] == last[shared_]:
+                shared_ += 1
+            for j in range(max(1, min(shared_, len(path) - 1)), len(path)):
+                below.setdefault(path[j - 1], []).append(path[j])
+                levels[path[j - 1]] = j
+            last = path
         for n, children in below.items():
             layouts.setdefault(n, {})[i] = tuple(children)
-    assert set(got) == set(content)
+    assert set(got) == set(leaves) | set(layouts)
     entropy = lambda counts: -sum(c / sum(counts) * np.log(c / sum(counts)) for c in counts)
-    for n, blocks in content.items():
-        on = {i for c in blocks.values() for i in c}
-        own = shape = 1.0
-        if len(on) > 1:
-            every = sum(sum(c.values()) for c in blocks.values())
-            own = 1 - sum(sum(c.values()) * entropy(list(c.values())) for c in blocks.values()) / every / np.log(len(on))
-            shape = entropy(list(Counter(layouts[n].values()).values())) / np.log(len(on)) if n in layouts else 0.0
-        assert got[n][0] == len(on) and abs(got[n][1] - max(own, 0.9 * own + 0.1 * shape)) < 1e-9
+    want = {}
+    for n, found in leaves.items():
+        on = {i for c in found.values() for i in c}
+        every = sum(sum(c.values()) for c in found.values())
+        want[n] = (len(on), 1.0 if len(on) == 1 else 1 - sum(sum(c.values()) * entropy(list(c.values())) for c in found.values()) / every / np.log(len(on)))
+    for n in sorted(layouts, key=levels.get, reverse=True):
+        m, styles = len(layouts[n]), Counter(layouts[n].values())
+        children = sum(np.mean([want[c][1] for c in x]) for x in layouts[n].values()) / m
+        left = 0.9 ** len(styles)
+        want[n] = (m, (1 - left) * (1.0 if m == 1 else entropy(list(styles.values())) / np.log(m)) + left * children)
+    for n, (m, x) in want.items():
+        assert got[n][0] == m and abs(got[n][1] - x) < 1e-9
+    top = {r["node"]: r["top"] for r in rows}
+    for n, (m, x) in want.items():
+        below = [top[c] for x in layouts.get(n, {}).values() for c in x]
+        assert top[n] == pytest.approx(max([x if m >= 5 else 1.0, *below]))
+
+
+def test_style_tree_finds_what_differs_in_a_word_and_regions_of_one_layout(spark):
+    """Neither the tag nor the class of these parts says what they are."""
+    rng = random.Random(12)
+    own = [text(rng, 50) for _ in range(12)]
+    more = "Read about the news of our town and all that is new in our shop today, visitor number"
+    pages = [(i, f"http://e.example/{i}", f"<body><div class=qa><p>{more} {rng.randrange(9999)}</p></div><div class=qb><ul><li><a href=/a>About us</a><li><a href=/b>Contact</a></ul></div><div class=qc><p>{own[i]}</p></div></body>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(own))
 
 
 def test_style_tree_removes_what_a_host_repeats(spark):

@@ -1,14 +1,15 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into a tree whose nodes are the paths of elements, styled by tag, class and id. A node's
-content importance is one minus the mean entropy of its blocks over the pages that have it: blocks that most pages of a
-host repeat (notices, menus) have entropy near 1, text of its own has 0. A node's presentation importance is the entropy
-of its layouts (the sequence of its children) over the pages. Branches whose combined importance stays below
-``least`` are removed from each page. Elements that HTML itself marks as no part of the article (navigation, scripts ...)
-are removed beforehand: those have the weight 0. An article or main element is a prior: nodes below it are removed as any others,
-unless most of its text would go, and blocks outside of it stay only where they hold more text than it does. Forms,
-a page's headers and elements whose class, id or role names such a part are removed too, unless they hold most of the page's
-text and no article element stands outside of them, or all but a tenth of the article's text.
+The pages of a host are merged into a tree of elements, styled by tag, class and id; an element's text is a leaf below it. A
+leaf's features are its words (as min-hashes of each text's set of words), links and images. Its content importance is one minus the mean entropy of its features'
+occurrences over the pages that have the leaf: what most pages of a host repeat (notices, menus) has entropy near 1, text of its own has 0. An inner
+element's presentation importance is the entropy of its layouts (the sequence of its children) over the pages, and its importance a composite of that, by as much as it
+has more layouts, and of its children's importance. Branches in which no node's importance reaches ``least`` are removed from each page.
+
+What HTML itself marks as no part of the article (navigation, scripts ...), forms, a page's headers, and elements whose class, id or role names such a part
+are in the tree as all others, with the prior weight ``PRIOR``, which no importance lifts to ``least``; such a form, header or name has no weight where the element holds most of the page's
+text and no article element stands outside of it, or all but a tenth of the article's text. An article or main element is a prior too: nodes below it are
+removed as any others, unless most of its text would go, and blocks outside of it stay only where they hold more text than it does.
 
 Defined cases: null or empty html gives an empty text; tags that are never closed end with their parent; inline elements with such
 a word are skipped up to their own end, and not at all without one; elements more than ``DEPTH`` deep belong to their ancestor there, so work
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,11 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavequarry.llm.shared import schema_of, stored, texts_of
+from wavequarry.llm.shared import mixed, schema_of, stored, texts_of
 
-PAGES, LEAST, DEPTH = 4, 0.3, 48
+#: Pages of a host that tell of a node; the least importance that stays; the weight of marked parts; the share that a composite leaves to one layout's
+#: children; min-hashes of a text; depth.
+PAGES, LEAST, PRIOR, SHARE, HASHES, DEPTH = 4, 0.3, 0.25, 0.9, 8, 48
 TEXT = "page_id long, url string, text string, n_chars long"
-NODES = "host string, node long, feature long, layout long, c double, clogc double"
+LEAVES = "host string, node long, feature long, page long, c double"
+INNER = "host string, node long, level int, child long, layout long, share double, page long"
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^\s\"'>/]*)(?:\"[^\"]*\"|'[^']*'|[^\"'>])*>?|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s>/\"']*)")
@@ -94,12 +99,21 @@ def child(parent: int, style: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{parent}/{style}") >> 1
 
 
-def blocks(page: str) -> Iterator[tuple[int, tuple[int, ...], str]]:
-    """(depth of the article or main element around it or 0, nodes of the styled elements around, text) of each block that can be part of the article, in order."""
+SOURCE = re.compile(r"""\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+
+
+def blocks(page: str) -> Iterator[tuple[int, tuple[int, ...], str, tuple[str, ...]]]:
+    """The ``marked`` blocks that can be part of the article, without the mark."""
+    return (b[1:] for b in marked(page) if not b[0])
+
+
+def marked(page: str) -> Iterator[tuple[bool, int, tuple[int, ...], str, tuple[str, ...]]]:
+    """(whether it is marked as no part of an article, depth of the article or main element around it or 0, nodes of the styled elements around, text, links and images) of each block, in order."""
     stack: list[tuple[str, tuple[int, ...], bool, int, tuple[int, ...]]] = []  # tag, nodes, removed, inside, doubtful elements around
     opened: dict[str, int] = {}  # how many of each tag are on the stack
     text: list[str] = []
-    found: list[tuple[int, tuple[int, ...], str, tuple[int, ...]]] = []
+    found: list[tuple[int, tuple[int, ...], str, tuple[int, ...], bool, tuple[str, ...]]] = []
+    links: list[str] = []
     doubtful: list[bool] = []  # whether each doubtful element is inside an article
     articles: set[tuple[int, ...]] = set()
     closed: dict[int, int] | None = None
@@ -109,8 +123,9 @@ def blocks(page: str) -> Iterator[tuple[int, tuple[int, ...], str]]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             text.clear()
-            if whole and not (stack and stack[-1][2]):
-                found.append((stack[-1][3], stack[-1][1], whole, stack[-1][4]) if stack else (0, (), whole, ()))
+            if whole:
+                found.append((stack[-1][3], stack[-1][1], whole, stack[-1][4], stack[-1][2], tuple(links)) if stack else (0, (), whole, (), False, tuple(links)))
+            links.clear()
 
     def cut(i: int) -> None:
         for x in stack[i:]:
@@ -121,8 +136,7 @@ def blocks(page: str) -> Iterator[tuple[int, tuple[int, ...], str]]:
         m = TOKEN.match(page, at)
         piece, at = m[0], m.end()
         if piece[0] != "<" or piece == "<":
-            if not (stack and stack[-1][2]):
-                text.append(piece)
+            text.append(piece)
             continue
         name = NAME.match(piece)
         if not name:
@@ -144,6 +158,8 @@ def blocks(page: str) -> Iterator[tuple[int, tuple[int, ...], str]]:
                 flush()
             continue
         hints = named(piece) if "=" in piece else set()
+        if tag in ("a", "img") and "=" in piece and (link := SOURCE.search(piece)):
+            links.append(next(x for x in link.groups() if x is not None))
         if tag in INLINE:
             if hints & PARTS and not piece.endswith("/>"):  # an inline element can be an advert or a comment: skip to its end
                 closed = ends(page) if closed is None else closed
@@ -176,10 +192,9 @@ def blocks(page: str) -> Iterator[tuple[int, tuple[int, ...], str]]:
         stack.append((tag, nodes, removed, inside, around))
         opened[tag] = opened.get(tag, 0) + 1
     flush()
-    gone = without(found, doubtful, articles)
-    for own, nodes, whole, around in found:
-        if gone.isdisjoint(around):
-            yield own, nodes, whole
+    gone = without([f[:4] for f in found if not f[4]], doubtful, articles)
+    for own, nodes, whole, around, removed, sources in found:
+        yield removed or not gone.isdisjoint(around), own, nodes, whole, sources
 
 
 def without(found: list[tuple], doubtful: list[bool], articles: set[tuple[int, ...]]) -> set[int]:
@@ -210,62 +225,100 @@ def host_of(url: str | None) -> str:
 
 
 def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
-    """The blocks outside low nodes: those of the article, and the others where they hold more text or no article is marked."""
+    """The unmarked blocks outside low nodes (marked ones have the weight ``PRIOR`` below ``LEAST``): those of the article, and the others where they hold more text or no article is marked."""
     found = list(blocks(page))
-    kept = [low.isdisjoint(nodes[own:]) for own, nodes, _ in found]
-    inside = sum(len(t) for own, _, t in found if own)
-    stays = sum(len(t) for (own, _, t), k in zip(found, kept) if own and k)
+    kept = [low.isdisjoint((*nodes[own:], child(nodes[-1] if nodes else 0, TEXTS))) for own, nodes, _, _ in found]
+    inside = sum(len(t) for own, _, t, _ in found if own)
+    stays = sum(len(t) for (own, _, t, _), k in zip(found, kept) if own and k)
     if 2 * stays < inside:
-        kept = [k or own > 0 for (own, _, _), k in zip(found, kept)]
+        kept = [k or own > 0 for (own, _, _, _), k in zip(found, kept)]
         stays = inside
-    every = sum(len(t) for (own, _, t), k in zip(found, kept) if k and not own) > stays
-    return " ".join(t for (own, _, t), k in zip(found, kept) if k and (own or every))
+    every = sum(len(t) for (own, _, t, _), k in zip(found, kept) if k and not own) > stays
+    return " ".join(t for (own, _, t, _), k in zip(found, kept) if k and (own or every))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """Rows (host, node, pages, importance) of the merged trees."""
+#: The style of the leaf that holds an element's own text.
+TEXTS = "#text"
+SEEDS = np.random.default_rng(31).integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = schema_of(NODES.replace("c double, clogc double", "page long"))
+
+def features(text: str, sources: tuple[str, ...]) -> set[int]:
+    """Min-hashes of the words, and hashes of links and images."""
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in set(text.encode("utf-8", "surrogatepass").split())], dtype=np.uint64)
+    least = mixed(h[:, None] * SEEDS).min(axis=0) >> np.uint64(1)
+    return {int(x) for x in least} | {xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in sources}
+
+
+def occurrences(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features of each leaf (``LEAVES``) and layouts and children of each inner element (``INNER``) in each page; pages that are equal count once."""
+
+    def run(batches: Iterable[pa.RecordBatch], leaves: bool) -> Iterator[pa.RecordBatch]:
+        schema = schema_of(LEAVES if leaves else INNER)
         for b in batches:
             urls, rows = b.column(0).to_pylist(), []
             for i, page in texts_of(b, "html"):
                 host, number = host_of(urls[i]), xxhash.xxh3_64_intdigest(page.encode("utf-8", "surrogatepass")) >> 1
                 children: dict[int, list[int]] = {}
-                for own, nodes, t in blocks(page):
-                    feature = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1
-                    for j in range(own, len(nodes)):  # what is around an article is decided by the other blocks
-                        rows.append((host, nodes[j], feature, 0, number))
-                        if j:
-                            children.setdefault(nodes[j - 1], []).append(nodes[j])
-                for parent, below in children.items():
-                    rows.append((host, parent, 0, xxhash.xxh3_64_intdigest(np.array(below, dtype="<i8").tobytes()) >> 1, number))
-                if len(rows) > 50_000 or rows and i == len(b) - 1:
+                levels: dict[int, int] = {}
+                held: Counter[tuple[int, int]] = Counter()
+                last: tuple[int, ...] = ()
+                for _, own, nodes, text, sources in marked(page):
+                    path = (*nodes, child(nodes[-1] if nodes else 0, TEXTS))
+                    if leaves:
+                        held.update((path[-1], f) for f in features(text, sources))
+                        continue
+                    same = next((j for j, (x, y) in enumerate(zip(path, last)) if x != y), min(len(path), len(last)))
+                    for j in range(max(1, min(same, len(path) - 1)), len(path)):  # what the block opens below what it shares with the one before
+                        children.setdefault(path[j - 1], []).append(path[j])
+                        levels[path[j - 1]] = j - 1
+                    last = path
+                rows += [(host, node, f, number, float(c)) for (node, f), c in held.items()]
+                for node, below in children.items():
+                    layout = xxhash.xxh3_64_intdigest(np.array(below, dtype="<i8").tobytes()) >> 1
+                    rows += [(host, node, levels[node], c, layout, n / len(below), number) for c, n in Counter(below).items()]
+                if len(rows) > 20_000 or rows and i == len(b) - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                     rows = []
 
-    seen = pages.select("url", "html").mapInArrow(run, "host string, node long, feature long, layout long, page long")
-    # occurrences of each feature and layout in each different page; every step is a sum that combines before the shuffle
-    each = seen.groupBy("host", "node", "feature", "layout", "page").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    each = stored(each, "features")
+    rows = pages.select("url", "html")
+    return rows.mapInArrow(lambda b: run(b, True), LEAVES), rows.mapInArrow(lambda b: run(b, False), INNER)
+
+
+def style_tree(pages: DataFrame, on_pages: int = PAGES) -> DataFrame:
+    """Rows (host, node, pages, importance, top) of the merged trees. top: the largest importance in the node's branch, 1 where a node of it is on fewer than ``on_pages`` pages."""
+    leaves, inner = occurrences(pages)
+    # every step is a sum that combines before the shuffle
+    each = stored(leaves.groupBy("host", "node", "feature", "page").agg(F.max("c").alias("c")), "features")
     n_pages = each.groupBy("host", "node", "page").agg(F.lit(1)).groupBy("host", "node").agg(F.count(F.lit(1)).alias("pages"))
-    per = each.groupBy("host", "node", "feature", "layout").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.count(F.lit(1)).alias("on"))
-    # content: entropy of a feature's occurrences over pages, averaged over the node's occurrences
-    content = per.where("feature <> 0").groupBy("host", "node").agg((F.sum(F.col("total") * F.log("total") - F.col("clogc"))).alias("h"), F.sum("total").alias("all"))
-    # presentation: entropy of the node's layouts over the pages
-    layouts = per.where("layout <> 0").groupBy("host", "node").agg(F.sum(F.col("on") * F.log("on")).alias("nlogn"), F.sum("on").alias("n"))
-    m = F.log(F.col("pages").cast("double"))
-    tree = n_pages.join(content, ["host", "node"]).join(layouts, ["host", "node"], "left")
-    own = F.when(F.col("pages") > 1, 1 - F.col("h") / F.col("all") / m).otherwise(1.0)
-    shape = F.when(F.col("pages") > 1, F.coalesce((F.log("n") - F.col("nlogn") / F.col("n")) / m, F.lit(0.0))).otherwise(1.0)
-    # a node with text of its own is worth keeping however regular its layout
-    return tree.select("host", "node", "pages", F.greatest(own, 0.9 * own + 0.1 * shape).alias("importance"))
+    per = each.groupBy("host", "node", "feature").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
+    # entropy of a feature's occurrences over pages, averaged over the leaf's occurrences
+    content = per.groupBy("host", "node").agg(F.sum(F.col("total") * F.log("total") - F.col("clogc")).alias("h"), F.sum("total").alias("all")).join(n_pages, ["host", "node"])
+    own = F.when(F.col("pages") > 1, 1 - F.col("h") / F.col("all") / F.log(F.col("pages").cast("double"))).otherwise(1.0)
+    told = F.when(F.col("pages") >= on_pages, F.col("importance")).otherwise(1.0)
+    done = stored(content.select("host", "node", "pages", own.alias("importance")).withColumn("top", told), "leaf-importance")
+    # layouts by page, then how many pages have each; a child's share of its parent is its mean share of the layouts
+    once = stored(inner.groupBy("host", "node", "level", "child", "layout", "page").agg(F.max("share").alias("share")), "layouts")
+    styles = once.groupBy("host", "node", "level", "layout", "page").agg(F.lit(1)).groupBy("host", "node", "level", "layout").agg(F.count(F.lit(1)).alias("on"))
+    shape = styles.groupBy("host", "node", "level").agg(F.sum("on").alias("n"), F.sum(F.col("on") * F.log("on")).alias("nlogn"), F.count(F.lit(1)).alias("styles"))
+    entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("nlogn") / F.col("n")) / F.log(F.col("n").cast("double"))).otherwise(1.0)
+    shape = stored(shape.select("host", "node", "level", F.col("n").alias("pages"), F.col("styles"), entropy.alias("shape")), "shapes")
+    shares = stored(once.groupBy("host", "node", "child").agg(F.sum("share").alias("share")), "shares")
+    deepest = shape.agg(F.max("level")).first()[0]
+    for level in range(-1 if deepest is None else deepest, -1, -1):  # at most ``DEPTH`` levels, each a join of nodes, not of pages
+        here = shape.where(F.col("level") == level)
+        below = shares.join(here.select("host", "node"), ["host", "node"]).join(done.select("host", F.col("node").alias("child"), "importance", "top"), ["host", "child"])
+        below = below.groupBy("host", "node").agg((F.sum(F.col("share") * F.col("importance")) / F.sum("share")).alias("below"), F.max("top").alias("highest"))
+        left = F.pow(F.lit(SHARE), F.col("styles"))
+        made = here.join(below, ["host", "node"]).withColumn("importance", (1 - left) * F.col("shape") + left * F.col("below"))
+        made = made.select("host", "node", "pages", "importance", F.greatest("highest", told).alias("top"))
+        done = stored(done.unionByName(made), "importance")
+    return done
 
 
 def extract(pages: DataFrame, least: float = LEAST, on_pages: int = PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    low = style_tree(rows).where((F.col("pages") >= on_pages) & (F.col("importance") < least))
+    low = style_tree(rows, on_pages).where(F.col("top") < least)
     low = stored(low.groupBy("host").agg(F.collect_list("node").alias("low")), "low-nodes")
     host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
     # Spark broadcasts the low nodes only where the written table is below its own broadcast limit
