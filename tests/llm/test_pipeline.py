@@ -105,5 +105,5 @@ def test_query_wrappers(spark, tables):
 def test_run_and_entries(spark, tables):
     assert corpus_pipeline.run(spark, tables).count() > 0
     names = entries.queries()
-    assert [n.split("_")[0] for n in names] == sorted((n.split("_")[0] for n in names), key=lambda n: int(n[2:])) and len(names) == 10
+    assert [n.split("_")[0] for n in names] == sorted((n.split("_")[0] for n in names), key=lambda n: int(n[2:])) and len(names) == 13
     assert set(names) | {"pipeline"} <= set(__spark_entry__.queries()) and set(entries.oracle_sql()) <= set(names)
