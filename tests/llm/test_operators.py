@@ -258,7 +258,7 @@ def test_importance_by_definition(spark):
         below, last = {}, ()
         for _, _, nodes, t, sources in htmltext.marked(page):
             path = (*nodes, htmltext.child(nodes[-1], htmltext.TEXTS))
-            for f in htmltext.features(t, sources):
+            for f in htmltext.features([(t, sources)], shared.Hashes())[0]:
                 leaves.setdefault(path[-1], {}).setdefault(f, Counter())[i] += 1
             shared_ = 0
             while shared_ < min(len(path), len(last)) and path[shared_] == last[shared_]:

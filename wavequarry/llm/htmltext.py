@@ -24,6 +24,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavequarry.llm.shared import mixed, schema_of, stored, texts_of
+from wavequarry.llm.shared import Hashes, mixed, schema_of, stored, texts_of
 
 #: Pages of a host that tell of a node; the least importance that stays; the weight of marked parts; the share that a composite leaves to one layout's
 #: children; min-hashes of a text; depth.
@@ -242,18 +243,22 @@ TEXTS = "#text"
 SEEDS = np.random.default_rng(31).integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 
 
-def features(text: str, sources: tuple[str, ...]) -> set[int]:
-    """Min-hashes of the words, and hashes of links and images."""
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in set(text.encode("utf-8", "surrogatepass").split())], dtype=np.uint64)
-    least = mixed(h[:, None] * SEEDS).min(axis=0) >> np.uint64(1)
-    return {int(x) for x in least} | {xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in sources}
+def features(found: list[tuple[str, tuple[str, ...]]], hashes: Hashes) -> list[set[int]]:
+    """Of each text with its links and images: min-hashes of its words, and hashes of the links and images."""
+    if not found:
+        return []
+    words = [text.encode("utf-8", "surrogatepass").split() for text, _ in found]
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), dtype=np.uint64)
+    starts = np.cumsum([0, *map(len, words[:-1])])
+    least = np.array([np.minimum.reduceat(mixed(h * s), starts) >> np.uint64(1) for s in SEEDS]).T.tolist()
+    return [{*own, *(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in sources)} for own, (_, sources) in zip(least, found)]
 
 
 def occurrences(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Features of each leaf (``LEAVES``) and layouts and children of each inner element (``INNER``) in each page; pages that are equal count once."""
 
     def run(batches: Iterable[pa.RecordBatch], leaves: bool) -> Iterator[pa.RecordBatch]:
-        schema = schema_of(LEAVES if leaves else INNER)
+        schema, hashes = schema_of(LEAVES if leaves else INNER), Hashes(100_000)
         for b in batches:
             urls, rows = b.column(0).to_pylist(), []
             for i, page in texts_of(b, "html"):
@@ -262,11 +267,13 @@ def occurrences(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
                 levels: dict[int, int] = {}
                 held: Counter[tuple[int, int]] = Counter()
                 last: tuple[int, ...] = ()
-                for _, own, nodes, text, sources in marked(page):
-                    path = (*nodes, child(nodes[-1] if nodes else 0, TEXTS))
-                    if leaves:
-                        held.update((path[-1], f) for f in features(text, sources))
-                        continue
+                found = list(marked(page))
+                paths = [(*nodes, child(nodes[-1] if nodes else 0, TEXTS)) for _, _, nodes, _, _ in found]
+                if leaves:
+                    for path, own in zip(paths, features([(text, sources) for _, _, _, text, sources in found], hashes)):
+                        held.update((path[-1], f) for f in own)
+                    paths = []
+                for path in paths:
                     same = next((j for j, (x, y) in enumerate(zip(path, last)) if x != y), min(len(path), len(last)))
                     for j in range(max(1, min(same, len(path) - 1)), len(path)):  # what the block opens below what it shares with the one before
                         children.setdefault(path[j - 1], []).append(path[j])
