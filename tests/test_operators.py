@@ -1,6 +1,7 @@
 """Traps and properties of the signal operators on small hand-written rows."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -363,3 +364,16 @@ def test_discriminant_axes(spark):
     y = x @ axes.T
     means = np.array([y[g::3].mean(0) for g in range(3)])
     assert axes.shape == (2, 64) and all(np.argmin(((means - v) ** 2).sum(1)) == i % 3 for i, v in enumerate(y))
+
+
+def test_statistics_are_computed_once_a_signal(spark):
+    """By their cost: an expression that a lambda names again is evaluated for each element, and those of a thousand samples would take minutes."""
+    x = np.random.default_rng(3).normal(size=1000)
+    df = spark.createDataFrame([(x.tolist(),)], "x array<double>")
+    began = time.time()
+    got = df.select(*[f.alias(n) for n, f in {"z": A.self_normalized(F.col("x"), "zscore"), "u": A.self_normalized(F.col("x"), "minmax"), "p": A.unit_patch(F.col("x")), "s": A.std(F.col("x"), 1)}.items()]).first()
+    assert time.time() - began < 20
+    assert np.allclose(got["z"], (x - x.mean()) / (x.std(ddof=1) + 1e-8)) and np.allclose(got["p"], (x - x.mean()) / x.std(ddof=1))
+    assert np.allclose(got["u"], 2 * (x - x.min()) / (x.max() - x.min() + 1e-8) - 1) and got["s"] == pytest.approx(x.std(ddof=1))
+    empty = spark.createDataFrame([([], None), ([5.0], None)], "x array<double>, n array<double>").select(A.self_normalized(F.col("x"), "zscore").alias("z"), A.self_normalized(F.col("n"), "zscore").alias("n")).collect()
+    assert [tuple(r) for r in empty] == [([], None), ([0.0], None)]

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 SPEED, TARGET_MM = 1_540_000.0, 0.6
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once a row. Spark evaluates an expression that a lambda's body names again for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def total(a: Column, f=lambda v: v) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + f(v.cast("double")))
 
@@ -17,8 +22,8 @@ def mean(a: Column) -> Column:
 
 
 def std(a: Column, ddof: int = 0) -> Column:
-    m = mean(a)
-    return F.when(F.size(a) > ddof, F.sqrt(total(a, lambda v: (v - m) * (v - m)) / (F.size(a) - ddof))).otherwise(0.0)
+    squares = bound(mean(a), lambda m: total(a, lambda v: (v - m) * (v - m)))
+    return F.when(F.size(a) > ddof, F.sqrt(squares / (F.size(a) - ddof))).otherwise(0.0)
 
 
 def indices(n: Column) -> Column:
@@ -92,19 +97,17 @@ def band_edges(fc: Column, fs: Column, width: float) -> tuple[Column, Column]:
 def normalized(a: Column, m: Column, s: Column, low: Column, high: Column, mode: str, eps: float = 1e-8) -> Column:
     """With stored statistics: z-score divides by s + eps, min-max maps to [0, 1]."""
     if mode == "zscore":
-        return F.transform(a, lambda v: (v - m) / (s + eps))
+        return bound(F.struct(m.alias("m"), s.alias("s")), lambda x: F.transform(a, lambda v: (v - x["m"]) / (x["s"] + eps)))
     if mode == "minmax":
-        return F.transform(a, lambda v: (v - low) / (high - low + eps))
+        return bound(F.struct(low.alias("low"), high.alias("high")), lambda x: F.transform(a, lambda v: (v - x["low"]) / (x["high"] - x["low"] + eps)))
     return F.transform(a, lambda v: v.cast("double"))
 
 
 def self_normalized(a: Column, mode: str, eps: float = 1e-8) -> Column:
     """With own statistics: z-score with the sample deviation, min-max to [-1, 1]."""
     if mode == "zscore":
-        m, s = mean(a), std(a, 1)
-        return F.transform(a, lambda v: (v - m) / (s + eps))
-    low, high = F.array_min(a), F.array_max(a)
-    return F.transform(a, lambda v: 2 * (v - low) / (high - low + eps) - 1)
+        return bound(a, lambda a: bound(F.struct(mean(a).alias("m"), std(a, 1).alias("s")), lambda x: F.transform(a, lambda v: (v - x["m"]) / (x["s"] + eps))))
+    return bound(a, lambda a: bound(F.struct(F.array_min(a).alias("low"), F.array_max(a).alias("high")), lambda x: F.transform(a, lambda v: 2 * (v - x["low"]) / (x["high"] - x["low"] + eps) - 1)))
 
 
 def routed(fs: Column, windows: list[int], missing: str = "first") -> Column:
@@ -135,8 +138,7 @@ def resampling(n_raw: Column, length: Column) -> Column:
 
 def unit_patch(a: Column, least: float = 1e-6) -> Column:
     """A patch less its mean, over its sample deviation, which is at least ``least``."""
-    m, s = mean(a), F.greatest(std(a, 1), F.lit(least))
-    return F.transform(a, lambda v: (v - m) / s)
+    return bound(a, lambda a: bound(F.struct(mean(a).alias("m"), F.greatest(std(a, 1), F.lit(least)).alias("s")), lambda x: F.transform(a, lambda v: (v - x["m"]) / x["s"])))
 
 
 def padded(a: Column, length: Column) -> Column:

@@ -385,10 +385,12 @@ def i25_filter_kinds(spark, d):
 
 
 def embedding_stream(spark, d):
-    """Embeddings as a stream of signals with a rate. The stream reads a folder of files, which a table of a single file is none."""
+    """Embeddings as a stream of signals with a rate. The stream reads a folder of files, which a table of a single file is none; in two batches,
+    each with a file for every second core."""
     path, e = io.workspace(spark, "arrived"), table(spark, d, "embeddings")
-    e.repartition(4, "vec_id").write.parquet(path)
-    rows = stream.source(spark, path, e.schema, 2)
+    files = max(4, spark.sparkContext.defaultParallelism)
+    e.repartition(files, "vec_id").write.parquet(path)
+    rows = stream.source(spark, path, e.schema, -(-files // 2))
     return rows.select("vec_id", "label", F.col("embedding").alias("signal"), F.when(F.col("vec_id") % 5 == 0, 8e6).when(F.col("vec_id") % 5 == 1, 20e6).when(F.col("vec_id") % 5 == 2, 40.96e6).alias("sampling_frequency_hz"))
 
 
