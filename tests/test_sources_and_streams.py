@@ -5,6 +5,7 @@ import json
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,18 @@ def test_a_batch_that_is_committed_again_replaces_itself(tmp_path):
     assert len(commits) == 1 and json.loads(open(commits[0]).read())["attempt"] == second.name
     sink.abort([first], 0)
     assert len(glob.glob(str(tmp_path / "x/data/*.parquet"))) == 3
+
+
+def test_small_files_of_records_go_together(spark):
+    """Many small files make few batches; each file's records are numbered for themselves, and empty files have none."""
+    class Caught:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    many = pa.RecordBatch.from_pydict({"session": list(range(6000)), "channel": pa.array([0] * 6000, pa.int32()), "content": [b"x" * 24] * 6000})
+    sizes = [len(b) for b in io.byte_records(Caught(), 8, 1)(iter([many]))]
+    assert sum(sizes) == 18_000 and len(sizes) == 5
+    rows = [(i, i % 2, bytes([i % 251] * 4 * (i % 4))) for i in range(3000)]
+    got = io.byte_records(spark.createDataFrame(rows, "session long, channel int, content binary").coalesce(1), 4, 1)
+    want = [(i, c, k, [float(i % 251)] * 3) for i, c, x in rows for k in range(len(x) // 4)]
+    assert sorted((r["session"], r["channel"], r["acq"], r["samples"]) for r in got.collect()) == want

@@ -15,7 +15,10 @@ from wavequarry.functions import arrays as A
 from wavequarry.functions import scan
 from wavequarry.functions.rank import exact_rank, seeded_key
 from wavequarry.functions.scan import workspace  # noqa: F401
-from wavequarry.sources import recordfiles
+from wavequarry.sources import byteranges, recordfiles
+
+#: Bytes of small files of records that are decoded at once.
+TOGETHER = 1 << 20
 
 
 def discover(spark: SparkSession, root: str, glob: str = "*", recursive: bool = False) -> DataFrame:
@@ -95,15 +98,25 @@ def acquisition(rank: int, frame: Column, wave: Column, n_waves: Column) -> Colu
 def byte_records(files: DataFrame, bytes_per_acq: int, header: int) -> DataFrame:
     """files: session, channel, content. Fixed-size records without their header bytes, as floats; a size that doesn't divide is an error."""
 
+    width = bytes_per_acq - header
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for session, channel, content in zip(*(c.to_pylist() for c in b.columns)):
-                if len(content) % bytes_per_acq:
-                    raise ValueError(f"size of session {session}, channel {channel} isn't a multiple of {bytes_per_acq}")
-                x = np.frombuffer(content, dtype=np.uint8).reshape(-1, bytes_per_acq)[:, header:].astype(np.float32)
-                for i in range(0, len(x), 1000):
-                    part = x[i : i + 1000]
-                    yield pa.RecordBatch.from_arrays([pa.array([session] * len(part), pa.int64()), pa.array([channel] * len(part), pa.int32()), pa.array(range(i, i + len(part)), pa.int64()), pa.array(list(part), pa.list_(pa.float32()))], names=["session", "channel", "acq", "samples"])
+            contents = b.column(2).to_pylist()
+            sizes = np.array([len(c) for c in contents], dtype=np.int64)
+            for i in np.flatnonzero(sizes % bytes_per_acq)[:1].tolist():
+                raise ValueError(f"size of session {b.column(0)[i]}, channel {b.column(1)[i]} isn't a multiple of {bytes_per_acq}")
+            # small files go together, a large one alone
+            cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // TOGETHER)) + 1
+            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
+                counts = sizes[start:stop] // bytes_per_acq
+                of = np.repeat(np.arange(start, stop), counts)
+                acq = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+                x = np.frombuffer(b"".join(contents[start:stop]), dtype=np.uint8).reshape(-1, bytes_per_acq)[:, header:]
+                for i in range(0, len(of), byteranges.BATCH):
+                    part, at = x[i : i + byteranges.BATCH].astype(np.float32), pa.array(of[i : i + byteranges.BATCH])
+                    samples = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * np.int32(width)), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(acq[i : i + byteranges.BATCH]), samples], names=["session", "channel", "acq", "samples"])
 
     return files.select(F.col("session").cast("long"), F.col("channel").cast("int"), "content").mapInArrow(run, "session long, channel int, acq long, samples array<float>")
 
