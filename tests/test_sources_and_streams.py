@@ -205,3 +205,16 @@ def test_small_files_of_records_go_together(spark):
     got = io.byte_records(spark.createDataFrame(rows, "session long, channel int, content binary").coalesce(1), 4, 1)
     want = [(i, c, k, [float(i % 251)] * 3) for i, c, x in rows for k in range(len(x) // 4)]
     assert sorted((r["session"], r["channel"], r["acq"], r["samples"]) for r in got.collect()) == want
+
+
+def test_committed_rows_of_many_files(spark, tmp_path):
+    """Tasks read what the manifest lists: files without a commit aren't even opened, columns that some files lack are null there."""
+    path = str(tmp_path / "out")
+    recordfiles.write_files(spark.range(100).withColumn("k", (F.col("id") % 3).cast("int")).repartition(2, "k").sortWithinPartitions("k"), path, 7, ["k"])
+    recordfiles.write_files(spark.range(100, 110).withColumn("k", F.lit(None).cast("int")).coalesce(1), path, 7, ["k"])
+    (tmp_path / "out/data/k=0/part-left-00000.parquet").write_bytes(b"what a failed task has left")
+    back = recordfiles.committed_rows(spark, path)
+    assert sorted((r["id"], r["k"]) for r in back.collect()) == [(i, i % 3 if i < 100 else None) for i in range(110)]
+    sizes = {r["file"]: r["count"] for r in back.groupBy("file").count().collect()}
+    assert sizes == {r["file"]: r["rows"] for r in recordfiles.committed_files(spark, path).collect()} and max(sizes.values()) == 7
+    assert len(sizes) == 5 * 3 + 2

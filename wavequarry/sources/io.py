@@ -163,7 +163,9 @@ def shards(df: DataFrame, key: str, per_shard: int, seed: int, partition: list[s
 def write_shards(df: DataFrame, path: str, per_shard: int, partition: list[str]) -> None:
     """A file for each shard of each partition, its records in order, committed by a manifest."""
     keys = [*partition, "shard_id"]
-    recordfiles.write_files(df.repartition(*keys).sortWithinPartitions(*keys, "pos_in_shard"), path, per_shard, keys)
+    # a number of tasks of its own: of rows this small adaptive execution would leave few tasks with all the files
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    recordfiles.write_files(dealt.sortWithinPartitions(*keys, "pos_in_shard"), path, per_shard, keys)
 
 
 def offsets(df: DataFrame, key: str, signal: str) -> DataFrame:

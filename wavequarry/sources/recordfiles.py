@@ -13,14 +13,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamArrowWriter, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from wavequarry.sources.byteranges import filesystem
+from wavequarry.sources.byteranges import BATCH, filesystem
 
 ROWS = 1024
 DATA, PARTS, COMMITS = "data", "_manifest/parts", "_manifest/commits"
@@ -31,6 +32,16 @@ class Attempt(WriterCommitMessage):
     name: str
 
 
+def runs(columns: list[pa.Array], n: int) -> list[tuple[int, int]]:
+    """Stretches of rows that are equal in all columns."""
+    codes = [c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in columns]
+    new = np.zeros(n, dtype=bool)
+    for c in codes:
+        new[1:] |= c[1:] != c[:-1]
+    starts = [0, *np.flatnonzero(new).tolist()] if n else []
+    return list(zip(starts, [*starts[1:], n]))
+
+
 class Writing:
     """Options: path, rows (of a file at most), keys (columns by which files differ; rows come sorted by them)."""
 
@@ -57,17 +68,19 @@ class Writing:
         try:
             n = 0
             for batch in iterator:
-                values = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in self.keys]
-                start = 0
-                for i in range(len(batch)):
-                    at = tuple(v[i] for v in values)
-                    if n == self.rows or n and at != key:
-                        held.append(batch.slice(start, i - start))
+                columns = [batch.column(batch.schema.get_field_index(k)) for k in self.keys]
+                for start, stop in runs(columns, len(batch)):
+                    at = tuple(c[start].as_py() for c in columns)
+                    if n and at != key:
                         close()
-                        start, n = i, 0
-                    key, n = at, n + 1
-                if len(batch) > start:
-                    held.append(batch.slice(start))
+                        n = 0
+                    key = at
+                    while start < stop:
+                        if n == self.rows:
+                            close()
+                            n = 0
+                        held.append(batch.slice(start, min(self.rows - n, stop - start)))
+                        start, n = start + len(held[-1]), n + len(held[-1])
             close()
             if files:
                 fs.create_dir(f"{root}/{PARTS}", recursive=True)
@@ -157,11 +170,42 @@ def committed_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(f"{path}/{PARTS}").join(commits, "attempt", "left_semi").drop("attempt")
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Files dealt evenly to tasks; manifests alone are too small to be."""
+    return files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism)
+
+
 def committed_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the files that count, with their file."""
-    files = committed_files(spark, path).select("file", F.substring_index("file", "/", -1).alias("_name"))
-    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{path}/{DATA}").select("*", F.col("_metadata.file_name").alias("_name"))
-    return rows.join(files, "_name").drop("_name")
+    """The rows of the files that count, with their file. Tasks open the files that the manifest lists; the driver lists none."""
+    files = committed_files(spark, path)
+    first = files.select("file").first()
+    if first is None:
+        return spark.read.option("recursiveFileLookup", True).parquet(f"{path}/{DATA}").withColumn("file", F.lit("")).limit(0)
+    schema = StructType([*spark.read.parquet(f"{path}/{first[0]}").schema.fields, StructField("file", StringType())])
+    names = schema.names[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(path)
+        held, n = [], 0
+
+        def together() -> list[pa.RecordBatch]:
+            return pa.concat_tables(held, promote_options="permissive").combine_chunks().to_batches()
+
+        for b in batches:
+            for file in b.column(0).to_pylist():
+                with fs.open_input_file(f"{root}/{file}") as source:
+                    table = pa.parquet.ParquetFile(source).read(use_threads=False)
+                # a column that a file lacks is null there
+                table = pa.table([table[c] if c in table.column_names else pa.nulls(len(table)) for c in names], names=names)
+                held.append(table.append_column("file", pa.array([file] * len(table), pa.string())))
+                n += len(table)
+                if n >= BATCH:
+                    yield from together()
+                    held, n = [], 0
+        if held:
+            yield from together()
+
+    return spread(files.select("file")).mapInArrow(run, schema)
 
 
 def drop_uncommitted(spark: SparkSession, path: str) -> int:
