@@ -93,15 +93,14 @@ def a20_metric_logs(spark, d):
     return experiments.last_epoch(rows, ["grp", "run"], "epoch", "line_no", "acc").select("grp", "run", r6("acc", "acc"))
 
 
-@query("SELECT 'group_' || (c_nationkey % 7) AS grp, 'run_' || c_nationkey AS run, (count(*) / 10.0)::DOUBLE AS lr, CASE WHEN c_nationkey % 2 = 0 THEN min(c_mktsegment) END AS encoder, NULL AS absent FROM customer GROUP BY c_nationkey")
+@query("SELECT 'group_' || (c_custkey % 7) AS grp, 'run_' || c_custkey AS run, (c_custkey % 3 / 10.0)::DOUBLE AS lr, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS encoder, NULL AS absent FROM customer")
 def a20_run_configs(spark, d):
-    """Nested configurations, one a nation, written as files, one a run, and read back by dotted paths."""
-    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min("c_mktsegment").alias("segment"))
-    config = F.to_json(F.struct(F.struct((F.col("n") / 10).alias("lr"), F.struct(F.when(F.col("c_nationkey") % 2 == 0, F.col("segment")).alias("name")).alias("encoder")).alias("model")))
+    """Nested configurations, one a customer, written as files, one a run, and read back by dotted paths."""
+    c = table(spark, d, "customer")
+    config = F.to_json(F.struct(F.struct((F.col("c_custkey") % 3 / 10).alias("lr"), F.struct(F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("name")).alias("encoder")).alias("model")))
     path = io.workspace(spark, "configs")
-    rows = c.select(F.concat(F.lit("group_"), F.col("c_nationkey") % 7).alias("group"), F.concat(F.lit("run_"), "c_nationkey").alias("run"), config.alias("value"))
-    rows.write.partitionBy("group", "run").text(path)
-    got = io.run_configs(spark, path, "*.txt")
+    io.write_run_configs(c.select(F.concat(F.lit("group_"), F.col("c_custkey") % 7).alias("group"), F.concat(F.lit("run_"), "c_custkey").alias("run"), config.alias("value")), path)
+    got = io.committed_run_configs(spark, path)
     return got.select("grp", "run", io.dig(F.col("config"), "model.lr").cast("double").alias("lr"), io.dig(F.col("config"), "model.encoder.name").alias("encoder"), io.dig(F.col("config"), "model.decay").alias("absent"))
 
 

@@ -241,17 +241,34 @@ def metric_logs(spark: SparkSession, root: str) -> DataFrame:
 def run_configs(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
     """grp, run and config (JSON) of every ``group_*/run_*`` configuration file; YAML is turned into JSON where PyYAML is there."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return configs_of(rows, not glob.endswith(".json"))
+
+
+def write_run_configs(df: DataFrame, path: str) -> None:
+    """group, run, value as a file for each run, committed by a manifest."""
+    dealt = df.select("group", "run", "value").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run")
+    recordfiles.write_files(dealt.sortWithinPartitions("group", "run"), path, 1, ["group", "run"], "text")
+
+
+def committed_run_configs(spark: SparkSession, path: str) -> DataFrame:
+    """``run_configs`` of what ``write_run_configs`` has written, however many files: the manifest lists them, not the driver."""
+    return configs_of(recordfiles.committed_texts(spark, path), True)
+
+
+def configs_of(files: DataFrame, yaml_files: bool) -> DataFrame:
+    """files: path, value (the whole text)."""
     config = F.col("value")
-    if not glob.endswith(".json"):
+    if yaml_files:
 
         @F.pandas_udf("string")
         def config_json(text: pd.Series) -> pd.Series:
             import yaml
 
-            return text.map(lambda t: json.dumps(yaml.safe_load(t)))
+            loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+            return text.map(lambda t: json.dumps(yaml.load(t, loader)))
 
         config = config_json("value")
-    return rows.select(F.regexp_extract("path", r"(group_\d+)", 1).alias("grp"), F.regexp_extract("path", r"(run_\d+)", 1).alias("run"), config.alias("config"))
+    return files.select(F.regexp_extract("path", r"(group_\d+)", 1).alias("grp"), F.regexp_extract("path", r"(run_\d+)", 1).alias("run"), config.alias("config"))
 
 
 def dig(config: Column, path: str) -> Column:

@@ -43,11 +43,13 @@ def runs(columns: list[pa.Array], n: int) -> list[tuple[int, int]]:
 
 
 class Writing:
-    """Options: path, rows (of a file at most), keys (columns by which files differ; rows come sorted by them)."""
+    """Options: path, rows (of a file at most), keys (columns by which files differ; rows come sorted by them), kind (parquet, or text: the lines
+    of a column ``value``)."""
 
     def __init__(self, options: dict):
         self.root, self.rows = options["path"].rstrip("/"), int(options.get("rows", ROWS))
         self.keys = [k for k in options.get("keys", "").split(",") if k]
+        self.kind = options.get("kind", "parquet")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Attempt:
         fs, root = filesystem(self.root)
@@ -59,10 +61,13 @@ class Writing:
                 table = pa.Table.from_batches(held)
                 folder = "/".join([DATA, *[f"{k}={quote(str(v), safe='')}" for k, v in zip(self.keys, key)]])
                 fs.create_dir(f"{root}/{folder}", recursive=True)
-                file = f"{folder}/part-{name}-{len(files):05d}.parquet"
+                file = f"{folder}/part-{name}-{len(files):05d}.{'txt' if self.kind == 'text' else 'parquet'}"
                 files.append({"attempt": name, "file": file, "rows": len(table), **{k: str(v) for k, v in zip(self.keys, key)}})
                 with fs.open_output_stream(f"{root}/{file}") as out:
-                    pa.parquet.write_table(table, out, compression="zstd")
+                    if self.kind == "text":
+                        out.write("".join(f"{v or ''}\n" for v in table["value"].to_pylist()).encode("utf-8", "surrogatepass"))
+                    else:
+                        pa.parquet.write_table(table, out, compression="zstd")
                 held = []
 
         try:
@@ -158,10 +163,10 @@ class RecordFiles(DataSource):
         return StreamFiles(dict(self.options))
 
 
-def write_files(df: DataFrame, path: str, rows: int = ROWS, keys: list[str] | None = None) -> None:
+def write_files(df: DataFrame, path: str, rows: int = ROWS, keys: list[str] | None = None, kind: str = "parquet") -> None:
     """``df`` as files of at most ``rows`` rows, in its order; a file holds one combination of ``keys``."""
     df.sparkSession.dataSource.register(RecordFiles)
-    df.write.format("record_files").mode("append").option("rows", rows).option("keys", ",".join(keys or [])).save(path)
+    df.write.format("record_files").mode("append").option("rows", rows).option("keys", ",".join(keys or [])).option("kind", kind).save(path)
 
 
 def committed_files(spark: SparkSession, path: str) -> DataFrame:
@@ -208,6 +213,23 @@ def committed_rows(spark: SparkSession, path: str) -> DataFrame:
     return spread(files.select("file")).mapInArrow(run, schema)
 
 
+def committed_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path, value: each text file that counts as a whole, opened in tasks; the driver lists none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(path)
+        for b in batches:
+            files = b.column(0).to_pylist()
+            for i in range(0, len(files), 1000):
+                texts = []
+                for file in files[i : i + 1000]:
+                    with fs.open_input_file(f"{root}/{file}") as source:
+                        texts.append(source.read())
+                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 1000], pa.array(texts, pa.binary()).cast(pa.string())], names=["path", "value"])
+
+    return spread(committed_files(spark, path).select("file")).mapInArrow(run, "path string, value string")
+
+
 def drop_uncommitted(spark: SparkSession, path: str) -> int:
     """Deletes the files that no commit lists, such as those of tasks that ran when their job failed; for times when nothing is written there."""
     kept = committed_files(spark, path).select(F.substring_index("file", "/", -1).alias("_name"))
