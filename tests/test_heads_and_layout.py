@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wavequarry.functions import scan
 from wavequarry.operators import evaluate, heads, layout
 
 
@@ -76,3 +77,14 @@ def test_bins_of_one_long_owner(spark, kind):
             want |= {(o, b, d): value[d] for d in range(3)}
     assert {(r["owner_id"], r["bin"], r["dim"]) for r in got} == set(want)
     assert all(r["v"] == pytest.approx(want[r["owner_id"], r["bin"], r["dim"]]) for r in got)
+
+
+def test_coordinates_are_not_broadcast(spark, monkeypatch):
+    """However small they are: a broadcast passes through the driver, in every step."""
+    plans, stored = [], scan.stored
+    monkeypatch.setattr(scan, "stored", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or stored(df, name))
+    df = spark.createDataFrame([(i, [float(i), float(i % 7)]) for i in range(40)], "id long, x array<double>")
+    out = layout.spectral_layout(layout.neighbour_graph(df, "id", "x"), rounds=1, steps=1)
+    assert out.count() == 40
+    joins = [p for p in plans if "Join" in p]
+    assert joins and not any("BroadcastHashJoin" in p for p in joins)

@@ -77,7 +77,8 @@ def spectral_layout(edges: DataFrame, k: int = 2, rounds: int = ROUNDS, steps: i
     """key, degree and y: ``k`` orthonormal coordinates that change least along the edges (the graph's leading vectors but the constant one), and
     ``quotients``: how much of each is kept by a step to the neighbours, largest first.
 
-    Every step is a join of the edges with the coordinates and a grouped sum. More columns than wanted are iterated, so that the wanted ones settle."""
+    Every step is a join of the edges with the coordinates and a grouped sum; by merging, as a broadcast would send the coordinates through the driver
+    in each step. More columns than wanted are iterated, so that the wanted ones settle."""
     edges = scan.stored(edges, "edges")
     wide = k + 2
     start = F.array(*[F.rand(seed + i) - 0.5 for i in range(wide)])
@@ -85,14 +86,14 @@ def spectral_layout(edges: DataFrame, k: int = 2, rounds: int = ROUNDS, steps: i
     for _ in range(rounds):
         for _ in range(steps):
             there = nodes.select(F.col("key").alias("b"), F.transform("y", lambda v: v / F.sqrt("degree")).alias("z"))
-            moved = edges.join(there, "b").groupBy(F.col("a").alias("key")).agg(*[F.sum(F.col("w") * F.col("z")[i]).alias(f"s{i}") for i in range(wide)])
-            stepped = nodes.join(moved, "key").select("key", "degree", F.array(*[(F.col("y")[i] + F.col(f"s{i}") / F.sqrt("degree")) / 2 for i in range(wide)]).alias("y"))
+            moved = edges.join(there.hint("merge"), "b").groupBy(F.col("a").alias("key")).agg(*[F.sum(F.col("w") * F.col("z")[i]).alias(f"s{i}") for i in range(wide)])
+            stepped = nodes.join(moved.hint("merge"), "key").select("key", "degree", F.array(*[(F.col("y")[i] + F.col(f"s{i}") / F.sqrt("degree")) / 2 for i in range(wide)]).alias("y"))
             nodes = scan.stored(stepped, "nodes")
         nodes = scan.stored(orthonormal(nodes, wide), "nodes")
     # within the iterated space: rotate to the axes of the step itself
     there = nodes.select(F.col("key").alias("b"), F.transform("y", lambda v: v / F.sqrt("degree")).alias("z"))
-    moved = edges.join(there, "b").groupBy(F.col("a").alias("key")).agg(*[F.sum(F.col("w") * F.col("z")[i]).alias(f"s{i}") for i in range(wide)])
-    both = nodes.join(moved, "key")
+    moved = edges.join(there.hint("merge"), "b").groupBy(F.col("a").alias("key")).agg(*[F.sum(F.col("w") * F.col("z")[i]).alias(f"s{i}") for i in range(wide)])
+    both = nodes.join(moved.hint("merge"), "key")
     pairs = [(i, j) for i in range(wide) for j in range(wide)]
     step = np.array(sums_of(both, *[f"y[{i}] * s{j} / sqrt(degree)" for i, j in pairs])).reshape(wide, wide)
     values, vectors = np.linalg.eigh((step + step.T) / 2)
