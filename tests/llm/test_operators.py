@@ -577,6 +577,17 @@ def test_toxicity_learns(spark, hard):
     assert toxicity.score(df.limit(0), labels).count() == 0
 
 
+def test_toxicity_is_fitted_in_a_task(spark):
+    """The driver gets the model alone: it numbers no words. Its model is the one of the same rows in any order."""
+    rows = [(i, ("calm lake " if i % 3 else "vile brute ") + text(random.Random(i), 20), "en", int(i % 3 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    toxicity.PIECES.clear()
+    m = toxicity.fitted(df.drop("toxic"), df.select("doc_id", "toxic"))
+    assert not toxicity.PIECES
+    want = toxicity.model_of(df.where(~toxicity.is_held_out()).orderBy("doc_id", ascending=False).toArrow())
+    assert (m.embedding == want.embedding).all() and (m.out == want.out).all() and (m.slope, m.shift, m.thresholds) == (want.slope, want.shift, want.thresholds)
+
+
 def plain_logit(m, words):
     """The network by loops over its definition."""
     x = m.embedding[words].reshape(len(words), toxicity.DIM)

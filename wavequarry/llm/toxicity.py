@@ -5,7 +5,8 @@ a logistic output. The output is calibrated on labelled rows kept from training:
 overall threshold at a score of 0.5, and each language gets a threshold of its own for ``toxic``.
 
 The classifier is fitted on at most ``sample`` labelled rows (those with the smallest hashes of their ids) of at most
-``LONGEST`` characters each, which bounds what reaches the driver; scoring covers every whole text of any length. Labels, language, source and id are never inputs of a score.
+``LONGEST`` characters each, which bounds what reaches the one task that fits it; the driver gets the model alone, never a text. Scoring covers every whole text of any length.
+Labels, language, source and id are never inputs of a score.
 
 Defined cases: a null or empty text is scored by its bias, without words; without labelled rows of both classes every score
 is 0; a document labelled more than once counts as toxic if any label says so, and each row of a repeated id is scored and
@@ -16,6 +17,7 @@ names win); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -187,7 +189,20 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     columns = [F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang")]
     # at most ``sample`` small rows are broadcast
-    rows = docs.select(*columns).where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = docs.select(*columns).where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "toxic")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model_of(pa.Table.from_batches(held)))], pa.binary())], names=["model"])
+
+    # the sample is bounded, so one task can fit it; what fitting takes then is not the driver's memory
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else None
+
+
+def model_of(rows: pa.Table) -> Model | None:
+    """The model of rows (doc_id, text, lang, toxic), in whatever order they come; None without both classes."""
+    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     y = np.array(rows["toxic"].to_pylist(), dtype=np.float32)
     if not 0 < y.sum() < len(y):
         return None
