@@ -289,6 +289,28 @@ def test_importance_by_definition(spark):
         assert top[n] == pytest.approx(max([x if m >= 5 else 1.0, *below]))
 
 
+def test_style_tree_parses_a_page_once_and_holds_it_in_a_row(spark):
+    """Leaves and inner elements of a page come from one pass; equal pages of a host are one row, others are not."""
+    page = "<body><div><p>a b a</p><p>a b</p><p>c <a href=/x>d</a><a href=/x>e</a></p></div><div><p>f</p></div></body>"
+    hosts = ["http://h/1", "https://www.H/2", "http://i/1", None]
+    df = spark.createDataFrame([(u, page) for u in hosts] + [("http://h/3", page + "<p>g"), ("http://h/4", None)], "url string, html string")
+    made = htmltext.merged(df.select(htmltext.host(), "html"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    rows = made.collect()
+    assert len(rows) == 4 and len({r["host"] for r in rows}) == 3 and len({r["page"] for r in rows}) == 2
+    want, shares = Counter(), {}
+    for _, _, nodes, t, sources in htmltext.marked(page):
+        leaf = htmltext.child(nodes[-1], htmltext.TEXTS)
+        want.update((leaf, f) for f in htmltext.features([(t, sources)], shared.Hashes())[0])
+        shares.setdefault(nodes[1], Counter())[nodes[2]] += 1
+    same = min((r["page"] for r in rows), key=lambda p: -sum(r["page"] == p for r in rows))
+    for r in (r for r in rows if r["page"] == same):
+        assert dict(zip(zip(r["leaf"], r["feature"]), r["c"])) == want and len(r["c"]) == len(want)
+        assert len(r["inner"]) == len(set(r["inner"])) == len(r["level"]) == len(r["layout"]) and set(r["parent"]) == set(r["inner"])
+        got = dict(zip(zip(r["parent"], r["child"]), r["share"]))
+        assert all(got[n, c] == k / below.total() for n, below in shares.items() for c, k in below.items())
+
+
 def test_style_tree_finds_what_differs_in_a_word_and_regions_of_one_layout(spark):
     """Neither the tag nor the class of these parts says what they are."""
     rng = random.Random(12)

@@ -29,7 +29,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavequarry.llm.shared import Hashes, mixed, schema_of, stored, texts_of
@@ -38,8 +38,8 @@ from wavequarry.llm.shared import Hashes, mixed, schema_of, stored, texts_of
 #: children; min-hashes of a text; depth.
 PAGES, LEAST, PRIOR, SHARE, HASHES, DEPTH = 4, 0.3, 0.25, 0.9, 8, 48
 TEXT = "page_id long, url string, text string, n_chars long"
-LEAVES = "host string, node long, feature long, page long, c double"
-INNER = "host string, node long, level int, child long, layout long, share double, page long"
+#: Of each page: its leaves' features and how many of a leaf's texts have each; its inner elements with their levels and layouts; and their children.
+TREE = "host long, page long, leaf array<long>, feature array<long>, c array<double>, inner array<long>, level array<int>, layout array<long>, parent array<long>, child array<long>, share array<double>"
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^\s\"'>/]*)(?:\"[^\"]*\"|'[^']*'|[^\"'>])*>?|[^<]+|<", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s>/\"']*)")
@@ -220,9 +220,10 @@ def without(found: list[tuple], doubtful: list[bool], articles: set[tuple[int, .
     return gone
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "", re.I)
-    return m[1].lower().removeprefix("www.") if m else ""
+def host() -> Column:
+    """A hash of the name of the url's host."""
+    name = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    return F.xxhash64(F.regexp_replace(F.lower(name), r"^www\.", "")).alias("host")
 
 
 def main_text(page: str, low: frozenset[int] = frozenset()) -> str:
@@ -245,71 +246,110 @@ SEEDS = np.random.default_rng(31).integers(1, 1 << 63, HASHES, dtype=np.uint64)
 
 def features(found: list[tuple[str, tuple[str, ...]]], hashes: Hashes) -> list[set[int]]:
     """Of each text with its links and images: min-hashes of its words, and hashes of the links and images."""
+    out: list[set[int]] = [set() for _ in found]
+    for i, f in zip(*(x.tolist() for x in told(found, hashes))):
+        out[i].add(f)
+    return out
+
+
+def told(found: list[tuple[str, tuple[str, ...]]], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, feature) of all ``features``, with repeats, as two columns."""
     if not found:
-        return []
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     words = [text.encode("utf-8", "surrogatepass").split() for text, _ in found]
     h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), dtype=np.uint64)
     starts = np.cumsum([0, *map(len, words[:-1])])
-    least = np.array([np.minimum.reduceat(mixed(h * s), starts) >> np.uint64(1) for s in SEEDS]).T.tolist()
-    return [{*own, *(xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in sources)} for own, (_, sources) in zip(least, found)]
-
+    least = np.array([np.minimum.reduceat(mixed(h * s), starts) >> np.uint64(1) for s in SEEDS])
+    of = [i for i, (_, sources) in enumerate(found) for _ in sources]
+    own = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for _, sources in found for x in sources]
+    return np.r_[np.tile(np.arange(len(found)), HASHES), np.array(of, np.int64)], np.r_[least.astype(np.int64).ravel(), np.array(own, np.int64)]
+
+
+def counted(leaf: np.ndarray, text: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaf, feature, how many of its texts have it) from rows (leaf, text, feature) with repeats."""
+    order = np.lexsort((text, feature, leaf))
+    leaf, text, feature = leaf[order], text[order], feature[order]
+    new = np.r_[True, (leaf[1:] != leaf[:-1]) | (feature[1:] != feature[:-1])][: len(leaf)]
+    another = new | np.r_[True, text[1:] != text[:-1]][: len(leaf)]
+    first = np.flatnonzero(new)
+    return leaf[first], feature[first], (np.add.reduceat(another, first, dtype=np.float64) if len(first) else np.empty(0))
+
+
+def layouts(paths: list[tuple[int, ...]]) -> list[list]:
+    """Columns inner element, level, layout; and element, child, share of the element's children: of a page whose texts are below these paths."""
+    children: dict[int, list[int]] = {}
+    levels: dict[int, int] = {}
+    last: tuple[int, ...] = ()
+    for path in paths:
+        same = next((j for j, (x, y) in enumerate(zip(path, last)) if x != y), min(len(path), len(last)))
+        for j in range(max(1, min(same, len(path) - 1)), len(path)):  # what the block opens below what it shares with the one before
+            children.setdefault(path[j - 1], []).append(path[j])
+            levels[path[j - 1]] = j - 1
+        last = path
+    layout = [xxhash.xxh3_64_intdigest(np.array(below, dtype="<i8").tobytes()) >> 1 for below in children.values()]
+    rows = [(node, c, n / len(below)) for node, below in children.items() for c, n in Counter(below).items()]
+    return [list(children), [levels[x] for x in children], layout, *([list(x) for x in zip(*rows)] or [[], [], []])]
+
+
+def merged(pages: DataFrame) -> DataFrame:
+    """A row (``TREE``) for each page, which is parsed once. pages: host, html. Pages of a host that are equal are one."""
 
-def occurrences(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Features of each leaf (``LEAVES``) and layouts and children of each inner element (``INNER``) in each page; pages that are equal count once."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, hashes = schema_of(TREE), Hashes(100_000)
+        keys: list[tuple[int, int]] = []
+        of: dict[tuple[int, int], int] = {}  # numbers of the (page, leaf) that are held
+        texts: list[tuple[str, tuple[str, ...]]] = []
+        leaves: list[int] = []  # of each text
+        inner: list[list[list]] = []
+
+        def done() -> pa.RecordBatch:
+            text, feature = told(texts, hashes)
+            leaf, feature, c = counted(np.array(leaves)[text], text, feature)
+            page, node = (np.array(x, dtype=np.int64)[leaf] for x in zip(*of))
+            ends = np.searchsorted(page, np.arange(len(keys) + 1)).astype(np.int32)
+            columns = [pa.array(x, pa.int64()) for x in zip(*keys)] + [pa.ListArray.from_arrays(ends, x) for x in (node, feature, c)]
+            columns += [pa.array(x, f.type) for x, f in zip(zip(*inner), list(schema)[5:])]
+            for held in (keys, of, texts, leaves, inner):
+                held.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    def run(batches: Iterable[pa.RecordBatch], leaves: bool) -> Iterator[pa.RecordBatch]:
-        schema, hashes = schema_of(LEAVES if leaves else INNER), Hashes(100_000)
         for b in batches:
-            urls, rows = b.column(0).to_pylist(), []
+            hosts, size = b.column(0).to_pylist(), 0
             for i, page in texts_of(b, "html"):
-                host, number = host_of(urls[i]), xxhash.xxh3_64_intdigest(page.encode("utf-8", "surrogatepass")) >> 1
-                children: dict[int, list[int]] = {}
-                levels: dict[int, int] = {}
-                held: Counter[tuple[int, int]] = Counter()
-                last: tuple[int, ...] = ()
-                found = list(marked(page))
-                paths = [(*nodes, child(nodes[-1] if nodes else 0, TEXTS)) for _, _, nodes, _, _ in found]
-                if leaves:
-                    for path, own in zip(paths, features([(text, sources) for _, _, _, text, sources in found], hashes)):
-                        held.update((path[-1], f) for f in own)
-                    paths = []
-                for path in paths:
-                    same = next((j for j, (x, y) in enumerate(zip(path, last)) if x != y), min(len(path), len(last)))
-                    for j in range(max(1, min(same, len(path) - 1)), len(path)):  # what the block opens below what it shares with the one before
-                        children.setdefault(path[j - 1], []).append(path[j])
-                        levels[path[j - 1]] = j - 1
-                    last = path
-                rows += [(host, node, f, number, float(c)) for (node, f), c in held.items()]
-                for node, below in children.items():
-                    layout = xxhash.xxh3_64_intdigest(np.array(below, dtype="<i8").tobytes()) >> 1
-                    rows += [(host, node, levels[node], c, layout, n / len(below), number) for c, n in Counter(below).items()]
-                if len(rows) > 20_000 or rows and i == len(b) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows = []
-
-    rows = pages.select("url", "html")
-    return rows.mapInArrow(lambda b: run(b, True), LEAVES), rows.mapInArrow(lambda b: run(b, False), INNER)
+                if found := list(marked(page)):
+                    paths = [(*nodes, child(nodes[-1] if nodes else 0, TEXTS)) for _, _, nodes, _, _ in found]
+                    leaves += [of.setdefault((len(keys), path[-1]), len(of)) for path in paths]
+                    texts += [(text, sources) for _, _, _, text, sources in found]
+                    inner.append(layouts(paths))
+                    keys.append((hosts[i], xxhash.xxh3_64_intdigest(page.encode("utf-8", "surrogatepass")) >> 1))
+                    size += len(page)
+                if keys and (size > 1_000_000 or i == len(b) - 1):
+                    yield done()
+                    size = 0
+
+    return pages.select("host", "html").mapInArrow(run, TREE).dropDuplicates(["host", "page"])
 
 
 def style_tree(pages: DataFrame, on_pages: int = PAGES) -> DataFrame:
     """Rows (host, node, pages, importance, top) of the merged trees. top: the largest importance in the node's branch, 1 where a node of it is on fewer than ``on_pages`` pages."""
-    leaves, inner = occurrences(pages)
+    each = stored(merged(pages.select(host(), "html")), "trees")
     # every step is a sum that combines before the shuffle
-    each = stored(leaves.groupBy("host", "node", "feature", "page").agg(F.max("c").alias("c")), "features")
-    n_pages = each.groupBy("host", "node", "page").agg(F.lit(1)).groupBy("host", "node").agg(F.count(F.lit(1)).alias("pages"))
-    per = each.groupBy("host", "node", "feature").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
+    n_pages = each.select("host", F.explode(F.array_distinct("leaf")).alias("node")).groupBy("host", "node").agg(F.count(F.lit(1)).alias("pages"))
+    leaves = each.select("host", "leaf", "c", F.posexplode("feature").alias("k", "feature")).select("host", F.get("leaf", "k").alias("node"), "feature", F.get("c", "k").alias("c"))
+    per = leaves.groupBy("host", "node", "feature").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     # entropy of a feature's occurrences over pages, averaged over the leaf's occurrences
     content = per.groupBy("host", "node").agg(F.sum(F.col("total") * F.log("total") - F.col("clogc")).alias("h"), F.sum("total").alias("all")).join(n_pages, ["host", "node"])
     own = F.when(F.col("pages") > 1, 1 - F.col("h") / F.col("all") / F.log(F.col("pages").cast("double"))).otherwise(1.0)
-    told = F.when(F.col("pages") >= on_pages, F.col("importance")).otherwise(1.0)
-    done = stored(content.select("host", "node", "pages", own.alias("importance")).withColumn("top", told), "leaf-importance")
-    # layouts by page, then how many pages have each; a child's share of its parent is its mean share of the layouts
-    once = stored(inner.groupBy("host", "node", "level", "child", "layout", "page").agg(F.max("share").alias("share")), "layouts")
-    styles = once.groupBy("host", "node", "level", "layout", "page").agg(F.lit(1)).groupBy("host", "node", "level", "layout").agg(F.count(F.lit(1)).alias("on"))
+    told_ = F.when(F.col("pages") >= on_pages, F.col("importance")).otherwise(1.0)
+    done = stored(content.select("host", "node", "pages", own.alias("importance")).withColumn("top", told_), "leaf-importance")
+    # how many pages have each layout; a child's share of its parent is its mean share of the layouts
+    styles = each.select("host", "level", "layout", F.posexplode("inner").alias("k", "node")).select("host", "node", F.get("level", "k").alias("level"), F.get("layout", "k").alias("layout"))
+    styles = styles.groupBy("host", "node", "level", "layout").agg(F.count(F.lit(1)).alias("on"))
     shape = styles.groupBy("host", "node", "level").agg(F.sum("on").alias("n"), F.sum(F.col("on") * F.log("on")).alias("nlogn"), F.count(F.lit(1)).alias("styles"))
     entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("nlogn") / F.col("n")) / F.log(F.col("n").cast("double"))).otherwise(1.0)
     shape = stored(shape.select("host", "node", "level", F.col("n").alias("pages"), F.col("styles"), entropy.alias("shape")), "shapes")
-    shares = stored(once.groupBy("host", "node", "child").agg(F.sum("share").alias("share")), "shares")
+    shares = each.select("host", "parent", "share", F.posexplode("child").alias("k", "child")).select("host", F.get("parent", "k").alias("node"), "child", F.get("share", "k").alias("share"))
+    shares = stored(shares.groupBy("host", "node", "child").agg(F.sum("share").alias("share")), "shares")
     deepest = shape.agg(F.max("level")).first()[0]
     for level in range(-1 if deepest is None else deepest, -1, -1):  # at most ``DEPTH`` levels, each a join of nodes, not of pages
         here = shape.where(F.col("level") == level)
@@ -317,7 +357,7 @@ def style_tree(pages: DataFrame, on_pages: int = PAGES) -> DataFrame:
         below = below.groupBy("host", "node").agg((F.sum(F.col("share") * F.col("importance")) / F.sum("share")).alias("below"), F.max("top").alias("highest"))
         left = F.pow(F.lit(SHARE), F.col("styles"))
         made = here.join(below, ["host", "node"]).withColumn("importance", (1 - left) * F.col("shape") + left * F.col("below"))
-        made = made.select("host", "node", "pages", "importance", F.greatest("highest", told).alias("top"))
+        made = made.select("host", "node", "pages", "importance", F.greatest("highest", told_).alias("top"))
         done = stored(done.unionByName(made), "importance")
     return done
 
@@ -327,9 +367,8 @@ def extract(pages: DataFrame, least: float = LEAST, on_pages: int = PAGES) -> Da
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     low = style_tree(rows, on_pages).where(F.col("top") < least)
     low = stored(low.groupBy("host").agg(F.collect_list("node").alias("low")), "low-nodes")
-    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
     # Spark broadcasts the low nodes only where the written table is below its own broadcast limit
-    joined = rows.join(low, host == low["host"], "left").select("page_id", "url", "html", "low")
+    joined = rows.withColumn("host", host()).join(low, "host", "left").select("page_id", "url", "html", "low")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -48,6 +48,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int,
 
 def schema_of(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds |= {f"array<{k}>": pa.list_(v) for k, v in kinds.items()}
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(", "))])
 
 
