@@ -377,3 +377,17 @@ def test_statistics_are_computed_once_a_signal(spark):
     assert np.allclose(got["u"], 2 * (x - x.min()) / (x.max() - x.min() + 1e-8) - 1) and got["s"] == pytest.approx(x.std(ddof=1))
     empty = spark.createDataFrame([([], None), ([5.0], None)], "x array<double>, n array<double>").select(A.self_normalized(F.col("x"), "zscore").alias("z"), A.self_normalized(F.col("n"), "zscore").alias("n")).collect()
     assert [tuple(r) for r in empty] == [([], None), ([0.0], None)]
+
+
+def test_formats_take_one_python_worker_a_task(spark):
+    """Band-pass and envelope are one Python function, with the values of both, with and without a rate."""
+    rows = [(1, [float((7 * i) % 11) for i in range(40)], 100.0, 20.0), (2, [1.0, 2.0, 4.0], None, 20.0), (3, [1.0, 3.0], 100.0, None), (4, [], 100.0, 20.0)]
+    df = spark.createDataFrame(rows, "k int, x array<double>, fs_hz double, fc_hz double")
+    made = signal.formats(df, "x", 8, 2)
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = {(r["k"], r["format"]): r["x"] for r in made.collect()}
+    low, high = A.band_edges(F.lit(20.0), F.lit(100.0), 0.6)
+    band = df.where("k = 1").select(signal.bandpass(F.col("x"), F.lit(100.0), low, high, 2).alias("b")).select("b", signal.envelope(F.col("b")).alias("e")).first()
+    assert got[1, "bandpass"] == band["b"] != rows[0][1] and got[1, "envelope"] == band["e"]
+    for k, x, *_ in rows[1:]:
+        assert got[k, "bandpass"] == got[k, "raw"] == x and len(got[k, "envelope"]) == len(x)

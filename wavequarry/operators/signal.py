@@ -86,8 +86,8 @@ def formats(df: DataFrame, signal: str, length: int, order: int = 4) -> DataFram
     """One input, four outputs; the filtered ones need fs and fc (columns fs_hz, fc_hz, width), else they are unfiltered."""
     low, high = A.band_edges(F.col("fc_hz"), F.col("fs_hz"), 0.6)
     able = F.col("fs_hz").isNotNull() & F.col("fc_hz").isNotNull()
-    band = F.when(able, bandpass(F.col(signal), F.col("fs_hz"), low, high, order)).otherwise(F.col(signal))
-    df = df.withColumn("_band", band).withColumn("_envelope", envelope(F.col("_band")))
+    # both in one Python function: a second one behind it would be a second worker beside each task
+    df = df.withColumn("_made", band_and_envelope(F.col(signal), F.when(able, F.col("fs_hz")), low, high, order)).withColumn("_band", F.col("_made.band")).withColumn("_envelope", F.col("_made.envelope")).drop("_made")
     made = {"raw": F.col(signal), "bandpass": F.col("_band"), "envelope": F.col("_envelope"), "interpolate": A.interpolated(F.col(signal), length)}
     rows = F.array(*[F.struct(F.lit(k).alias("format"), A.sanitized(v.cast("array<double>")).alias("signal")) for k, v in made.items()])
     out = df.withColumn("_f", F.explode(rows))
@@ -102,22 +102,38 @@ def grouped(*options: pd.Series) -> dict[tuple, list[int]]:
     return groups
 
 
+def passed(x: pd.Series, fs: pd.Series, low: pd.Series, high: pd.Series, order: int) -> pd.Series:
+    """``bandpass`` of a batch."""
+    out = x.tolist()
+    for (rate, first, last), rows in grouped(fs, low, high).items():
+        rows = [i for i in rows if out[i] is not None and len(out[i]) >= 3 * order]
+        if not rows or not rate or not rate > 0:
+            continue
+        bottom = max(1e-6, min(2 * first / rate, 0.999))
+        b, a = filters.butterworth_coefficients(order, bottom, max(bottom + 1e-6, min(2 * last / rate, 0.999)), "band")
+        for i, y in zip(rows, filters.forward_backward(b, a, [np.asarray(out[i], dtype=float) for i in rows])):
+            out[i] = y
+    return pd.Series(out)
+
+
 def bandpass(signal: Column, fs: Column, low: Column, high: Column, order: int = 4) -> Column:
     """Zero-phase band-pass with the end states for which the order of both passes matters least. Signals without a positive
     rate, or shorter than 3 orders, pass unchanged."""
 
     @F.pandas_udf("array<double>")
     def run(x: pd.Series, fs: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-        out = x.tolist()
-        for (rate, first, last), rows in grouped(fs, low, high).items():
-            rows = [i for i in rows if out[i] is not None and len(out[i]) >= 3 * order]
-            if not rows or not rate or not rate > 0:
-                continue
-            bottom = max(1e-6, min(2 * first / rate, 0.999))
-            b, a = filters.butterworth_coefficients(order, bottom, max(bottom + 1e-6, min(2 * last / rate, 0.999)), "band")
-            for i, y in zip(rows, filters.forward_backward(b, a, [np.asarray(out[i], dtype=float) for i in rows])):
-                out[i] = y
-        return pd.Series(out)
+        return passed(x, fs, low, high, order)
+
+    return run(signal, fs, low, high)
+
+
+def band_and_envelope(signal: Column, fs: Column, low: Column, high: Column, order: int = 4) -> Column:
+    """``bandpass`` and the ``envelope`` of it, as a struct."""
+
+    @F.pandas_udf("band array<double>, envelope array<double>")
+    def run(x: pd.Series, fs: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
+        band = passed(x, fs, low, high, order)
+        return pd.DataFrame({"band": band, "envelope": by_length(band, amplitudes, [])})
 
     return run(signal, fs, low, high)
 
@@ -154,21 +170,22 @@ def by_length(x: pd.Series, one: Callable[[np.ndarray], np.ndarray], empty: obje
     return pd.Series(out)
 
 
+def amplitudes(v: np.ndarray) -> np.ndarray:
+    n = v.shape[1]
+    h = np.zeros(n)
+    h[0] = 1
+    h[1 : (n + 1) // 2] = 2
+    if n % 2 == 0:
+        h[n // 2] = 1
+    return np.abs(np.fft.ifft(np.fft.fft(v) * h))
+
+
 def envelope(signal: Column) -> Column:
     """Amplitude of the analytic signal."""
 
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
-        def one(v: np.ndarray) -> np.ndarray:
-            n = v.shape[1]
-            h = np.zeros(n)
-            h[0] = 1
-            h[1 : (n + 1) // 2] = 2
-            if n % 2 == 0:
-                h[n // 2] = 1
-            return np.abs(np.fft.ifft(np.fft.fft(v) * h))
-
-        return by_length(x, one, [])
+        return by_length(x, amplitudes, [])
 
     return run(signal)
 
