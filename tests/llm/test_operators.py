@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import time
@@ -437,6 +438,49 @@ def test_caps_recall_on_fresh_pairs_of_any_length():
         assert all((a == b).all() for a, b in zip(code.decode(u[:20]), again.decode(u[:20])))
 
 
+def test_caps_send_a_vector_once_to_its_group(spark, monkeypatch):
+    """A group of any width equals brute force: whole, in pairs of blocks, or by its filters where it is long and sparse. Vectors aren't stored again."""
+    rng = np.random.default_rng(61)
+    x = rng.normal(size=(1100, 24))
+    x[:300] = x[0] + 0.1 * rng.normal(size=(300, 24))  # dense
+    turn = 0.2 * np.arange(160)
+    x[300:460] = np.cos(turn)[:, None] * x[300] + np.sin(turn)[:, None] * x[301] + (0.004 * np.arange(160))[:, None] * x[302]  # a chain
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    low = caps.forest(close)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    made, store = [], caps.stored
+
+    def kept(d, name):
+        made.append((name, store(d, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(caps, "stored", kept)
+    for more in ({}, {"wide": 64}, {"wide": 4}):
+        made.clear()
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in caps.near_duplicates(df, **more).collect()}
+        assert sum(got[i] == (close[i].sum(), low[i]) for i in range(len(x))) >= (0.97 if 4 in more.values() else 0.99) * len(x)
+        assert all(n <= close[i].sum() for i, (n, _) in got.items())
+        if not more:
+            files = [f.removeprefix("file:") for n, d in made if n != "decoded" for f in d.inputFiles()]
+            assert sum(map(os.path.getsize, files)) < x.nbytes / 4
+        assert [not d.isEmpty() for n, d in made if n == "sparse-groups"] == {None: [], 64: [False], 4: [True]}[more.get("wide")]
+
+
+def test_caps_sketches_lose_no_pair_that_shares_a_filter(spark):
+    rng = np.random.default_rng(62)
+    for dim in (2, 24, 100):
+        u, v = rng.normal(size=(2, 200, dim))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        v -= (u * v).sum(axis=1, keepdims=True) * u
+        v = 0.95001 * u + np.sqrt(1 - 0.95001**2) * v / np.linalg.norm(v, axis=1, keepdims=True)
+        df = spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(np.concatenate([u, v]))], "vec_id long, embedding array<double>")
+        code = caps.ProductCode(dim, 400)
+        shared_ = [i for i, (a, b) in enumerate(zip(code.decode(u), code.decode(v))) if len(np.intersect1d(a, b))]
+        got = {r["vec_id"]: r["n_links"] for r in caps.near_duplicates(df).collect()}
+        assert len(shared_) >= 180 and all(got[i] and got[200 + i] for i in shared_)
+
+
 # ---- Jaccard join
 
 
