@@ -139,7 +139,7 @@ def units_of(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def fits(vectors: DataFrame, least: float) -> tuple[int, dict[int, tuple[float, int]]]:
     """The number of vectors, and the numbers fitted for each length; tasks get these and draw its code from the seed."""
-    dims = dict(vectors.groupBy(F.size("embedding")).count().collect())
+    dims = dict(vectors.groupBy("dim").count().collect())
     rows = sum(dims.values())
     return rows, {dim: (code.threshold, code.least) for dim in dims for code in [code_of(dim, rows, least)]}
 
@@ -338,18 +338,19 @@ def compared(cell: pa.Table, least: float) -> Iterator[tuple]:
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, wide: int = WIDE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector, linked where the cosine is at least ``least``."""
-    plain = dict(vectors.dtypes)["embedding"] in ("array<float>", "array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding") if plain else F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     if not rows.groupBy("vec_id").count().where("count > 1").isEmpty():
         rows = stored(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
-    bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    fit = F.coalesce(~bad & F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    signless = F.transform("embedding", lambda v: v.cast("double") + 0.0)  # -0.0 is 0.0
-    rows = rows.withColumn("fit", fit)
-    rows = rows.withColumn("h", F.when(F.col("fit"), F.xxhash64(signless))).withColumn("k", F.when(F.col("fit"), F.xxhash64(F.lit(1), signless)))
+    # without lambdas, as all vectors are read several times; contains() is null where it finds none and there is a null
+    low, high, infinite = F.array_min("embedding"), F.array_max("embedding"), F.lit(float("inf"))
+    finite = ~F.array_contains("embedding", F.lit(float("nan")).cast(kind)) & (high < infinite) & (low > -infinite)
+    fit = F.coalesce(finite & ((low != 0) | (high != 0)), F.lit(False)) & F.col("vec_id").isNotNull()
+    rows = rows.withColumn("fit", fit).withColumn("dim", F.size("embedding"))
+    rows = rows.withColumn("h", F.when(F.col("fit"), F.xxhash64("embedding"))).withColumn("k", F.when(F.col("fit"), F.xxhash64(F.lit(1), "embedding")))
     several = stored(rows.where("fit").groupBy("h", "k").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "vector-copies")
-    rows = rows.join(several, ["h", "k"], "left").select("vec_id", "embedding", "fit", F.when(F.col("fit"), F.coalesce("first", "vec_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    classes = rows.where("fit AND vec_id = class_id").select("vec_id", "copies", "embedding")
+    rows = rows.join(several, ["h", "k"], "left").select("vec_id", "embedding", "dim", "fit", F.when(F.col("fit"), F.coalesce("first", "vec_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    classes = rows.where("fit AND vec_id = class_id").select("vec_id", "copies", "dim", "embedding")
     number, fitted = fits(classes, least)
 
     def near(found: pa.Table) -> pa.Table:
